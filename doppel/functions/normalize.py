@@ -140,6 +140,6 @@ def format_export_date(c: Column | str) -> Column:
     """``YYYY-MM-DD...`` -> ``DD.MM.YYYY`` when the date prefix is valid, else unchanged (trimmed)."""
     v = utrim(c)
     prefix = F.substring(v, 1, 10)
-    parsed = F.try_to_date(prefix, F.lit("yyyy-MM-dd"))
+    parsed = F.try_to_date(prefix, "yyyy-MM-dd")
     return F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}") & parsed.isNotNull(),
                   F.date_format(parsed, "dd.MM.yyyy")).otherwise(v)
