@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["doppel.plans.matching", "doppel.plans.review"]
+FAMILIES = ["doppel.plans.matching", "doppel.plans.review", "doppel.plans.lookups"]
 
 
 def queries() -> dict:
