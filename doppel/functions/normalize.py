@@ -99,7 +99,7 @@ def primary_email(email: Column | str, emails: Column | str | None = None) -> Co
     if emails is None:
         return own
     listed = F.filter(F.transform(_col(emails), lambda e: utrim(e["email"])), lambda e: e != "")
-    return F.when(own != "", own).otherwise(F.coalesce(F.element_at(listed, 1), F.lit("")))
+    return F.when(own != "", own).otherwise(F.coalesce(F.try_element_at(listed, F.lit(1)), F.lit("")))
 
 
 def pair_key(a: Column | str, b: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["doppel.plans.matching", "doppel.plans.review", "doppel.plans.lookups"]
+FAMILIES = ["doppel.plans.matching", "doppel.plans.review", "doppel.plans.lookups", "doppel.plans.ingest_q"]
 
 
 def queries() -> dict:
