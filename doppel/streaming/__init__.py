@@ -1,0 +1,6 @@
+"""Streaming jobs.
+
+The reference is batch only (no watermark, window, trigger, state or
+late-data logic), so this package holds no operator; every job in
+``doppel.operators`` runs on batch DataFrames.
+"""
