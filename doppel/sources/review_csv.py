@@ -102,8 +102,9 @@ def detect_delimiter(header_line: str) -> str:
 
 
 def _header_line(spark: SparkSession, path: str) -> str:
-    first = (spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"))
-             .orderBy("f").limit(1).collect())
+    # the first line of any file start; every part file of a review carries the header
+    first = (spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
+             .select("value").limit(1).collect())
     if not first:
         raise ValueError("review CSV is empty")
     return first[0]["value"]
