@@ -36,11 +36,12 @@ def group_candidates(spark, sf_dir):
 
 
 def person_memberships(spark, sf_dir):
-    return L.person_groups(fixture(spark, sf_dir, "memberships"))
+    return L.person_groups(fixture(spark, sf_dir, "memberships")).orderBy("person_id", "group_id", "group_name")
 
 
 def relationship_type_listing(spark, sf_dir):
-    return L.relationship_types(fixture(spark, sf_dir, "relationship_types")).select("id", "name", "score")
+    return (L.relationship_types(fixture(spark, sf_dir, "relationship_types")).select("id", "name", "score")
+            .orderBy("id", "name"))
 
 
 def relationship_type_pick(spark, sf_dir):

@@ -112,7 +112,8 @@ def entity_pair_rules(spark, sf_dir):
 
 
 def duplicate_groups(spark, sf_dir):
-    return find_duplicate_groups(_persons(spark, sf_dir))
+    """C1, clusters by DupID and members by id (O1, O2)."""
+    return find_duplicate_groups(_persons(spark, sf_dir)).orderBy("dup_id", "person_id")
 
 
 def duplicate_groups_campus(spark, sf_dir):
