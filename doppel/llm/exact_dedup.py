@@ -55,7 +55,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(F.substring("t", 1, PREFIX_CHARS)).alias("prefix_hash"),
         *([F.unhex(F.sha2("t", 256)).alias("sha")] if digest_all else []))
     rows = scratch.write(scan, "keys")
-    survivors = _refine(_refine(rows, ["len"]), ["len", "prefix_hash"])
+    # each step is written, so that its join ends a stage of its own and a hot key's rows can be split
+    same_length = scratch.write(_refine(rows, ["len"]), "same_length")
+    survivors = scratch.write(_refine(same_length, ["len", "prefix_hash"]), "same_prefix")
     if not digest_all:
         # the content of survivors only: their ids select the rows that are read and hashed
         ids = scratch.write(survivors.select("id").distinct(), "survivors")
