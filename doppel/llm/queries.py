@@ -65,11 +65,45 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
 """
 
+
+def op6_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doppel.llm.bpe_trie import round_trip
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doppel.llm.token_output import token_files
+    return token_files(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doppel.llm.warc import archive_round_trip
+    return archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first_id FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::BIGINT, 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url
+FROM f
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_bpe_trie": op6_bpe_trie,
+    "op7_token_output": op7_token_output,
+    "op10_warc": op10_warc,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op10_warc": OP10_SQL,
 }
