@@ -7,6 +7,7 @@ and no file is left where another executor cannot see it.
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,21 @@ WS = r"[\x20\x09-\x0D]"
 NON_WS = r"[^\x20\x09-\x0D]"
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers of a session that wasn't started beside the package find it too.
+
+    On a cluster the package is installed or shipped with ``--py-files``; this only
+    adds the driver's own path to theirs.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +42,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        workers_find_package(spark)
         self.root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

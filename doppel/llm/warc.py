@@ -117,18 +117,27 @@ class _Reader:
     """
 
     def __init__(self):
-        self.buffer, self.left, self.record = b"", -1, None
+        self.buffer, self.left, self.record, self.ended = b"", -1, None, False
         self.out: list[tuple] = []
 
     def feed(self, row: str) -> None:
-        self.buffer += (row + SEP).encode()
+        if self.ended:
+            raise ValueError("an archive goes on after its end")
         sep = SEP.encode()
+        # Spark's reader may give an empty row for what follows the last separator of a file
+        if not row and not self.buffer and self.left < 0:
+            self.ended = True
+            return
+        self.buffer += row.encode() + sep
         while self.buffer:
             if self.left < 0:
                 head, found, rest = self.buffer.partition(sep)
                 if not found:
                     return
-                fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+                version, *lines = head.decode().split("\r\n")
+                if version != VERSION:
+                    raise ValueError(f"a record must begin with {VERSION}, not with {version[:40]!r}")
+                fields = dict(x.split(": ", 1) for x in lines)
                 self.buffer, self.left = rest, int(fields["Content-Length"])
                 if fields["WARC-Type"] != "continuation":
                     self.finish()
