@@ -117,20 +117,16 @@ class _Reader:
     """
 
     def __init__(self):
-        self.buffer, self.left, self.record, self.ended = b"", -1, None, False
+        self.buffer, self.left, self.record = b"", -1, None
         self.out: list[tuple] = []
 
     def feed(self, row: str) -> None:
-        if self.ended:
-            raise ValueError("an archive goes on after its end")
         sep = SEP.encode()
-        # Spark's reader may give an empty row for what follows the last separator of a file
-        if not row and not self.buffer and self.left < 0:
-            self.ended = True
-            return
         self.buffer += row.encode() + sep
         while self.buffer:
             if self.left < 0:
+                if self.buffer == sep:
+                    return
                 head, found, rest = self.buffer.partition(sep)
                 if not found:
                     return
@@ -173,7 +169,8 @@ class _Reader:
                          number(f["WARC-Refers-To"]) if revisit else None))
 
     def end(self) -> None:
-        if self.buffer or self.left >= 0:
+        """The last row of a file may have ended without a separator, then one too many was added."""
+        if self.buffer not in (b"", SEP.encode()) or self.left >= 0:
             raise ValueError("an archive ends inside a record")
         self.finish()
 
