@@ -95,15 +95,61 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doppel.llm import language_id as lid
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = lid.fit(docs.where(~held_out))
+    return lid.predict(docs, model, keep={"held_out": held_out}).select(
+        "doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doppel.llm.near_dedup import near_dedup
+    return near_dedup(table(spark, sf_dir, "documents"), threshold=85)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT comp.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = comp.doc_id AS kept
+FROM comp LEFT JOIN n ON n.doc_id = comp.doc_id
+"""
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doppel.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_bpe_trie": op6_bpe_trie,
     "op7_token_output": op7_token_output,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc": op10_warc,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op5_minhash_near_dedup": OP5_SQL,
     "op10_warc": OP10_SQL,
 }
