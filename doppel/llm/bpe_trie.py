@@ -166,7 +166,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, memo = trie_ids(path or vocabulary())
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "ids": [np.frombuffer(memo.encode(t), ID).astype(np.int32) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "ids": [
+                np.frombuffer(x, ID).astype(np.int32) for x in memo.encode_all(pdf["text"].tolist())]})
 
     return out.mapInPandas(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -181,8 +182,8 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         decimal = {i: str(i) for i in enc.bytes}.__getitem__
         for pdf in batches:
             rows = []
-            for t in pdf["text"]:
-                ids = np.frombuffer(memo.encode(t), ID).tolist()
+            for raw in memo.encode_all(pdf["text"].tolist()):
+                ids = np.frombuffer(raw, ID).tolist()
                 rows.append((len(ids), hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest(),
                              hashlib.sha256(enc.decode(ids).encode()).hexdigest()))
             made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -45,8 +45,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 2, vocab: st
         memo = library_ids(vocab or vocabulary())
         for pdf in batches:
             out = []
-            for id_, text in zip(pdf["id"].astype("Int64"), pdf["text"]):
-                ids = memo.encode(text) + end
+            for id_, ids in zip(pdf["id"].astype("Int64"), memo.encode_all(pdf["text"].tolist())):
+                ids += end
                 cuts = [0, *range(len(ids) // 4 % capacity or capacity, len(ids) // 4, capacity), len(ids) // 4]
                 out += [(id_, i, a, b - a, zlib.crc32(ids[4 * a:4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"]).astype({"id": "Int64"})

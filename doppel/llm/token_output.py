@@ -293,8 +293,8 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
             return made
 
         for pdf in batches:
-            for id_, text in zip(pdf["id"], pdf["text"]):
-                ids = memo.encode(text) + end
+            for id_, ids in zip(pdf["id"], memo.encode_all(pdf["text"].tolist())):
+                ids += end
                 doc_ids.append(None if pd.isna(id_) else int(id_))
                 sizes.append(len(ids) // 4)
                 open_ids.append(ids)

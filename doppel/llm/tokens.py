@@ -23,36 +23,58 @@ _RUN = re.compile(r" \s|\s \Z")
 
 
 class IdMemo:
-    """``encode(text)`` gives the ids as little-endian 32-bit bytes."""
+    """``encode(text)`` gives the ids as little-endian 32-bit bytes.
+
+    The memo has two generations of at most ``max_entries / 2`` chunks: a full one
+    becomes the old one, from which chunks that occur again are taken over, so
+    frequent chunks stay and memory is bounded.
+    """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: tuple[str, ...],
-                 max_entries: int = 300_000, max_chunk: int = 48):
+                 encode_chunks: Callable[[list[str]], list[bytes]] | None = None,
+                 max_entries: int = 800_000, max_chunk: int = 48):
         self.encode_many, self.specials = encode_many, specials
+        self.encode_chunks = encode_chunks or (lambda chunks: encode_many([" " + c for c in chunks]))
         self.max_entries, self.max_chunk = max_entries, max_chunk
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _RUN.search(text) or any(s in text for s in self.specials):
-            return self.encode_many([text])[0]
-        first, *chunks = text.split(" ")
-        head = self.encode_many([first])[0] if first else b""
-        if not chunks:
-            return head
-        memo = self.memo
-        missing = list(set(chunks).difference(memo))
-        if missing:
-            if len(memo) + len(missing) > self.max_entries:
-                memo.clear()
-                missing = list(set(chunks))
-            memo.update(zip(missing, self.encode_many([" " + c for c in missing])))
-        out = head + b"".join(map(memo.__getitem__, chunks))
-        for c in missing:
-            if len(c) > self.max_chunk:
-                del memo[c]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None], group: int = 64) -> list[bytes]:
+        return [ids for at in range(0, len(texts), group) for ids in self._group(texts[at:at + group])]
+
+    def _group(self, texts: list[str | None]) -> list[bytes]:
+        split = []
+        for t in texts:
+            whole = not t or _RUN.search(t) or any(s in t for s in self.specials)
+            split.append(None if whole else t.split(" "))
+        rare = self._learn(set().union(*[x[1:] for x in split if x]))
+        get = self.memo.__getitem__
+        out = []
+        for t, x in zip(texts, split):
+            if x:
+                head = self.encode_many(x[:1])[0] if x[0] else b""
+                out.append(head + b"".join(map(get, x[1:])))
+            else:
+                out.append(self.encode_many([t])[0] if t else b"")
+        for c in rare:
+            del self.memo[c]
         return out
 
+    def _learn(self, chunks: set[str]) -> list[str]:
+        """Have all chunks in the memo; those too long to stay are returned."""
+        if len(self.memo) > self.max_entries // 2:
+            self.old, self.memo = self.memo, {}
+        missing = chunks.difference(self.memo)
+        known = missing.intersection(self.old)
+        self.memo.update((c, self.old[c]) for c in known)
+        missing = list(missing - known)
+        if missing:
+            self.memo.update(zip(missing, self.encode_chunks(missing)))
+        return [c for c in missing if len(c) > self.max_chunk]
+
 
 _BY_PATH: dict[str, IdMemo] = {}
 
@@ -69,8 +91,27 @@ def library_ids(path: str) -> IdMemo:
         def encode_many(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, ID).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-        specials = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-        _BY_PATH[path] = IdMemo(encode_many, specials)
+        special = {t.content for t in tok.get_added_tokens_decoder().values()}
+        # bytes that each id stands for: byte-level tokens have one character per byte
+        size = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())], np.int64)
+
+        def encode_chunks(chunks: list[str]) -> list[bytes]:
+            """Many chunks in one text; where the lengths don't meet a chunk's end, one by one."""
+            out = []
+            for at in range(0, len(chunks), 200):
+                some = [" " + c for c in chunks[at:at + 200]]
+                ids = np.frombuffer(encode_many(["".join(some)])[0], ID)
+                reach = np.cumsum(size[ids])
+                ends = np.cumsum([len(c.encode()) for c in some])
+                cut = np.searchsorted(reach, ends)
+                if " " in some or len(reach) != cut[-1] + 1 or (reach[cut] != ends).any():
+                    out += encode_many(some)
+                else:
+                    raw, cut = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
+                    out += [raw[a:b] for a, b in zip(cut, cut[1:])]
+            return out
+
+        _BY_PATH[path] = IdMemo(encode_many, tuple(special), encode_chunks)
     return _BY_PATH[path]
 
 
