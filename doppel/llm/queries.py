@@ -132,6 +132,12 @@ FROM comp LEFT JOIN n ON n.doc_id = comp.doc_id
 """
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doppel.llm.suffix_dedup import suffix_dedup
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=200).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doppel.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
@@ -144,6 +150,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_bpe_trie": op6_bpe_trie,
     "op7_token_output": op7_token_output,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc": op10_warc,
 }

@@ -7,11 +7,12 @@ count, and all strings are judged on the input.
 Sharding. The *key* of a string is the smallest hash among its ``GRAM``-byte
 substrings, so equal strings have equal keys. Neighbouring strings mostly share a
 key; such a run, with the bytes it covers, is a *context*, and every string starts
-in exactly one. Only contexts whose key occurs elsewhere can hold a match:
+in exactly one. Only contexts whose key occurs elsewhere, or whose smallest substring
+occurs in them more than once, can hold a match:
 
 * A context that occurs twice as a whole needs no further proof: all its strings
   repeat.
-* Keys with several different contexts, at least one of them single, go to shards
+* Other such keys, with all their different contexts, go to shards
   of about ``SHARD_BYTES``, one copy of each context. A shard's suffix array is
   built by induced sorting; the permuted common prefixes say which strings have an
   equal neighbour.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doppel.llm.common import Scratch
@@ -60,32 +61,52 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(rest[:n - width + 1], ahead[width - 1:n])
 
 
+def _repeated_grams(grams: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """Strings (one at least of each run) whose smallest substring is at two places of their run.
+
+    A place is where some window has its minimum: where the largest minimum of the
+    windows around it is its own value. Two such places of one run are neighbours
+    and no further apart than a window.
+    """
+    around = ~_window_min(~np.pad(least, width - 1), width)
+    at = np.flatnonzero(grams == around)
+    near = np.flatnonzero((grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) <= width))
+    x, y = at[near], at[near + 1]
+    strings = np.concatenate([np.minimum(x, len(least) - 1), np.maximum(y - width + 1, 0)])
+    return strings[least[strings] == np.concatenate([grams[x], grams[x]])]
+
+
 def contexts(text: str | None, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """``key, ctx, first, count``: a context covers strings starting at ``first`` and the next ``count - 1``.
+    """``key, ctx, first, count, again``: a context covers strings starting at ``first`` and the next ``count - 1``.
 
-    ``ctx`` hashes the bytes that the context covers.
+    ``ctx`` hashes the bytes that the context covers; ``again`` tells that it may
+    repeat a string within itself.
     """
     data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     out = []
     for at in range(0, max(0, len(data) - length + 1), SLICE):
         part = data[at:at + SLICE + length - 1]
         subs = Substrings(part)
-        grams = np.arange(len(part) - gram + 1)
-        least = _window_min(subs.of(grams, grams + gram), length - gram + 1)
+        places = np.arange(len(part) - gram + 1)
+        grams = subs.of(places, places + gram)
+        least = _window_min(grams, length - gram + 1)
         new = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
         ends = np.append(new[1:], len(least))
         if int((ends - new).max()) > MAX_RUN:
             new = np.concatenate([np.arange(a, b, MAX_RUN) for a, b in zip(new, ends)])
             ends = np.append(new[1:], len(least))
-        out.append((least[new].view(np.int64), subs.of(new, ends + length - 1).view(np.int64), new + at, ends - new))
+        again = np.zeros(len(new), bool)
+        again[np.searchsorted(new, _repeated_grams(grams, least, length - gram + 1), side="right") - 1] = True
+        out.append((least[new].view(np.int64), subs.of(new, ends + length - 1).view(np.int64), new + at, ends - new, again))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _source(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Rows are told apart by id and text: equal rows have equal results."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("fp"), *more)
 
 
 def context_table(src: DataFrame, length: int, gram: int) -> DataFrame:
@@ -95,10 +116,10 @@ def context_table(src: DataFrame, length: int, gram: int) -> DataFrame:
         for pdf in batches:
             found = [contexts(t, length, gram) for t in pdf["text"]]
             each = [len(f[0]) for f in found]
-            made = {n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("key", "ctx", "first", "count"))}
+            made = {n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("key", "ctx", "first", "count", "again"))}
             yield pd.DataFrame({"id": pdf["id"].repeat(each).array, "fp": pdf["fp"].repeat(each).array} | made)
 
-    return src.mapInPandas(run, f"id {kind}, fp long, key long, ctx long, first long, count int")
+    return src.mapInPandas(run, f"id {kind}, fp long, key long, ctx long, first long, count int, again boolean")
 
 
 def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -164,13 +185,15 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int, gram: int, id_c
     """``id, fp, spans``: removed byte ranges ``(first, end)`` of documents that have any."""
     src = _source(docs, id_col, text_col)
     everything = scratch.write(context_table(src, length, gram), "contexts")
-    common = everything.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    common = everything.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where(
+        "n > 1 OR again").select("key")
     shared = scratch.write(everything.join(common, "key", "left_semi"), "shared")
     scratch.drop("contexts")
     variants = scratch.write(shared.groupBy("key", "ctx", "count").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "id", "fp")).alias("one")), "variants")
-    per_key = variants.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least"),
-                                          F.sum(F.col("count") + length - 1).alias("bytes")).where("different > 1 AND least = 1")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "id", "fp")).alias("one"), F.max("again").alias("again")), "variants")
+    per_key = variants.groupBy("key").agg(
+        F.count(F.lit(1)).alias("different"), F.min("n").alias("least"), F.max("again").alias("again"),
+        F.sum(F.col("count") + length - 1).alias("bytes")).where("(different > 1 OR again) AND least = 1")
     per_key = scratch.write(per_key, "per-key")
     total = per_key.where(F.col("different") <= max_variants).agg(F.sum("bytes")).first()[0] or 0
     wanted = variants.join(per_key.select("key", (F.col("different") > max_variants).alias("wide")), "key").select(
@@ -226,10 +249,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     keep = keep or []
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     spans = find_repeats(docs, scratch, length, gram, id_col, text_col, **limits).withColumnsRenamed({"id": "_id", "fp": "_fp"})
-    src = _source(docs.withColumnsRenamed({c: f"_keep_{c}" for c in keep}) if keep else docs, id_col, text_col) if not keep else docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("fp"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    rows = src.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left").drop("fp", "_id", "_fp")
+    rows = _source(docs, id_col, text_col, *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    rows = rows.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left").drop("fp", "_id", "_fp")
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("text", "spans"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
