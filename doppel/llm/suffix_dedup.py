@@ -16,9 +16,9 @@ occurs in them more than once, can hold a match:
   of about ``SHARD_BYTES``, one copy of each context. A shard's suffix array is
   built by induced sorting; the permuted common prefixes say which strings have an
   equal neighbour.
-* A key with more than ``MAX_VARIANTS`` different contexts (the edge of a passage
-  that many documents quote) would fill a shard alone. Its strings are spread by
-  the hash of each whole string and counted there.
+* A key whose different contexts (at the edge of a passage that many documents
+  quote) hold more than ``MAX_KEY_BYTES`` can't be sorted in a task's memory. Its
+  strings are spread by the hash of each whole string and counted there.
 
 The found ranges go back to all occurrences of their contexts.
 
@@ -46,7 +46,7 @@ LENGTH = 200
 GRAM = 24
 MAX_RUN = 2048
 SHARD_BYTES = 1 << 20
-MAX_VARIANTS = 1000
+MAX_KEY_BYTES = 2 << 20
 SLICE = 1 << 17
 
 
@@ -181,7 +181,7 @@ def _by_string(rows: DataFrame, scratch: Scratch, length: int) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, scratch: Scratch, length: int, gram: int, id_col: str, text_col: str,
-                 max_variants: int = MAX_VARIANTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                 max_key_bytes: int = MAX_KEY_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``id, fp, spans``: removed byte ranges ``(first, end)`` of documents that have any."""
     src = _source(docs, id_col, text_col)
     everything = scratch.write(context_table(src, length, gram), "contexts")
@@ -195,8 +195,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int, gram: int, id_c
         F.count(F.lit(1)).alias("different"), F.min("n").alias("least"), F.max("again").alias("again"),
         F.sum(F.col("count") + length - 1).alias("bytes")).where("(different > 1 OR again) AND least = 1")
     per_key = scratch.write(per_key, "per-key")
-    total = per_key.where(F.col("different") <= max_variants).agg(F.sum("bytes")).first()[0] or 0
-    wanted = variants.join(per_key.select("key", (F.col("different") > max_variants).alias("wide")), "key").select(
+    total = per_key.where(F.col("bytes") <= max_key_bytes).agg(F.sum("bytes")).first()[0] or 0
+    wanted = variants.join(per_key.select("key", (F.col("bytes") > max_key_bytes).alias("wide")), "key").select(
         "key", "ctx", "wide", "count", "one.*")
     # a document's contexts are bounded by its own length
     asked = wanted.groupBy("id", "fp").agg(F.collect_list(F.struct("key", "ctx", "wide", "first", "count")).alias("asked"))

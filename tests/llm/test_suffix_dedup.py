@@ -72,7 +72,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_variants": 2}, {"shard_bytes": 500}])
+@pytest.mark.parametrize("limits", [{}, {"max_key_bytes": 150}, {"shard_bytes": 500}])
 def test_against_brute_force(spark, limits):
     rows = corpus(5)
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(5)
