@@ -60,15 +60,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     survivors = scratch.write(_refine(same_length, ["len", "prefix_hash"]), "same_prefix")
     if not digest_all:
         # the content of survivors only: their ids select the rows that are read and hashed
-        ids = scratch.write(survivors.select("id").distinct(), "survivors")
+        ids = scratch.write(survivors.select(F.col("id").alias("_id")).distinct(), "survivors")
+        same = F.col("id").eqNullSafe(F.col("_id"))
         content = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(
-            ids, F.col("id").eqNullSafe(ids["id"]), "left_semi")
+            ids, same, "left_semi")
         content = content.select("id", normalised(F.col("t")).alias("t"), F.length("t").alias("n_chars")).select(
             "id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.length("t").alias("len"),
             F.xxhash64(F.substring("t", 1, PREFIX_CHARS)).alias("prefix_hash"),
             F.unhex(F.sha2("t", 256)).alias("sha"))
         survivors = scratch.write(content, "hashed")
-        singles = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_anti").withColumn(
+        singles = rows.join(ids, same, "left_anti").withColumn(
             "sha", F.lit(None).cast("binary"))
         rows = survivors.unionByName(singles)
     best = F.struct((-F.col("n_chars")).alias("c"), F.col("id").alias("id"))

@@ -33,7 +33,7 @@ from doppel.llm.common import Scratch, let
 EDITS = 2
 MIN_BYTES = 24
 WORD_BITS = 40
-LETTERS = "etaoinsrhldcumgbfpwyvkz"
+LETTERS = "etaoinsrhldcumgbfpwyv"
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -74,7 +74,8 @@ def probe_keys(data: Column, length: Column, edits: int) -> Column:
 
 
 def parity_bits(line: Column) -> Column:
-    """Bitmap in which every word flips one of 40 bits and every letter of ``LETTERS`` one of 23 more."""
+    """Bitmap in which every word flips one of 40 bits and every letter of ``LETTERS`` one of
+    21 more; the last two bits are the length modulo 4."""
     def bit(at: Column | int) -> Column:
         at = at if isinstance(at, Column) else F.lit(at)
         return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
@@ -86,15 +87,23 @@ def parity_bits(line: Column) -> Column:
     for i, letter in enumerate(LETTERS):
         without = F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
         bits = bits + F.when((F.octet_length(line) - without) % 2 == 1, bit(WORD_BITS + i)).otherwise(0)
-    return bits
+    return bits + F.call_function("shiftleft", F.octet_length(line).cast("long") % 4, F.lit(WORD_BITS + len(LETTERS)))
 
 
 def _may_be_close(x: str, y: str, edits: int) -> Column:
-    """An edit touches two words at most and their replacement, and two letters."""
+    """What the bitmaps of two lines allow when ``edits`` edits lie between them.
+
+    An edit touches two words at most and their replacement. A substitution touches
+    two letters, an insertion or deletion one, and at least as many of these are
+    needed as the lengths differ.
+    """
     differ = F.col(x).bitwiseXOR(F.col(y))
     words = F.lit((1 << WORD_BITS) - 1).cast("long")
     letters = F.lit((1 << len(LETTERS)) - 1 << WORD_BITS).cast("long")
-    return (F.bit_count(differ.bitwiseAND(words)) <= 3 * edits) & (F.bit_count(differ.bitwiseAND(letters)) <= 2 * edits)
+    length = lambda c: F.shiftrightunsigned(c, WORD_BITS + len(LETTERS)) % 4
+    longer = F.pmod(length(x) - length(y), F.lit(4))
+    by = F.least(longer, 4 - longer) if edits < 3 else F.lit(0)
+    return (F.bit_count(differ.bitwiseAND(words)) <= 3 * edits) & (F.bit_count(differ.bitwiseAND(letters)) <= 2 * edits - by)
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -153,6 +162,32 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
                         F.length(a).alias("rows")), run)
 
 
+def trimmed_distance(a: Column, b: Column, edits: int, block: int = 16) -> Column:
+    """``banded_distance`` of what is left without the blocks that begin or end both alike."""
+    def equal_blocks(x: Column, y: Column, start_x, start_y, n: Column) -> Column:
+        same = F.transform(F.sequence(F.lit(0), n), lambda i: (i < n) & (
+            F.substring(x, start_x(i) + 1, F.lit(block)) == F.substring(y, start_y(i) + 1, F.lit(block))))
+        return ((F.array_position(same, False) - 1) * block).cast("int")
+
+    def measured(t: Column) -> Column:
+        n = F.least(F.length(t["a"]), F.length(t["b"]))
+        blocks = F.floor(n / block).cast("int")
+        la, lb = F.length(t["a"]), F.length(t["b"])
+        return F.struct(t["a"].alias("a"), t["b"].alias("b"), (n - edits - 1).alias("most"),
+                        equal_blocks(t["a"], t["b"], lambda i: i * block, lambda i: i * block, blocks).alias("front"),
+                        equal_blocks(t["a"], t["b"], lambda i: la - (i + 1) * block, lambda i: lb - (i + 1) * block, blocks).alias("back"))
+
+    def cut(t: Column) -> Column:
+        front = F.least(t["front"], t["most"])
+        return F.struct(t["a"].alias("a"), t["b"].alias("b"), front.alias("front"), F.least(t["back"], t["most"] - front).alias("back"))
+
+    def distance(t: Column) -> Column:
+        part = lambda x: F.substring(x, t["front"] + 1, F.length(x) - t["front"] - t["back"])
+        return banded_distance(part(t["a"]), part(t["b"]), edits)
+
+    return let(let(let(F.struct(a.alias("a"), b.alias("b")), measured), cut), distance)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
     """``id, fp, at, line`` of every line that is long enough."""
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
@@ -178,7 +213,7 @@ def similar_lines(docs: DataFrame, scratch: Scratch, edits: int, min_bytes: int,
     both = both.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     near = F.abs(F.octet_length("line_a") - F.octet_length("line_b")) <= edits
     # nested, so that the distance is only computed where the lengths allow it
-    distance = F.when(near, banded_distance(F.col("line_a").cast("binary"), F.col("line_b").cast("binary"), edits))
+    distance = F.when(near, trimmed_distance(F.col("line_a").cast("binary"), F.col("line_b").cast("binary"), edits))
     return both.withColumn("distance", distance).where(F.col("distance") <= edits).select(
         "a", F.xxhash64(F.lit(1), "line_a").alias("a2"), "b", F.xxhash64(F.lit(1), "line_b").alias("b2"))
 
@@ -201,8 +236,10 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, edits: int, min_bytes: in
     hits = occurrences.join(marked, ["h", "h2"]).select(
         "id", "fp", "at", F.coalesce("links", F.lit(0)).alias("links"),
         (F.coalesce("near_earlier", F.lit(False)) | (place != F.col("first"))).alias("drop"))
-    # a document's lines are bounded by its own length
-    return hits.groupBy("id", "fp").agg(F.collect_set(F.when(F.col("drop"), F.col("at"))).alias("dropped"), F.sum("links").alias("n_links"))
+    # a document's lines are bounded by its own length; a set, as rows that repeat a document count once
+    lines = hits.groupBy("id", "fp").agg(F.collect_set(F.struct("at", "drop", "links")).alias("lines"))
+    return lines.select("id", "fp", F.transform(F.filter("lines", lambda x: x["drop"]), lambda x: x["at"]).alias("dropped"),
+                        F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["links"]).alias("n_links"))
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text",

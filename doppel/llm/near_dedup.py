@@ -6,8 +6,8 @@ no words make an empty set, which is linked with nothing). Two documents are lin
 when the Jaccard similarity of their sets is at least ``threshold`` percent.
 
 * Documents with equal sets form a class; only its smallest id goes on.
-* ``BANDS`` bands of ``ROWS`` MinHash values each give buckets. At the production
-  threshold of 85 % a linked pair misses every bucket with probability below 1e-6.
+* Bands of ``ROWS`` MinHash values each give buckets, so many that a linked pair
+  misses every bucket with probability ``MISSED`` at most (24 bands at 85 %).
 * The MinHash samples are folded into an *odd sketch*, a bitmap in which each
   sample flips one bit. The XOR of two sketches has few bits when the sets are
   similar, so its population count estimates the similarity; pairs far below the
@@ -42,7 +42,7 @@ from doppel.llm.hashing import Substrings, U, mix
 from doppel.operators.components import connected_components
 
 WIDTH = 5
-BANDS, ROWS = 24, 5
+ROWS, MISSED = 5, 1e-6
 # samples folded into an odd sketch, and 64-bit words of the sketch
 SAMPLES, SKETCH_WORDS = 512, 32
 _RNG = np.random.default_rng(77)
@@ -72,7 +72,11 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(mix(sums))
 
 
-def minhash(sets: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
+def band_count(threshold: int) -> int:
+    return math.ceil(math.log(MISSED) / math.log(1 - (threshold / 100) ** ROWS))
+
+
+def minhash(sets: np.ndarray, samples: int) -> np.ndarray:
     least = np.full(samples, ~U(0), U)
     for at in range(0, len(sets), 1024):
         np.minimum(least, (sets[at:at + 1024, None] * _FACTORS[:samples] + _SHIFTS[:samples]).min(0), out=least)
@@ -80,8 +84,8 @@ def minhash(sets: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    keys = np.arange(1, BANDS + 1, dtype=U)
-    for row in least.reshape(BANDS, ROWS).T:
+    keys = np.arange(1, len(least) // ROWS + 1, dtype=U)
+    for row in least.reshape(-1, ROWS).T:
         keys = mix(keys * U(0x9E3779B97F4A7C15) + row)
     return keys
 
@@ -105,8 +109,9 @@ def max_flips(threshold: int, errors: float = 6.0) -> int:
     return math.ceil(n / 2 * (1 - math.exp(-4 * k * (1 - j) / n)))
 
 
-def band_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def band_table(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> DataFrame:
     """``id, n, f1, f2, bands``: set size, fingerprint of the set, band keys."""
+    samples = ROWS * band_count(threshold)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +121,7 @@ def band_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 s = shingles(text)
                 if len(s):
                     f1, f2 = s.sum(), np.bitwise_xor.reduce(mix(s + U(1)))
-                    rows.append((len(s), f1.astype(np.int64), f2.astype(np.int64), band_keys(minhash(s)).view(np.int64)))
+                    rows.append((len(s), f1.astype(np.int64), f2.astype(np.int64), band_keys(minhash(s, samples)).view(np.int64)))
                 else:
                     rows.append((0, 0, 0, None))
             made = pd.DataFrame(rows, columns=["n", "f1", "f2", "bands"])
@@ -212,7 +217,7 @@ def near_dedup(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    bands = scratch.write(band_table(docs, id_col, text_col), "bands")
+    bands = scratch.write(band_table(docs, threshold, id_col, text_col), "bands")
     some = bands.where("n > 0")
     classes = scratch.write(some.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
     one = some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "f1", "f2"])

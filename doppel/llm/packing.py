@@ -57,13 +57,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 2, vocab: st
 Bins = list[list[int]]
 
 
-def best_fit(lengths: list[int], bins: Bins, capacity: int) -> Bins:
-    """Put the lengths, longest first, each into the bin where the least room stays."""
+def best_fit(lengths: list[int], bins: Bins, capacity: int, rng: random.Random | None = None) -> Bins:
+    """Put the lengths, longest first or at random, each into the bin where the least room stays."""
     at: list[list[int]] = [[] for _ in range(capacity + 1)]
     for i, b in enumerate(bins):
         at[capacity - sum(b)].append(i)
     rooms = sum(1 << room for room, of in enumerate(at) if of)
-    for x in sorted(lengths, reverse=True):
+    lengths = rng.sample(lengths, len(lengths)) if rng else sorted(lengths, reverse=True)
+    for x in lengths:
         fits = rooms >> x
         if fits:
             room = x + (fits & -fits).bit_length() - 1
@@ -103,11 +104,12 @@ def crossover(a: Bins, b: Bins, counts: dict[int, int], capacity: int, rng: rand
 
 
 def mutate(bins: Bins, capacity: int, rng: random.Random) -> Bins:
-    """Take apart the emptiest bins and a few others, and best-fit their lengths."""
+    """Take apart the emptiest bins and a few others, and best-fit their lengths, now and then at random."""
     order = sorted(range(len(bins)), key=lambda i: sum(bins[i]))
     n = max(2, len(bins) // 100)
     gone = set(order[:n]) | set(rng.sample(range(len(bins)), min(n, len(bins))))
-    return best_fit([v for i in gone for v in bins[i]], [list(b) for i, b in enumerate(bins) if i not in gone], capacity)
+    return best_fit([v for i in gone for v in bins[i]], [list(b) for i, b in enumerate(bins) if i not in gone], capacity,
+                    rng if rng.random() < 0.3 else None)
 
 
 def evolve(counts: dict[int, int], elites: list[Bins], capacity: int, rng: random.Random, population: int = 5,

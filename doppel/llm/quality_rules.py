@@ -89,16 +89,21 @@ def _line_measures(lines: Column) -> Column:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """One row per document: id, measurements and ``fail_bits``."""
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, carry: bool = False) -> DataFrame:
+    """One row per document: id, measurements and ``fail_bits``.
+
+    ``carry`` adds the whole input row as the struct ``doc``, so that a policy can
+    filter documents without a join.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NON_WS))
     out = docs.select(
         F.col(id_col),
         let(words_of(text), _word_measures).alias("w"),
         let(lines, _line_measures).alias("l"),
-        F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"))
-    out = out.select(id_col, "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words",
+        F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
+        *([F.struct(*[F.col(c) for c in docs.columns]).alias("doc")] if carry else []))
+    out = out.select(*(["doc"] if carry else []), F.col(id_col), "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words",
                      "l.n_lines")
     bits = F.lit(0).cast("long")
     for rule in rules:
@@ -115,6 +120,11 @@ def apply_policy(ledger_df: DataFrame, version: int = CURRENT_POLICY) -> DataFra
     return ledger_df.withColumn("kept", passes(POLICIES[version]))
 
 
+def passing(docs: DataFrame, version: int = CURRENT_POLICY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows that the policy keeps, with all their columns."""
+    return ledger(docs, id_col, text_col, carry=True).where(passes(POLICIES[version])).select("doc.*")
+
+
 def ablation(ledger_df: DataFrame, version: int = CURRENT_POLICY, rules=RULES) -> DataFrame:
     """Per rule of a policy: documents that fail it, and that only it rejects.
 

@@ -96,6 +96,32 @@ FROM f
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doppel.llm.line_dedup import line_dedup
+    out = line_dedup(table(spark, sf_dir, "documents"), edits=2, min_bytes=24)
+    return out.select("doc_id", "n_lines", "n_dropped", "n_links", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(range(0, len(x))) AS pos, unnest(x) AS line
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+u AS (SELECT line, min(struct_pack(d := doc_id, a := pos)) AS first, count(*) AS n FROM l WHERE strlen(line) >= 24 GROUP BY line),
+links AS (
+  SELECT a.line AS line, b.first < a.first AS earlier FROM u a JOIN u b
+  ON abs(strlen(a.line) - strlen(b.line)) <= 2 AND a.line <> b.line AND levenshtein(a.line, b.line) <= 2),
+m AS (SELECT line, count(*) AS links, bool_or(earlier) AS earlier FROM links GROUP BY line),
+o AS (
+  SELECT l.doc_id, l.pos, l.line, coalesce(m.links, 0) AS links,
+         coalesce(m.earlier, false) OR coalesce(u.first <> struct_pack(d := l.doc_id, a := l.pos), false) AS gone
+  FROM l LEFT JOIN u ON u.line = l.line LEFT JOIN m ON m.line = l.line)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sum(links)::BIGINT AS n_links,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+FROM o GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doppel.llm import language_id as lid
     docs = table(spark, sf_dir, "documents")
@@ -145,6 +171,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -156,6 +183,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_minhash_near_dedup": OP5_SQL,
     "op10_warc": OP10_SQL,
