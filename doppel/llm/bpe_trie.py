@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding with a prefix-sharing trie.
 
-Distinct words go into a trie of bytes. A depth-first walk gives every node the
-last token of the encoding of its prefix: the longest vocabulary suffix of the
+Distinct words make a trie of bytes, held as their sorted list: what a word shares
+with the one before it is the path from the root to where both part, so going
+through the list is the depth-first walk. The walk gives every node the last token
+of the encoding of its prefix: the longest vocabulary suffix of the
 prefix that may follow the last token of the node where that suffix begins. A
 sequence of tokens is the BPE encoding of its bytes exactly when each adjacent
 pair is the encoding of its own bytes, so one pair test per candidate is enough,
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,10 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+# state of the trie's root
+ROOT = 1 << 19
+
+
 class TrieEncoder:
     def __init__(self, path: str, words_per_trie: int = 20_000):
         spec = json.load(open(path, encoding="utf-8"))
@@ -53,12 +60,12 @@ class TrieEncoder:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[raw[a], raw[b]] = rank
         self.max_len = max(map(len, self.ids))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.size = {i: len(b) for i, b in self.bytes.items()}
+        self.pairs: dict[int, bool] = {}
         self.pattern = regex.compile(WORDS)
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.words_per_trie = words_per_trie
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
 
     def _merge(self, data: bytes) -> list[int]:
         """Plain merging by rank, for single pairs of tokens."""
@@ -80,52 +87,43 @@ class TrieEncoder:
         return [self.ids[p] for p in parts]
 
     def _may_follow(self, last: int, token: int) -> bool:
-        """``last`` is -1 at the root: then the token must encode to itself."""
-        if last < 0:
-            if token not in self.whole:
-                self.whole[token] = self._merge(self.bytes[token]) == [token]
-            return self.whole[token]
-        key = (last, token)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            ok = self.pairs[key] = self._merge(self.bytes[last] + self.bytes[token]) == [last, token]
+        """Whether the two tokens are the encoding of their bytes; at the root, the token of its own."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        before = [] if last == ROOT else [last]
+        ok = self._merge(b"".join(self.bytes[t] for t in (*before, token))) == [*before, token]
+        self.pairs[last << 20 | token] = ok
         return ok
 
     def _encode_trie(self, words: list[str]) -> None:
-        """Insert the words, walk the trie depth first, read the ids at the ends."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for b in w.encode():
-                node = node.setdefault(b, {})
-            node[-1] = w
-        path, states = bytearray(), [-1]
-        stack = [(b, n, 0) for b, n in root.items()]
-        ids, max_len, may_follow, known = self.ids, self.max_len, self._may_follow, self.known
-        while stack:
-            b, node, depth = stack.pop()
-            if b < 0:
-                out, d = [], depth
-                while d:
-                    out.append(states[d])
-                    d -= len(self.bytes[states[d]])
-                known[node] = tuple(reversed(out))
-                continue
-            del path[depth:], states[depth + 1:]
-            path.append(b)
-            depth += 1
-            for start in range(max(0, depth - max_len), depth):
-                token = ids.get(bytes(path[start:depth]))
-                if token is not None and may_follow(states[start], token):
-                    states.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {depth} of a word")
-            stack.extend((c, n, depth) for c, n in node.items() if c >= 0)
-            if -1 in node:
-                stack.append((-1, node[-1], depth))
+        """Walk the trie of the words depth first; read the ids off where a word ends."""
+        find, pair, size, max_len, known = self.ids.get, self.pairs.get, self.size, self.max_len, self.known
+        states, path = [ROOT], b""
+        for data, word in sorted((w.encode(), w) for w in words):
+            shared, n = 0, min(len(path), len(data))
+            while shared < n and path[shared] == data[shared]:
+                shared += 1
+            del states[shared + 1:]
+            path = data
+            for depth in range(shared + 1, len(data) + 1):
+                start = depth - max_len if depth > max_len else 0
+                while start < depth:
+                    token = find(data[start:depth])
+                    if token is not None:
+                        last = states[start]
+                        ok = pair(last << 20 | token)
+                        if ok or ok is None and self._may_follow(last, token):
+                            break
+                    start += 1
+                else:
+                    raise ValueError(f"no token ends at byte {depth} of a word")
+                states.append(token)
+            out, d = [], len(data)
+            while d:
+                out.append(states[d])
+                d -= size[states[d]]
+            out.reverse()
+            known[word] = out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         find = self.pattern.findall
@@ -133,15 +131,25 @@ class TrieEncoder:
         for t in texts:
             parts = self.split_specials.split(t) if self.split_specials else [t]
             split.append([w for i, p in enumerate(parts) for w in ((self.specials[p],) if i % 2 else find(p))])
-        fresh = list({w for ws in split for w in ws if isinstance(w, str)}.difference(self.known))
+        self._know([w for ws in split for w in ws if isinstance(w, str)])
+        known = self.known
+        return [np.array([i for w in ws for i in (known[w] if isinstance(w, str) else (w,))], ID).tobytes()
+                for ws in split]
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Chunks without special tokens, each after a space."""
+        split = list(map(self.pattern.findall, [" " + c for c in chunks]))
+        self._know([w for ws in split for w in ws])
+        known = self.known
+        return [array("I", known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]]).tobytes() for ws in split]
+
+    def _know(self, words: list[str]) -> None:
+        fresh = list(set(words).difference(self.known))
         if len(self.known) + len(fresh) > 300_000:
             self.known.clear()
-            fresh = list({w for ws in split for w in ws if isinstance(w, str)})
+            fresh = list(set(words))
         for i in range(0, len(fresh), self.words_per_trie):
             self._encode_trie(fresh[i:i + self.words_per_trie])
-        known = self.known
-        return [np.array([i for w in ws for i in (known[w] if isinstance(w, str) else (w,))], ID).tobytes()
-                for ws in split]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -154,7 +162,7 @@ def trie_ids(path: str) -> tuple[TrieEncoder, IdMemo]:
     """One encoder per worker process and vocabulary file."""
     if path not in _BY_PATH:
         enc = TrieEncoder(path)
-        _BY_PATH[path] = enc, IdMemo(enc.encode_many, tuple(enc.specials))
+        _BY_PATH[path] = enc, IdMemo(enc.encode_many, tuple(enc.specials), enc.encode_chunks)
     return _BY_PATH[path]
 
 
