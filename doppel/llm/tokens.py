@@ -42,7 +42,7 @@ class IdMemo:
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str | None], group: int = 64) -> list[bytes]:
+    def encode_all(self, texts: list[str | None], group: int = 256) -> list[bytes]:
         return [ids for at in range(0, len(texts), group) for ids in self._group(texts[at:at + group])]
 
     def _group(self, texts: list[str | None]) -> list[bytes]:
@@ -52,13 +52,9 @@ class IdMemo:
             split.append(None if whole else t.split(" "))
         rare = self._learn(set().union(*[x[1:] for x in split if x]))
         get = self.memo.__getitem__
-        out = []
-        for t, x in zip(texts, split):
-            if x:
-                head = self.encode_many(x[:1])[0] if x[0] else b""
-                out.append(head + b"".join(map(get, x[1:])))
-            else:
-                out.append(self.encode_many([t])[0] if t else b"")
+        # what has no space before it: first chunks, and texts that are encoded whole
+        heads = iter(self.encode_many([x[0] if x else t or "" for t, x in zip(texts, split)]))
+        out = [next(heads) + b"".join(map(get, x[1:])) if x else next(heads) for x in split]
         for c in rare:
             del self.memo[c]
         return out
