@@ -55,6 +55,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# a broadcast of ids takes at most some tens of megabytes
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a written table of a few narrow columns if it has at most ``rows`` rows.
+
+    A larger one is left to the planner, which then shuffles both sides of the join.
+    """
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once.
 

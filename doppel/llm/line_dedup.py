@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doppel.llm.common import Scratch, let
+from doppel.llm.common import Scratch, broadcast_if_small, let
 
 EDITS = 2
 MIN_BYTES = 24
@@ -204,7 +204,7 @@ def similar_lines(docs: DataFrame, scratch: Scratch, edits: int, min_bytes: int,
     x, y = index.alias("x"), probe.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & _may_be_close("x.bits", "y.bits", edits))
     pairs = scratch.write(pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    wanted = broadcast_if_small(scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted"))
     texts = _lines(docs, id_col, text_col, min_bytes).select(F.xxhash64("line").alias("h"), "line").join(wanted, "h", "left_semi").distinct()
     texts = scratch.write(texts, "texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(

@@ -16,9 +16,9 @@ when the Jaccard similarity of their sets is at least ``threshold`` percent.
 
 Buckets are not expanded into pairs. First every member is paired with the bucket's
 *hub*, the member that shares most bucket places with others; linked members are
-merged into components. Then hubs among the members outside the hub's component do
-the same. Only what is still in different components of one bucket is compared
-pair by pair, inside a join whose condition is the sketch filter.
+merged into components. Only what is then still in different components of one
+bucket is compared, inside a join whose condition is the sketch filter and which
+gives a pair in the first band that it shares only.
 
 Defined cases: a null text has no words. Each input row gives one output row. Rows
 repeated with one id and text are one document. If one id has several texts, each
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doppel.llm.common import Scratch
+from doppel.llm.common import Scratch, broadcast_if_small
 from doppel.llm.hashing import Substrings, U, mix
 from doppel.operators.components import connected_components
 
@@ -162,7 +162,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def _hub_pairs(members: DataFrame, hubs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs of a bucket's hub with its other members that their sketches allow."""
-    pairs = members.join(hubs, "key").where("id <> hub AND comp <> hub_comp").select(
+    pairs = members.join(hubs, "key").where("id <> hub").select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     light = sets.select("id", "n", "odd")
     return (pairs.join(light.select(F.col("id").alias("a"), F.struct("n", "odd").alias("x")), "a")
@@ -173,7 +173,7 @@ def _hub_pairs(members: DataFrame, hubs: DataFrame, sets: DataFrame, threshold:
 def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that still hold more than one component."""
     comp = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("label").alias("new"))
-    now = members.drop("comp").join(comp, "id", "left").select("key", "id", "score", F.coalesce("new", "id").alias("comp"))
+    now = members.join(comp, "id", "left").select("key", "band", "id", F.coalesce("new", "id").alias("comp"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where(
         "lo <> hi AND m > 2").select("key")
     return now.join(mixed, "key", "left_semi")
@@ -181,32 +181,24 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, bands: DataFrame, scratch: Scratch, threshold: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links ``a, b`` between class representatives; ``bands`` has one row per class."""
-    keys = bands.select("id", F.explode("bands").alias("key"))
+    keys = bands.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     sized = scratch.write(keys.join(shared, "key"), "sized")
     score = sized.groupBy("id").agg(F.sum("m").alias("score"))
-    members = scratch.write(sized.join(score, "id").select("key", "id", "score", F.col("id").alias("comp")), "members")
-    sets = scratch.write(set_table(docs, members.select("id").distinct(), id_col, text_col).dropDuplicates(["id"]), "sets")
-
-    links, best = None, F.struct("score", -F.col("id"))
-    for turn in ("first", "second"):
-        if turn == "first":
-            hubs = members.groupBy("key").agg(F.max_by("id", best).alias("hub"))
-            hubs = hubs.withColumn("hub_comp", F.col("hub"))
-        else:
-            # the hub of the rest: members outside the component of the bucket's first hub
-            first = members.groupBy("key").agg(F.max_by("comp", best).alias("first_comp"))
-            hubs = members.join(first, "key").where("comp <> first_comp").groupBy("key").agg(
-                F.max_by("id", best).alias("hub"), F.max_by("comp", best).alias("hub_comp"))
-        found = scratch.write(_verify(_hub_pairs(members, hubs, sets, threshold), sets, threshold), f"links-{turn}")
-        links = found if links is None else links.unionByName(found)
-        members = scratch.write(_relabel(members, links), f"open-{turn}")
-    light = members.join(sets.select("id", "n", "odd"), "id")
+    members = scratch.write(sized.join(score, "id").select("key", "band", "id", "score"), "members")
+    wanted = broadcast_if_small(scratch.write(members.select("id").distinct(), "wanted"))
+    sets = scratch.write(set_table(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "sets")
+
+    hubs = members.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
+    links = scratch.write(_verify(_hub_pairs(members, hubs, sets, threshold), sets, threshold), "links")
+    mixed = scratch.write(_relabel(members, links), "mixed")
+    light = mixed.join(sets.select("id", "n", "odd"), "id").join(bands.select("id", "bands"), "id")
     x, y = light.alias("x"), light.alias("y")
+    earlier = lambda side: F.slice(f"{side}.bands", F.lit(1), F.col("x.band"))
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-                  & _maybe_similar("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    found = scratch.write(_verify(rest, sets, threshold), "links-rest")
-    return links.unionByName(found)
+                  & _maybe_similar("x", "y", threshold) & ~F.arrays_overlap(earlier("x"), earlier("y")))
+    pairs = scratch.write(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "rest")
+    return links.unionByName(scratch.write(_verify(pairs, sets, threshold), "rest-links"))
 
 
 def near_dedup(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
