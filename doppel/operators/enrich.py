@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doppel.functions import normalize as N
@@ -23,17 +23,21 @@ def last_record_per_id(persons: DataFrame, order_col: str | None = None) -> Data
     """One record per person id; with ``order_col`` the last one wins."""
     if order_col is None or order_col not in persons.columns:
         return persons.dropDuplicates(["person_id"])
-    w = Window.partitionBy("person_id").orderBy(F.col(order_col).desc())
-    return persons.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    # an aggregate rather than a window: partial maxima are kept before the shuffle
+    row = F.struct(*[F.col(c) for c in persons.columns])
+    return persons.groupBy("person_id").agg(F.max_by(row, order_col).alias("_row")).select("_row.*")
 
 
 def overlay_details(base: DataFrame, details: DataFrame) -> DataFrame:
     """F30 + J3: left join on person id, detail value wins when it is set.
 
-    Only the columns present in ``details`` are overlaid; unmatched base rows
-    pass through unchanged.
+    A list counts as set when it has an element. Columns that only ``details`` has are
+    added; unmatched base rows pass through unchanged. Of several detail rows of one
+    person the last one (by ``_pos``) counts.
     """
-    d_cols = [c for c in details.columns if c != "person_id"]
+    details = last_record_per_id(details, "_pos")
+    d_cols = [c for c in details.columns if c not in ("person_id", "_pos")]
+    lists = {f.name for f in details.schema.fields if f.dataType.typeName() == "array"}
     d = details.select("person_id", *[F.col(c).alias(f"_d_{c}") for c in d_cols])
     joined = base.join(d, "person_id", "left")
     out = []
@@ -46,9 +50,12 @@ def overlay_details(base: DataFrame, details: DataFrame) -> DataFrame:
             out.append(F.when(F.coalesce(dc, F.lit(0)) > 0, dc).otherwise(F.col(c)).alias(c))
         elif c in FLAG_FIELDS:
             out.append(F.coalesce(dc, F.col(c)).alias(c))
+        elif c in lists:
+            out.append(F.when(F.size(dc) > 0, dc).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.when(N.nonblank(dc), dc).otherwise(F.col(c)).alias(c))
-    return joined.select(*out)
+    added = [F.col(f"_d_{c}").alias(c) for c in d_cols if c not in base.columns]
+    return joined.select(*out, *added)
 
 
 def campus_label(campus_name, campus_id, names_id, names_name):
@@ -66,11 +73,12 @@ def export_rows(groups: DataFrame, persons: DataFrame, campuses: DataFrame,
     overlay. The cluster set is not recomputed after the overlay.
     """
     members = groups.select("dup_id", "person_id")
-    base = last_record_per_id(persons, "_pos" if "_pos" in persons.columns else None)
-    base = base.join(members.select("person_id").distinct(), "person_id", "left_semi")
+    # only members are looked at: the semi join comes before the choice of the last record
+    base = persons.join(members.select("person_id").distinct(), "person_id", "left_semi")
+    base = last_record_per_id(base, "_pos")
     if details is not None:
         base = overlay_details(base, details)
-    names = campuses.where(F.col("id") > 0).select(F.col("id").cast("int").alias("_cid"),
+    names = campuses.where(F.col("id") > 0).select(F.col("id").cast("long").alias("_cid"),
                                                   F.col("name").alias("_cname"))
     # the campus dimension joins on the planner's size estimate: broadcast
     # when below the broadcast threshold, a shuffle join otherwise

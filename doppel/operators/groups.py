@@ -11,7 +11,7 @@ from doppel.operators.ranking import dense_number
 
 
 def find_duplicate_groups(persons: DataFrame, campus_id: int | None = None,
-                          edges: DataFrame | None = None) -> DataFrame:
+                          edges: DataFrame | None = None, swap_keys: bool = False) -> DataFrame:
     """``(dup_id, person_id)`` for every person in a cluster of two or more.
 
     ``campus_id=None`` searches all campuses (FindAllGroups). With a campus id
@@ -19,12 +19,13 @@ def find_duplicate_groups(persons: DataFrame, campus_id: int | None = None,
     filter runs after clustering, never before it (FindGroups). A campus id
     <= 0 yields no clusters (P3). DupIDs are 1..n in order of each cluster's
     smallest person id (the reference's order depends on map iteration; the
-    set of clusters is the same, SURVEY Q1).
+    set of clusters is the same, SURVEY Q1). ``swap_keys`` also compares records with
+    first and last name exchanged.
     """
     if campus_id is not None and campus_id <= 0:
         return _empty(persons)
     if edges is None:
-        edges = match_edges(persons)
+        edges = match_edges(persons, swap_keys)
     comp = connected_components(edges).select(F.col("node").alias("person_id"), "label")
     if campus_id is not None:
         at_campus = persons.where(F.col("campus_id") == F.lit(campus_id)).select(F.col("person_id").cast("long"))

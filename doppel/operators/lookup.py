@@ -1,8 +1,8 @@
 """Lookups and listings.
 
 Name searches take a small argument list (what a user types) and match it
-against a dimension table that can be of any size: the argument list is
-broadcast after a size check, the dimension is streamed.
+against a dimension table that can be of any size. Which side is broadcast is left
+to the planner, which knows the size of the argument list.
 """
 
 from __future__ import annotations
@@ -13,25 +13,16 @@ from pyspark.sql import functions as F
 from doppel.functions import normalize as N
 from doppel.functions.predicates import DUPLICATE_LABEL_KEYWORDS
 
-MAX_ARGUMENT_ROWS = 10_000
-
 # Exact duplicate labels, in tie-break priority order.
 DUPLICATE_NAME_PRIORITY = ["duplikat", "dublette", "duplicate"]
 DEFAULT_DUPLICATE_TYPE_ID = 8
 
 
 def _arguments(spark: SparkSession, values: list[str], col: str = "arg") -> DataFrame:
-    if len(values) > MAX_ARGUMENT_ROWS:
-        raise ValueError(f"at most {MAX_ARGUMENT_ROWS} search arguments")
     rows = [(i, v) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, f"pos int, {col} string")
 
 
-def _bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose row count was checked against a fixed bound."""
-    return F.broadcast(df)
-
-
 # ----------------------------------------------------------------- campuses
 
 def resolve_campus(campuses: DataFrame, searches: list[str]) -> DataFrame:
@@ -56,7 +47,7 @@ def resolve_campus(campuses: DataFrame, searches: list[str]) -> DataFrame:
     names = campuses.select(F.col("id").cast("long").alias("cid"), F.col("name").alias("cname"),
                             N.campus_search_key("name").alias("ckey"))
     searched = args.where(F.col("kind") == "search")
-    hits = names.join(_bounded_broadcast(searched), F.contains(F.col("ckey"), F.col("needle")))
+    hits = names.join(searched, F.contains(F.col("ckey"), F.col("needle")))
     per = hits.groupBy("pos").agg(
         F.count(F.lit(1)).alias("n_matches"), F.min("cid").alias("only_id"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cid", "cname"))), lambda x: x["cname"]), ", ")
@@ -89,7 +80,7 @@ def find_groups_by_name(groups: DataFrame, names: list[str]) -> DataFrame:
     spark = groups.sparkSession
     args = _arguments(spark, [n.strip() for n in names], "name").where(F.col("name") != "")
     plain = groups.select("group_id", N.plain_group_name("group_name").alias("plain"))
-    hits = plain.join(_bounded_broadcast(args), F.contains(F.col("plain"), F.col("name")))
+    hits = plain.join(args, F.contains(F.col("plain"), F.col("name")))
     per = hits.groupBy("pos").agg(F.count(F.lit(1)).alias("n_matches"), F.min("group_id").alias("gid"))
     out = args.join(per, "pos", "left")
     n = F.coalesce("n_matches", F.lit(0)).cast("long")

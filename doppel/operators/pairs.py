@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from doppel.functions import normalize as N
 from doppel.functions import predicates as P
+from doppel.session import ensure_checkpoint_dir
 
 FEATURE_COLUMNS = ["email_n", "campus_id", "first_t", "last_t", "city_main", "city_by", "street_n"]
 
@@ -48,11 +49,12 @@ def person_features(persons: DataFrame) -> DataFrame:
     city = N.city_parts("city")
     first_t = N.name_tokens("first_name")
     last_t = N.name_tokens("last_name")
+    emails = F.col("emails") if "emails" in persons.columns else None
     return (persons
             .where(F.col("person_id") > 0)
             .select(F.col("person_id").cast("long").alias("person_id"),
-                    F.coalesce(F.col("campus_id").cast("int"), F.lit(0)).alias("campus_id"),
-                    N.normalize_email("email").alias("email_n"),
+                    F.coalesce(F.col("campus_id").cast("long"), F.lit(0)).alias("campus_id"),
+                    N.normalize_email(N.primary_email("email", emails)).alias("email_n"),
                     first_t.alias("first_t"),
                     last_t.alias("last_t"),
                     city["main"].alias("city_main"),
@@ -211,10 +213,36 @@ def block_edges(features: DataFrame) -> DataFrame:
     return result
 
 
-def match_edges(persons: DataFrame) -> DataFrame:
-    """E-mail edges united with block edges, as distinct ``(src < dst)`` pairs."""
-    features = person_features(persons).persist()
+def swapped_block_edges(features: DataFrame) -> DataFrame:
+    """The optional block of records whose first and last name tokens are exchanged.
+
+    Only pairs that no other block holds are looked at: the leading first-name tokens differ.
+    """
+    people = features.where((F.size("first_t") > 0) & (F.size("last_t") > 0))
+    key = ["first_t", "last_t", "city_main", "city_by", "street_n"]
+    nodes = people.groupBy(*key).agg(F.min("person_id").alias("rep"))
+    first, last = F.col("first_t")[0], F.col("last_t")[0]
+    nodes = nodes.where(first != last).withColumn("lo", F.least(first, last)).withColumn("hi", F.greatest(first, last))
+    pairs = _pairs_within(nodes, ["lo", "hi"], ["rep", *key]).where(F.col("l_first_t")[0] != F.col("r_first_t")[0])
+    l = {c: F.col(f"l_{c}") for c in key}
+    r = {c: F.col(f"r_{c}") for c in key}
+    pairs = pairs.select("*", (_r1(l, r) | _r2(l, r)).alias("sym"), _r3(l, r).alias("fwd"), _r3(r, l).alias("bwd"))
+    plain = pairs.where("sym").select(F.col("l_rep").alias("src"), F.col("r_rep").alias("dst"))
+    only_swapped = pairs.where(~F.col("sym") & (F.col("fwd") | F.col("bwd"))).select("l_rep", "r_rep", "fwd", "bwd")
+    return plain.unionByName(_swapped_edges(people, only_swapped, key))
+
+
+def match_edges(persons: DataFrame, swap_keys: bool = False) -> DataFrame:
+    """E-mail edges united with block edges, as distinct ``(src < dst)`` pairs.
+
+    ``swap_keys`` adds the block of exchanged first and last names.
+    """
+    # written once to the shared folder: every branch below reads it, and a lost executor costs a re-read
+    ensure_checkpoint_dir(persons.sparkSession)
+    features = person_features(persons).checkpoint(eager=True)
     edges = email_edges(features).unionByName(block_edges(features))
+    if swap_keys:
+        edges = edges.unionByName(swapped_block_edges(features))
     return (edges.where(F.col("src") != F.col("dst"))
             .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
             .distinct())

@@ -1,11 +1,11 @@
 """Dense 1..n numbering of distinct keys without a single-partition window.
 
 ``row_number() over (order by k)`` moves every row into one task. Here the
-keys are cut into ``buckets`` ranges at approximate quantiles (one small
-aggregate), counted per range (``buckets`` rows, a fixed bound, so the
-offsets table is broadcast), and numbered inside each range with a window
-partitioned by range. The quantiles are computed once and used as literals,
-so a recomputation after an executor loss yields the same numbers.
+distinct keys are range-partitioned (so many ranges that each stays small),
+written to the shared checkpoint folder, counted per range, and numbered inside
+each range. The ranges are read back from the written copy, so a recomputation
+after an executor loss yields the same numbers. The offsets hold one row per
+range.
 """
 
 from __future__ import annotations
@@ -13,31 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from doppel.session import ensure_checkpoint_dir
 
-def dense_number(keys: DataFrame, key: str, out: str, buckets: int | None = None) -> DataFrame:
-    """Add ``out`` = 1..n in ascending order of the distinct, non-null ``key``."""
-    spark = keys.sparkSession
-    if buckets is None:
-        buckets = max(1, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    distinct = keys.select(key).where(F.col(key).isNotNull()).distinct()
-    bounds: list = []
-    if buckets > 1:
-        qs = [i / buckets for i in range(1, buckets)]
-        row = distinct.agg(F.percentile_approx(key, qs, 10000).alias("q")).first()
-        bounds = sorted(set(v for v in (row["q"] or []) if v is not None))
-    if bounds:
-        lits = F.array(*[F.lit(b) for b in bounds])
-        bucket = F.size(F.filter(lits, lambda b: b < F.col(key)))
-    else:
-        bucket = F.lit(0)
-    tagged = distinct.withColumn("_bucket", bucket)
-    counts = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # at most len(bounds) + 1 rows: a fixed, checked bound, so broadcast is safe
-    offsets = counts.select(
-        "_bucket",
-        (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    offsets = offsets.select("_bucket", F.coalesce("_off", F.lit(0)).alias("_off"))
-    numbered = (tagged.join(F.broadcast(offsets), "_bucket")
-                .withColumn(out, F.col("_off") + F.row_number().over(Window.partitionBy("_bucket").orderBy(key)))
-                .select(key, out))
-    return numbered
+ROWS_PER_RANGE = 1_000_000
+
+
+def dense_number(keys: DataFrame, key: str | list[str], out: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Add ``out`` = 1..n in ascending order of the distinct, non-null key columns."""
+    cols = [key] if isinstance(key, str) else list(key)
+    ensure_checkpoint_dir(keys.sparkSession)
+    distinct = keys.select(*cols).dropna(subset=cols).distinct().checkpoint(eager=True)
+    ranges = -(-distinct.count() // rows_per_range) or 1
+    ranged = distinct.repartitionByRange(ranges, *cols).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*cols))
+    return ranged.join(offsets, "_range").select(*cols, (F.col("_off") + place).alias(out))

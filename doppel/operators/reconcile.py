@@ -55,7 +55,7 @@ def resolve_group(memberships: DataFrame, group_name: str) -> DataFrame:
 
     Returns ``(n_matches, group_id)``; the group resolves when ``n_matches == 1``.
     """
-    want = group_name.strip()
+    want = _wanted(group_name)
     groups = memberships.select("group_id", "group_name").dropDuplicates(["group_id"])
     hits = groups.where(F.contains(N.plain_group_name("group_name"), F.lit(want)))
     return hits.agg(F.count(F.lit(1)).alias("n_matches"), F.min("group_id").alias("group_id"))
@@ -63,12 +63,17 @@ def resolve_group(memberships: DataFrame, group_name: str) -> DataFrame:
 
 def members_of_named_group(memberships: DataFrame, group_name: str) -> DataFrame:
     """Person ids whose groups' lower plain name contains the lower wanted name."""
-    want = group_name.strip().lower()
+    want = _wanted(group_name).lower()
     return (memberships
             .where(F.contains(F.lower(N.plain_group_name("group_name")), F.lit(want)))
             .select(F.col("person_id").cast("long").alias("person_id")).distinct())
 
 
+def _wanted(group_name: str) -> str:
+    """A blank group name means the default one."""
+    return group_name.strip() or DEFAULT_GROUP_NAME
+
+
 def _q(s: str) -> str:
     return '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
@@ -82,7 +87,9 @@ def _ids(cond, order="line", col="person_id"):
 
 def reconcile(review: DataFrame, relationships: DataFrame, memberships: DataFrame,
               rel_type_id: int = 8, dry_run: bool = True, skip_group_add: bool = False,
-              group_name: str = DEFAULT_GROUP_NAME) -> ReconcileResult:
+              group_name: str = DEFAULT_GROUP_NAME, groups: DataFrame | None = None) -> ReconcileResult:
+    """See the module's docstring. ``groups`` (``group_id, group_name``) lists all groups (S6);
+    without it only groups that have a member are known."""
     rows = review.select(F.col("dup_id").cast("long"), F.col("person_id").cast("long"), F.col("line").cast("long"))
     stats = rows.groupBy("dup_id").agg(F.min_by("person_id", "line").alias("primary_id"),
                                        F.min("line").alias("primary_line"),
@@ -100,7 +107,7 @@ def reconcile(review: DataFrame, relationships: DataFrame, memberships: DataFram
               .join(existing, ["lo", "hi"], "left")
               .withColumn("exists", F.coalesce("exists", F.lit(False))))
     group_members = members_of_named_group(memberships, group_name).withColumn("in_group", F.lit(True))
-    gname = _q(group_name)
+    gname = _q(_wanted(group_name))
 
     if dry_run:
         per = others.groupBy("dup_id").agg(
@@ -114,8 +121,8 @@ def reconcile(review: DataFrame, relationships: DataFrame, memberships: DataFram
                .drop("person_id"))
         in_group = F.coalesce("in_group", F.lit(False)) & F.lit(not skip_group_add)
         note = (F.lit("") if skip_group_add else
-                F.when(in_group, F.format_string(f"; Person %d bereits in Gruppe {gname}", "primary_id"))
-                 .otherwise(F.format_string(f"; Person %d würde in Gruppe {gname} aufgenommen", "primary_id")))
+                F.when(in_group, F.format_string("; Person %d bereits in Gruppe %s", "primary_id", F.lit(gname)))
+                 .otherwise(F.format_string("; Person %d würde in Gruppe %s aufgenommen", "primary_id", F.lit(gname))))
         too_small = F.col("n_rows") < 2
         failed = F.coalesce("failed", F.lit(False))
         msg = (F.when(too_small, F.lit("übersprungen: weniger als zwei Personen"))
@@ -150,7 +157,7 @@ def reconcile(review: DataFrame, relationships: DataFrame, memberships: DataFram
             F.sum((~F.col("creates")).cast("long")).alias("n_already"))
         fails = bad.select("dup_id", "bad_id")
         # one aggregate row: how many groups the target name resolves to
-        grp = resolve_group(memberships, group_name).first()
+        grp = resolve_group(groups if groups is not None else memberships, group_name).first()
         n_matches, target_group = int(grp["n_matches"]), grp["group_id"]
         res = stats.join(per, "dup_id", "left").join(fails, "dup_id", "left")
         too_small = F.col("n_rows") < 2
@@ -158,7 +165,7 @@ def reconcile(review: DataFrame, relationships: DataFrame, memberships: DataFram
         group_fail = F.lit(not skip_group_add and n_matches != 1)
         group_msg = F.lit(f"Gruppe {gname}: Gruppe nicht gefunden: {gname}" if n_matches == 0
                           else f"Gruppe {gname}: mehrere Gruppen passen zu {gname}")
-        note = F.lit("") if skip_group_add else F.format_string(f"; Person %d in Gruppe {gname}", "primary_id")
+        note = F.lit("") if skip_group_add else F.format_string("; Person %d in Gruppe %s", "primary_id", F.lit(gname))
         n_new = F.coalesce("n_new", F.lit(0))
         n_already = F.coalesce("n_already", F.lit(0))
         ok = ~too_small & ~failed_check & ~group_fail

@@ -112,12 +112,15 @@ def features_sql(src: str = "persons") -> str:
 FROM {src} WHERE person_id > 0"""
 
 
-def block_keys_sql(f: str = "f") -> str:
+def block_keys_sql(f: str = "f", swapped: bool = False) -> str:
+    either = f"""
+  UNION ALL SELECT person_id, CASE WHEN len(first_t) > 0 AND len(last_t) > 0 THEN
+    'sw:' || least(first_t[1], last_t[1]) || '|' || greatest(first_t[1], last_t[1]) END FROM {f}""" if swapped else ""
     return f"""SELECT person_id, k AS block_key FROM (
   SELECT person_id, CASE WHEN len(first_t) > 0 AND city_main <> '' AND street_n <> ''
                          THEN 'fcs:' || first_t[1] || '|' || city_main || '|' || street_n END AS k FROM {f}
   UNION ALL SELECT person_id, CASE WHEN len(first_t) > 0 AND len(last_t) > 0 THEN 'fl:' || first_t[1] || '|' || last_t[1] END FROM {f}
-  UNION ALL SELECT person_id, CASE WHEN len(first_t) > 0 AND len(last_t) > 0 THEN 'lf:' || last_t[1] || '|' || first_t[1] END FROM {f}
+  UNION ALL SELECT person_id, CASE WHEN len(first_t) > 0 AND len(last_t) > 0 THEN 'lf:' || last_t[1] || '|' || first_t[1] END FROM {f}{either}
 ) t WHERE k IS NOT NULL"""
 
 

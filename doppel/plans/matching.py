@@ -120,6 +120,11 @@ def duplicate_groups_campus(spark, sf_dir):
     return find_duplicate_groups(_persons(spark, sf_dir), campus_id=CAMPUS_FOR_QUERY)
 
 
+def duplicate_groups_swapped(spark, sf_dir):
+    """C1 with the optional block of exchanged first and last names."""
+    return find_duplicate_groups(_persons(spark, sf_dir), swap_keys=True)
+
+
 # --------------------------------------------------------------------------- oracles
 
 _F = f"f AS ({D.features_sql()})"
@@ -150,12 +155,13 @@ _ALL_EDGES = f"""{_EMAIL_EDGES.replace('edges AS', 'eedges AS', 1)},
   edges AS (SELECT src, dst FROM eedges UNION SELECT src, dst FROM bedges)"""
 
 
-def _groups_sql(campus: int | None) -> str:
+def _groups_sql(campus: int | None, swapped: bool = False) -> str:
     keep = ""
+    edges = _ALL_EDGES.replace(D.block_keys_sql("f"), D.block_keys_sql("f", swapped))
     if campus is not None:
         keep = (f"WHERE label IN (SELECT c.label FROM comp c JOIN persons p ON p.person_id = c.node "
                 f"WHERE p.campus_id = {campus})")
-    return _q(f"""{_ALL_EDGES},
+    return _q(f"""{edges},
   {D.components_sql('edges')},
   kept AS (SELECT node, label FROM comp {keep})
 SELECT CAST(dense_rank() OVER (ORDER BY label) AS BIGINT) AS dup_id, CAST(node AS BIGINT) AS person_id FROM kept""",
@@ -187,6 +193,7 @@ FROM f a JOIN f b ON CAST(floor(a.person_id / 4.0) AS BIGINT) = CAST(floor(b.per
   AND a.person_id < b.person_id"""),
     "duplicate_groups": _groups_sql(None),
     "duplicate_groups_campus": _groups_sql(CAMPUS_FOR_QUERY),
+    "duplicate_groups_swapped": _groups_sql(None, swapped=True),
 }
 
 QUERIES = {
@@ -202,4 +209,5 @@ QUERIES = {
     "entity_pair_rules": entity_pair_rules,
     "duplicate_groups": duplicate_groups,
     "duplicate_groups_campus": duplicate_groups_campus,
+    "duplicate_groups_swapped": duplicate_groups_swapped,
 }

@@ -82,7 +82,7 @@ def _write_text_review(out: DataFrame, path: str) -> None:
 
 def review_rows(spark, sf_dir) -> DataFrame:
     """The edited review: ``dup_id, person_id, line``."""
-    g = _groups(spark, sf_dir).persist()
+    g = _groups(spark, sf_dir).checkpoint(eager=True)
     base = g.where(F.col("person_id") % 13 != 0).withColumn("k", F.lit(0))
     stats = base.groupBy("dup_id").agg(F.min("person_id").alias("lo"), F.max("person_id").alias("hi"))
     repeat = (g.where(F.col("dup_id") % 7 == 0).groupBy("dup_id").agg(F.max("person_id").alias("person_id"))
@@ -91,10 +91,10 @@ def review_rows(spark, sf_dir) -> DataFrame:
                .select("dup_id", F.when(F.col("dup_id") % 3 == 0, F.col("hi")).otherwise(F.col("lo")).alias("person_id"))
                .withColumn("k", F.lit(2)))
     rows = base.unionByName(repeat).unionByName(invalid)
-    sort = F.when(F.col("dup_id") % 3 == 0, F.lit((1 << 31) - 1) - F.col("person_id")).otherwise(F.col("person_id"))
-    rows = rows.withColumn("_key", F.shiftleft(F.col("dup_id"), 33) + F.col("k") * F.lit(1 << 31) + sort)
-    numbered = dense_number(rows.select("_key"), "_key", "_n")
-    return (rows.join(numbered, "_key")
+    sort = F.when(F.col("dup_id") % 3 == 0, -F.col("person_id")).otherwise(F.col("person_id"))
+    rows = rows.withColumn("sort", sort)
+    numbered = dense_number(rows, ["dup_id", "k", "sort"], "_n")
+    return (rows.join(numbered, ["dup_id", "k", "sort"])
             .select("dup_id", "person_id", (F.col("_n") + 1).cast("long").alias("line")))
 
 
@@ -227,8 +227,8 @@ _DRY = """,
 
 _APPLY = """,
   proc AS (SELECT * FROM o2 WHERE bad_line IS NULL OR line < bad_line),
-  first_seen AS (SELECT lo, hi, min(dup_id * 4294967296 + line) AS f FROM proc GROUP BY lo, hi),
-  proc2 AS (SELECT p.*, (NOT p.ex AND f.f = p.dup_id * 4294967296 + p.line) AS creates FROM proc p JOIN first_seen f USING (lo, hi)),
+  first_seen AS (SELECT lo, hi, min(struct_pack(d := dup_id, l := line)) AS f FROM proc GROUP BY lo, hi),
+  proc2 AS (SELECT p.*, (NOT p.ex AND f.f = struct_pack(d := p.dup_id, l := p.line)) AS creates FROM proc p JOIN first_seen f USING (lo, hi)),
   per AS (SELECT dup_id, sum(CAST(creates AS BIGINT)) AS n_new, sum(CAST(NOT creates AS BIGINT)) AS n_already FROM proc2 GROUP BY dup_id),
   grp AS (SELECT count(*) AS n_matches, min(group_id) AS group_id FROM (SELECT group_id, first(group_name) AS group_name
           FROM memberships GROUP BY group_id) g WHERE contains(""" + "{PLAIN}" + """, 'Duplikate')),

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 PERSONS_SQL = """
 SELECT k AS person_id,
   CASE WHEN k % 11 = 0 THEN 0 ELSE nk + 1 END AS campus_id,
-  CASE v WHEN 1 THEN CASE e % 6 WHEN 0 THEN 'Jan O.' WHEN 1 THEN 'Maria Luisa' WHEN 2 THEN 'ANNA' WHEN 3 THEN 'Peter' WHEN 4 THEN last0 ELSE 'E.' END
+  CASE v WHEN 1 THEN CASE e % 6 WHEN 0 THEN 'Tim R.' WHEN 1 THEN 'Eva Marie' WHEN 2 THEN 'ANNA' WHEN 3 THEN 'Konrad' WHEN 4 THEN last0 ELSE 'E.' END
          WHEN 2 THEN 'Bernd' WHEN 3 THEN 'Uwe'
-         ELSE CASE e % 6 WHEN 0 THEN 'Jan Oliver' WHEN 1 THEN 'Maria-Luisa' WHEN 2 THEN 'Anna' WHEN 3 THEN 'Peter' WHEN 4 THEN 'Sofia' ELSE 'Erika' END END AS first_name,
+         ELSE CASE e % 6 WHEN 0 THEN 'Tim Robert' WHEN 1 THEN 'Eva-Marie' WHEN 2 THEN 'Anna' WHEN 3 THEN 'Konrad' WHEN 4 THEN 'Sofia' ELSE 'Erika' END END AS first_name,
   CASE WHEN v = 3 THEN 'Solo' || suffix
        WHEN v = 1 AND e % 6 = 4 THEN 'Sofia'
-       WHEN v = 1 AND e % 6 = 3 THEN 'Kurz' || suffix
+       WHEN v = 1 AND e % 6 = 3 THEN 'Krug' || suffix
        WHEN v = 1 AND e % 6 = 2 THEN last0 || '-Schmidt'
        ELSE last0 END AS last_name,
   CASE WHEN v = 3 THEN CASE WHEN e % 2 = 0 THEN '' ELSE 'solo' || CAST(k AS VARCHAR(20)) || '@example.org' END
@@ -28,15 +28,15 @@ SELECT k AS person_id,
        WHEN v = 2 THEN CASE WHEN e % 2 = 0 THEN '' ELSE 'fam' || CAST(e AS VARCHAR(20)) || '@example.org' END
        ELSE 'fam' || CAST(e AS VARCHAR(20)) || '@example.org' END AS email,
   CASE WHEN v = 3 THEN 'Gasse ' || CAST(k AS VARCHAR(20))
-       ELSE CASE WHEN v = 1 THEN CASE e % 4 WHEN 0 THEN 'Klarstraße ' WHEN 1 THEN 'Friedrich Ebert Str.' WHEN 2 THEN 'Lindenweg  ' ELSE 'BAHNHOFSTR. ' END
-                 ELSE CASE e % 4 WHEN 0 THEN 'Klarstr. ' WHEN 1 THEN 'Friedrich-Ebert-Straße ' WHEN 2 THEN 'Lindenweg ' ELSE 'Bahnhofstrasse ' END END
+       ELSE CASE WHEN v = 1 THEN CASE e % 4 WHEN 0 THEN 'Talstraße ' WHEN 1 THEN 'Anna Seghers Str.' WHEN 2 THEN 'Lindenweg  ' ELSE 'BAHNHOFSTR. ' END
+                 ELSE CASE e % 4 WHEN 0 THEN 'Talstr. ' WHEN 1 THEN 'Anna-Seghers-Straße ' WHEN 2 THEN 'Lindenweg ' ELSE 'Bahnhofstrasse ' END END
             || CAST(e % 97 + 1 AS VARCHAR(20)) END AS street,
-  CASE WHEN v = 1 THEN CASE e % 5 WHEN 0 THEN 'Frankfurt am Main' WHEN 1 THEN 'Frankfurt/M' WHEN 2 THEN 'Trebur/Astheim' WHEN 3 THEN 'Mainz' ELSE 'Frankfurt am Main' END
-       ELSE CASE e % 5 WHEN 0 THEN 'Frankfurt' WHEN 1 THEN 'Frankfurt/M.' WHEN 2 THEN 'Trebur/Astheim' WHEN 3 THEN ' mainz' ELSE 'Frankfurt a.d. Oder' END END AS city,
+  CASE WHEN v = 1 THEN CASE e % 5 WHEN 0 THEN 'Halle am Berg' WHEN 1 THEN 'Halle/B' WHEN 2 THEN 'Lauffen/Dorf' WHEN 3 THEN 'Gera' ELSE 'Halle am Berg' END
+       ELSE CASE e % 5 WHEN 0 THEN 'Halle' WHEN 1 THEN 'Halle/B.' WHEN 2 THEN 'Lauffen/Dorf' WHEN 3 THEN ' gera' ELSE 'Halle a.d. Saale' END END AS city,
   CASE k % 4 WHEN 0 THEN '2026-05-20T22:26:37Z' WHEN 1 THEN '2026-06-14' WHEN 2 THEN '' ELSE '20.05.2026' END AS created_at,
   CASE k % 5 WHEN 0 THEN 'pending' WHEN 1 THEN ' Accepted ' ELSE '' END AS invitation_status
 FROM (SELECT k, nk, e, v, suffix,
-        CASE e % 5 WHEN 0 THEN 'Müller' WHEN 1 THEN 'Groß' WHEN 2 THEN 'Özer' WHEN 3 THEN 'Lang' ELSE 'Berger' END || suffix AS last0
+        CASE e % 5 WHEN 0 THEN 'Müller' WHEN 1 THEN 'Groß' WHEN 2 THEN 'Ünal' WHEN 3 THEN 'Weber' ELSE 'Berger' END || suffix AS last0
       FROM (SELECT c_custkey AS k, c_nationkey AS nk, CAST(floor(c_custkey / 4.0) AS BIGINT) AS e, c_custkey % 4 AS v,
               chr(CAST(97 + CAST(floor(c_custkey / 4.0) AS BIGINT) % 26 AS INT)) || chr(CAST(97 + CAST(floor(c_custkey / 104.0) AS BIGINT) % 26 AS INT)) || chr(CAST(97 + CAST(floor(c_custkey / 2704.0) AS BIGINT) % 26 AS INT)) AS suffix
             FROM {customer}) t1) t2

@@ -41,8 +41,10 @@ def flexible_bool(v: Column) -> Column:
 def json_int(v: Column) -> Column:
     """JSON number -> integer (truncated); strings are not accepted."""
     k = _kind(v)
-    return F.when(k.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | k.startswith("DECIMAL") | (k == "DOUBLE"),
-                  F.try_variant_get(v, "$", "double").cast("long"))
+    # whole numbers never pass through a double, which holds 53 bits only
+    return (F.when(k.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, "$", "bigint"))
+             .when(k.startswith("DECIMAL"), F.try_variant_get(v, "$", "decimal(38,9)").try_cast("long"))
+             .when(k == "DOUBLE", F.try_variant_get(v, "$", "double").try_cast("long")))
 
 
 def _first(*cols: Column) -> Column:
@@ -67,13 +69,15 @@ def page_items(envelopes: DataFrame, text_col: str = "value", max_pages: int | N
         F.try_variant_get("env", "$.meta.pagination.lastPage", "bigint").alias("last_page"),
         F.try_variant_get("env", "$.data", "variant").alias("data"))
     if check_complete or max_pages:
-        st = env.agg(F.count_distinct("page").alias("n"), F.max("last_page").alias("last"),
-                     F.max("page").alias("top")).first()
+        st = env.agg(F.count_distinct("page").alias("n"), F.max("last_page").alias("last"), F.min("page").alias("low"),
+                     F.max("page").alias("top"), F.count(F.lit(1)).alias("landed")).first()
         last = st["last"] if st["last"] is not None else st["top"]
         if max_pages and last is not None and last > max_pages:
             raise ValueError(f"more than {max_pages} pages")
-        if check_complete and last is not None and st["n"] != last:
-            raise ValueError(f"incomplete page set: {st['n']} of {last} pages")
+        if check_complete and last is not None and (st["n"], st["low"], st["top"]) != (last, 1, last):
+            raise ValueError(f"incomplete page set: {st['n']} pages from {st['low']} to {st['top']} of {last}")
+        if check_complete and st["landed"] != st["n"]:
+            raise ValueError(f"{st['landed'] - st['n']} pages landed twice")
     kind = _kind(F.col("data"))
     items = F.when(kind.startswith("ARRAY"), F.try_variant_get("data", "$", "array<variant>")) \
              .when(kind != "NULL", F.array(F.col("data")))
@@ -122,12 +126,12 @@ def decode_persons(items: DataFrame, item_col: str = "item") -> DataFrame:
         emails.alias("emails"),
         F.coalesce(street, F.lit("")).alias("street"),
         F.coalesce(city, F.lit("")).alias("city"),
-        F.coalesce(campus_id, F.lit(0)).cast("int").alias("campus_id"),
+        F.coalesce(campus_id, F.lit(0)).alias("campus_id"),
         F.coalesce(F.when(_kind(campus).startswith("OBJECT"), N.utrim(_get(campus, "name", "string"))), F.lit(""))
          .alias("campus_name"),
         F.coalesce(N.format_export_date(created), F.lit("")).alias("created_at"),
-        F.coalesce(_get(v, "invitationStatus", "string"), flexible_string(_get(v, "invitation_status")), F.lit(""))
-         .alias("invitation_status"),
+        F.coalesce(F.when(N.nonblank(_get(v, "invitationStatus", "string")), _get(v, "invitationStatus", "string")),
+                   flexible_string(_get(v, "invitation_status")), F.lit("")).alias("invitation_status"),
         _first(flexible_bool(_get(v, "isSystemUser")), flexible_bool(_get(v, "is_system_user"))).alias("is_system_user"),
         _first(flexible_bool(_get(v, "isAllowedToLogin")), flexible_bool(_get(v, "is_allowed_to_login")))
          .alias("is_allowed_to_login"),
@@ -139,6 +143,20 @@ def decode_persons(items: DataFrame, item_col: str = "item") -> DataFrame:
     return items.select(out.alias("p")).select("p.*").where(F.col("person_id") > 0)
 
 
+def invalid_persons(items: DataFrame, item_col: str = "item") -> DataFrame:
+    """S4 quarantine: ``item, reason`` of rows that a strict decode refuses.
+
+    The id must be a whole number and the name fields text; ``decode_persons`` drops or
+    blanks such rows, so a load that must not lose any checks that this is empty.
+    """
+    v = F.col(item_col)
+    whole = _kind(_get(v, "id")).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+    wrong = [F.when(_get(v, k).isNotNull() & ~_kind(_get(v, k)).isin("STRING", "NULL", "VOID"), F.lit(f"{k} is not text"))
+             for k in ("firstName", "lastName", "email")]
+    reason = F.coalesce(F.when(~F.coalesce(whole, F.lit(False)), F.lit("id is not a whole number")), *wrong)
+    return items.select(F.col(item_col).cast("string").alias("item"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def _addr(item: Column, keys: list[str]) -> Column:
     vals = [F.when(_kind(_get(item, k)) == "STRING", N.utrim(_get(item, k, "string"))) for k in keys]
     return F.coalesce(*[F.when(x != "", x) for x in vals])
@@ -153,11 +171,11 @@ def id_from_url(url: Column, skip: tuple[str, ...] = ("persons", "person")) -> C
 
 
 def id_from_identifier(text: Column) -> Column:
-    """whole text, or its first ``-`` part, as a positive integer."""
+    """whole text, or its first ``-`` part that is one, as a positive integer."""
     t = N.utrim(text)
     whole = t.try_cast("bigint")
-    part = F.split(t, "-").getItem(0).try_cast("bigint")
-    return F.when(whole > 0, whole).when(part > 0, part)
+    parts = F.transform(F.split(t, "-"), lambda p: N.utrim(p).try_cast("bigint"))
+    return F.when(whole > 0, whole).otherwise(F.try_element_at(F.filter(parts, lambda p: p > 0), F.lit(1)))
 
 
 def decode_relationships(items: DataFrame, person_id: Column, item_col: str = "item") -> DataFrame:
@@ -170,36 +188,43 @@ def decode_relationships(items: DataFrame, person_id: Column, item_col: str = "i
     rel = _get(v, "relative")
     person = _get(v, "person")
 
-    def from_obj(o):
-        return _first(F.when(json_int(_get(o, "id")) > 0, json_int(_get(o, "id"))),
-                      F.when(json_int(_get(o, "personId")) > 0, json_int(_get(o, "personId"))),
-                      id_from_url(_get(o, "apiUrl", "string")),
-                      id_from_url(_get(o, "frontendUrl", "string")),
-                      id_from_identifier(_get(o, "domainIdentifier", "string")))
+    def from_obj(o, identifier: bool):
+        ids = [F.when(json_int(_get(o, "id")) > 0, json_int(_get(o, "id"))),
+               F.when(json_int(_get(o, "personId")) > 0, json_int(_get(o, "personId"))),
+               id_from_url(_get(o, "apiUrl", "string")), id_from_url(_get(o, "frontendUrl", "string"))]
+        return _first(*ids, *([id_from_identifier(_get(o, "domainIdentifier", "string"))] if identifier else []))
 
     related = _first(*[F.when(json_int(_get(v, k)) > 0, json_int(_get(v, k)))
                        for k in ["personId", "relatedPersonId", "relativePersonId"]],
-                     from_obj(rel), from_obj(person))
+                     from_obj(rel, True), from_obj(person, False))
     own = _get(v, "relationshipName", "string")
     name = N.utrim(F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(_get(v, "degreeOfRelationship", "string")))
     return items.select(person_id.cast("long").alias("person_id"), related.cast("long").alias("related_person_id"),
-                        F.coalesce(type_id, F.lit(0)).cast("int").alias("relationship_type_id"),
+                        F.coalesce(type_id, F.lit(0)).alias("relationship_type_id"),
                         F.coalesce(name, F.lit("")).alias("name")) \
         .where(F.col("related_person_id").isNotNull())
 
 
 def decode_groups(items: DataFrame, person_id: Column, item_col: str = "item") -> DataFrame:
-    """S8 + F28: a person's groups; nested ``group`` first, else the row itself."""
+    """S8 + F28: a person's groups; nested ``group`` if it has id and name, else the row itself.
+
+    The first record of a group wins: by the column ``pos`` (reading order) if the
+    items have one, else by the smallest name, so that the result is defined.
+    """
     v = F.col(item_col)
+
+    def read(obj: Column) -> Column:
+        gid = _first(F.when(json_int(_get(obj, "groupId")) > 0, json_int(_get(obj, "groupId"))),
+                     F.when(json_int(_get(obj, "id")) > 0, json_int(_get(obj, "id"))),
+                     id_from_url(_get(obj, "apiUrl", "string"), ("groups",)),
+                     id_from_url(_get(obj, "frontendUrl", "string"), ("groups",)))
+        name = _first(flexible_string(_get(obj, "name")), flexible_string(_get(obj, "title")),
+                      flexible_string(_get(_get(obj, "information"), "name")))
+        return F.when((gid > 0) & name.isNotNull(), F.struct(gid.cast("long").alias("group_id"), name.alias("group_name")))
+
     g = _get(v, "group")
-    obj = F.when(_kind(g).startswith("OBJECT"), g).otherwise(v)
-    gid = _first(F.when(json_int(_get(obj, "groupId")) > 0, json_int(_get(obj, "groupId"))),
-                 F.when(json_int(_get(obj, "id")) > 0, json_int(_get(obj, "id"))),
-                 id_from_url(_get(obj, "apiUrl", "string"), ("groups",)),
-                 id_from_url(_get(obj, "frontendUrl", "string"), ("groups",)))
-    name = _first(flexible_string(_get(obj, "name")), flexible_string(_get(obj, "title")),
-                  flexible_string(_get(_get(obj, "information"), "name")))
-    rows = items.select(person_id.cast("long").alias("person_id"), gid.cast("long").alias("group_id"),
-                        name.alias("group_name"))
-    return (rows.where((F.col("group_id") > 0) & F.col("group_name").isNotNull())
-            .groupBy("person_id", "group_id").agg(F.first("group_name").alias("group_name")))
+    found = _first(read(F.when(_kind(g).startswith("OBJECT"), g)), read(v))
+    order = F.col("pos") if "pos" in items.columns else F.lit(0)
+    rows = items.select(person_id.cast("long").alias("person_id"), order.alias("pos"), found.alias("g")).where("g IS NOT NULL")
+    return (rows.groupBy("person_id", F.col("g.group_id").alias("group_id"))
+            .agg(F.min_by("g.group_name", F.struct("pos", "g.group_name")).alias("group_name")))

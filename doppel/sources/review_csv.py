@@ -191,9 +191,8 @@ def group_review(rows: DataFrame) -> DataFrame:
     stats = rows.groupBy("dup_id").agg(F.min_by("person_id", "line").alias("primary_id"),
                                        F.min("line").alias("primary_line"),
                                        F.count(F.lit(1)).alias("n_rows"))
-    keyed = rows.withColumn("_k", F.shiftleft(F.col("dup_id").cast("long"), 32) + F.col("line"))
-    order = dense_number(keyed.select("_k"), "_k", "_g")
-    first = keyed.join(order, "_k").groupBy("dup_id").agg(F.min("_g").alias("_g0"))
-    return (keyed.join(order, "_k").join(first, "dup_id").join(stats, "dup_id")
+    order = dense_number(rows, ["dup_id", "line"], "_g")
+    first = order.groupBy("dup_id").agg(F.min("_g").alias("_g0"))
+    return (rows.join(order, ["dup_id", "line"]).join(first, "dup_id").join(stats, "dup_id")
             .withColumn("pos", (F.col("_g") - F.col("_g0") + 1).cast("long"))
-            .drop("_k", "_g", "_g0"))
+            .drop("_g", "_g0"))

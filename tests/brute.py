@@ -1,156 +1,128 @@
-"""Plain-Python statement of the matching rules, for brute-force checks on small inputs."""
+"""The matching rules once more, written from their description for small inputs.
 
-import re
-import unicodedata
+A person becomes a ``Facts`` record of what the rules look at. Links are collected
+over all ordered pairs and followed breadth first.
+"""
 
-MARKERS = ["an der", "a.d.", "a. d.", "in der", "i.d.", "i. d.", "am", "a.", "im", "i.",
-           "in", "bei", "b.", "ob der", "o.d.", "o. d.", "vor der", "v.d.", "v. d.", "unter", "u."]
-
-
-def _is_tok(ch):
-    return unicodedata.category(ch).startswith("L") or unicodedata.category(ch) == "Nd"
-
-
-def tokens(s):
-    out, cur = [], ""
-    for ch in (s or "").lower():
-        if _is_tok(ch):
-            cur += ch
-        elif cur:
-            out.append(cur)
-            cur = ""
-    if cur:
-        out.append(cur)
-    return out
-
-
-def street(s):
-    return " ".join(re.sub("str$", "strasse", t) for t in tokens((s or "").lower().replace("ß", "ss")))
+from collections import deque
+from dataclasses import dataclass
 
+import regex
 
-def city(s):
-    v = (s or "").strip().lower()
-    if not v:
-        return "", ""
-    i = v.find("/")
-    if i > 0:
-        return v[:i].strip(), v[i + 1:].strip().rstrip(".")
-    for m in MARKERS:
-        pad = f" {m} "
-        i = v.find(pad)
-        if i > 0:
-            return v[:i].strip(), v[i + len(pad):].strip().rstrip(".")
-    return v, ""
+# Words that separate a town from what tells it from others, in order of precedence.
+MARKERS = ["an der", "a.d.", "a. d.", "in der", "i.d.", "i. d.", "am", "a.", "im", "i.",
+           "in", "bei", "b.", "ob der", "o.d.", "o. d.", "vor der", "v.d.", "v. d.", "unter", "u."]
 
 
-def blen(s):
-    return len(s.encode())
+def words(text):
+    return tuple(regex.findall(r"[\p{L}\p{Nd}]+", (text or "").lower()))
 
 
-def subset(a, b):
-    return 0 < len(a) <= len(b) and all(t in b for t in a)
+def road(text):
+    return tuple(regex.sub(r"str$", "strasse", w) for w in words((text or "").lower().replace("ß", "ss")))
 
 
-def initials(a, b):
-    if len(a) != len(b):
-        return False
-    for x, y in zip(a, b):
-        if not (x == y or (blen(x) == 1 and y.startswith(x)) or (blen(y) == 1 and x.startswith(y))):
-            return False
-    return True
+def town(text):
+    """``(name, addition)``: cut at a slash behind something, else at the first marker of the list."""
+    text = (text or "").strip().lower()
+    cuts = [regex.match(r"([^/]+)/(.*)", text, regex.S)]
+    cuts += [regex.match(r"(.+?) " + regex.escape(m) + r" (.*)", text, regex.S) for m in MARKERS]
+    for cut in filter(None, cuts):
+        return cut[1].strip(), cut[2].strip().rstrip(".")
+    return text, ""
 
 
-def fnm(a, b):
-    return bool(a) and bool(b) and (a == b or subset(a, b) or subset(b, a) or initials(a, b))
+def stands_for(short, long):
+    """One byte that begins the other word."""
+    return len(short.encode()) == 1 and long.startswith(short)
 
 
-def lnm(a, b):
-    return bool(a) and bool(b) and (a == b or subset(a, b) or subset(b, a))
+def one_in_other(a, b):
+    small, large = sorted((a, b), key=len)
+    return set(small) <= set(large) if len(a) != len(b) else set(a) <= set(b) or set(b) <= set(a)
 
 
-def city_eq(a, b):
-    (am, ab), (bm, bb) = city(a), city(b)
-    if not am or not bm:
-        return False
-    if not ab or not bb:
-        return am == bm
-    if am != bm:
+def same_first(a, b):
+    if not a or not b:
         return False
-    return ab == bb or (blen(ab) == 1 and blen(bb) > 1 and bb.startswith(ab)) or \
-        (blen(bb) == 1 and blen(ab) > 1 and ab.startswith(bb))
+    by_letter = len(a) == len(b) and all(x == y or stands_for(x, y) or stands_for(y, x) for x, y in zip(a, b))
+    return by_letter or one_in_other(a, b)
 
 
-def email(p):
-    return (p["email"] or "").strip().lower()
+def same_last(a, b):
+    return bool(a) and bool(b) and one_in_other(a, b)
 
 
-def couple(a, b):
-    if not email(a) or email(a) != email(b) or a["campus_id"] != b["campus_id"]:
+def same_town(a, b):
+    if not a[0] or a[0] != b[0]:
         return False
-    if not city_eq(a["city"], b["city"]):
+    x, y = a[1], b[1]
+    return not x or not y or x == y or (x != y and any(stands_for(s, t) and len(t.encode()) > 1 for s, t in ((x, y), (y, x))))
+
+
+@dataclass(frozen=True)
+class Facts:
+    id: int
+    campus: int
+    mail: str
+    first: tuple
+    last: tuple
+    road: tuple
+    town: tuple
+
+    @classmethod
+    def of(cls, row):
+        listed = [e["email"] for e in row.get("emails") or []]
+        mail = next((m.strip() for m in (row["email"], *listed) if (m or "").strip()), "").lower()
+        return cls(row["person_id"], row["campus_id"], mail, words(row["first_name"]), words(row["last_name"]),
+                   road(row["street"]), town(row["city"]))
+
+    def buckets(self, swapped):
+        """What two records need to share before names and addresses are compared."""
+        if self.first and self.town[0] and self.road:
+            yield "address", self.first[0], self.town[0], self.road
+        if self.first and self.last:
+            yield "name", self.first[0], self.last[0]
+            if swapped:
+                yield "either", frozenset((self.first[0], self.last[0]))
+
+
+def at_one_address(a, b):
+    return bool(a.road) and a.road == b.road and same_town(a.town, b.town)
+
+
+def linked(a, b, swapped=False):
+    """Rule for the ordered pair: ``a`` has the smaller id."""
+    if a.mail and a.mail == b.mail:
+        couple = a.campus == b.campus and at_one_address(a, b) and not same_first(a.first, b.first)
+        return not couple
+    if set(a.buckets(swapped)).isdisjoint(b.buckets(swapped)):
         return False
-    sa, sb = street(a["street"]), street(b["street"])
-    if not sa or sa != sb:
-        return False
-    return not fnm(tokens(a["first_name"]), tokens(b["first_name"]))
-
-
-def match(a, b):
-    if email(a) and email(a) == email(b):
-        return not couple(a, b)
-    fa, fb, la, lb = tokens(a["first_name"]), tokens(b["first_name"]), tokens(a["last_name"]), tokens(b["last_name"])
-    sa, sb = street(a["street"]), street(b["street"])
-    if city_eq(a["city"], b["city"]) and sa and sa == sb and fnm(fa, fb):
-        return True
-    if fnm(fa, fb) and lnm(la, lb):
+    if same_first(a.first, b.first) and (at_one_address(a, b) or same_last(a.last, b.last)):
         return True
-    return fnm(fa, lb) and lnm(la, fb)
-
-
-def keys(p):
-    f, l = tokens(p["first_name"]), tokens(p["last_name"])
-    cm, _ = city(p["city"])
-    s = street(p["street"])
-    out = []
-    if f and cm and s:
-        out.append(f"fcs:{f[0]}|{cm}|{s}")
-    if f and l:
-        out += [f"fl:{f[0]}|{l[0]}", f"lf:{l[0]}|{f[0]}"]
-    return out
-
-
-def groups(persons, campus=None):
-    """Clusters as sorted tuples of ids, in the reference's rules (pair order = id order)."""
-    persons = sorted(persons, key=lambda p: p["person_id"])
-    parent = {}
-
-    def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def union(a, b):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-
-    n = len(persons)
-    for i in range(n):
-        for j in range(i + 1, n):
-            a, b = persons[i], persons[j]
-            if a["person_id"] == b["person_id"]:
-                continue
-            if email(a) and email(a) == email(b) and not couple(a, b):
-                union(a["person_id"], b["person_id"])
-            elif set(keys(a)) & set(keys(b)) and match(a, b):
-                union(a["person_id"], b["person_id"])
-    comps = {}
-    for x in list(parent):
-        comps.setdefault(find(x), set()).add(x)
-    out = [tuple(sorted(c)) for c in comps.values() if len(c) >= 2]
-    if campus is not None:
-        at = {p["person_id"] for p in persons if p["campus_id"] == campus}
-        out = [c for c in out if at & set(c)]
-    return sorted(out)
+    return same_first(a.first, b.last) and same_last(a.last, b.first)
+
+
+def groups(persons, campus=None, swapped=False):
+    """Clusters of at least two ids, each sorted; with ``campus`` those that have a member there."""
+    facts = sorted((Facts.of(p) for p in persons), key=lambda f: f.id)
+    near = {f.id: set() for f in facts}
+    for i, a in enumerate(facts):
+        for b in facts[i + 1:]:
+            if a.id != b.id and linked(a, b, swapped):
+                near[a.id].add(b.id)
+                near[b.id].add(a.id)
+    at_campus = {f.id for f in facts if f.campus == campus}
+    found, seen = [], set()
+    for start in near:
+        if start in seen or not near[start]:
+            continue
+        cluster, queue = {start}, deque([start])
+        while queue:
+            fresh = near[queue.popleft()] - cluster
+            cluster |= fresh
+            queue.extend(fresh)
+        seen |= cluster
+        if campus is None or cluster & at_campus:
+            found.append(tuple(sorted(cluster)))
+    return sorted(found)
