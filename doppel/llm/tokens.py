@@ -12,14 +12,18 @@ token's string) is encoded as a whole.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 
 import numpy as np
 
 ID = np.dtype("<u4")
-# a white-space test that covers at least the Unicode property White_Space
-_RUN = re.compile(r" \s|\s \Z")
+# a space and white space after it; Python's notion covers at least the Unicode property White_Space
+_RUNS = tuple(" " + chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def _in_chunks(text: str) -> bool:
+    """Whether the text is the chunks at its spaces, one after the other."""
+    return not any(map(text.__contains__, _RUNS)) and not (text[-1] == " " and text[-2:-1].isspace())
 
 
 class IdMemo:
@@ -36,6 +40,7 @@ class IdMemo:
         self.encode_many, self.specials = encode_many, specials
         self.encode_chunks = encode_chunks or (lambda chunks: encode_many([" " + c for c in chunks]))
         self.max_entries, self.max_chunk = max_entries, max_chunk
+        self.stops = dict(zip(".,", encode_many([".", ","])))
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -48,9 +53,9 @@ class IdMemo:
     def _group(self, texts: list[str | None]) -> list[bytes]:
         split = []
         for t in texts:
-            whole = not t or _RUN.search(t) or any(s in t for s in self.specials)
-            split.append(None if whole else t.split(" "))
-        rare = self._learn(set().union(*[x[1:] for x in split if x]))
+            chunks = t and _in_chunks(t) and not any(s in t for s in self.specials)
+            split.append(t.split(" ") if chunks else None)
+        rare = self._learn(set().union(*filter(None, split)))
         get = self.memo.__getitem__
         # what has no space before it: first chunks, and texts that are encoded whole
         heads = iter(self.encode_many([x[0] if x else t or "" for t, x in zip(texts, split)]))
@@ -66,10 +71,19 @@ class IdMemo:
         missing = chunks.difference(self.memo)
         known = missing.intersection(self.old)
         self.memo.update((c, self.old[c]) for c in known)
-        missing = list(missing - known)
-        if missing:
-            self.memo.update(zip(missing, self.encode_chunks(missing)))
-        return [c for c in missing if len(c) > self.max_chunk]
+        missing -= known
+        # a word and the full stop or comma behind it are encoded apart
+        ended = [c for c in missing if c[-1:] in self.stops and c[-2:-1].isalpha()]
+        words = {c[:-1] for c in ended}
+        plain = list(missing.difference(ended).union(words.difference(self.memo, self.old)))
+        if plain:
+            self.memo.update(zip(plain, self.encode_chunks(plain)))
+        for c in ended:
+            word = c[:-1]
+            if word not in self.memo:
+                self.memo[word] = self.old[word]
+            self.memo[c] = self.memo[word] + self.stops[c[-1]]
+        return [c for c in {*missing, *plain} if len(c) > self.max_chunk]
 
 
 _BY_PATH: dict[str, IdMemo] = {}
