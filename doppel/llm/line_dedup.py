@@ -82,12 +82,12 @@ def parity_bits(line: Column) -> Column:
 
     bits = F.aggregate(F.split(line, " "), F.lit(0).cast("long"),
                        lambda bits, w: bits.bitwiseXOR(bit(F.pmod(F.xxhash64(w), F.lit(WORD_BITS)))))
-    # never null, so that no null test of it is pushed below the collapse of equal lines
-    bits = F.coalesce(bits, F.lit(0).cast("long"))
     for i, letter in enumerate(LETTERS):
         without = F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
         bits = bits + F.when((F.octet_length(line) - without) % 2 == 1, bit(WORD_BITS + i)).otherwise(0)
-    return bits + F.call_function("shiftleft", F.octet_length(line).cast("long") % 4, F.lit(WORD_BITS + len(LETTERS)))
+    bits = bits + F.call_function("shiftleft", F.octet_length(line).cast("long") % 4, F.lit(WORD_BITS + len(LETTERS)))
+    # never null, or else a null test would compute it once more
+    return F.coalesce(bits, F.lit(0).cast("long"))
 
 
 def _may_be_close(x: str, y: str, edits: int) -> Column:
@@ -196,9 +196,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataF
 
 def similar_lines(docs: DataFrame, scratch: Scratch, edits: int, min_bytes: int, id_col: str, text_col: str) -> DataFrame:
     """Links ``a, a2, b, b2`` between different lines within ``edits`` edits; a line is two hashes of its text."""
-    lines = _lines(docs, id_col, text_col, min_bytes).select("line").distinct()
+    # the bits follow from the line; with them in the collapse they are computed once for both sides of the join
+    lines = _lines(docs, id_col, text_col, min_bytes).select("line", parity_bits(F.col("line")).alias("bits")).distinct()
     data, length = F.col("line").cast("binary"), F.octet_length("line")
-    each = lines.select(F.xxhash64("line").alias("h"), length.alias("length"), parity_bits(F.col("line")).alias("bits"), data.alias("data"))
+    each = lines.select(F.xxhash64("line").alias("h"), length.alias("length"), "bits", data.alias("data"))
     index = each.select("h", "bits", F.explode(index_keys(F.col("data"), F.col("length"), edits)).alias("key"))
     probe = each.select("h", "bits", F.explode(probe_keys(F.col("data"), F.col("length"), edits)).alias("key"))
     x, y = index.alias("x"), probe.alias("y")
