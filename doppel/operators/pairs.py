@@ -14,12 +14,15 @@ of a bucket:
   shared-mailbox couples, and a couple needs the same campus, street and city.
   A mailbox whose members span two or more such address classes, or that has
   a member without full address, is therefore one component and becomes a
-  star. Only single-address mailboxes compare their distinct
-  ``(city suffix, first names)`` nodes.
+  star. In a single-address mailbox incompatible city suffixes link whole suffix
+  classes; else distinct ``(city suffix, first names)`` nodes with matching names are
+  linked.
 * **Block rules.** Block keys are ``fcs`` = (first token, city, street) and
   ``fl`` = (first token, last token) (the reference's ``lf`` key holds exactly
   the ``fl`` people, so it adds nothing). Rule pairs are formed between the
-  *distinct* name/address nodes of a block, not between persons.
+  *distinct* name/address nodes of a block, and only between nodes that share what
+  the rule needs: a subset's token, the shape of initials, a swapped token. A block
+  of many variants that match nobody costs no pairs.
 * **Swapped names.** The swapped rule is directional (which person is ``a``
   depends on id order) and the couple rule may veto it; its few candidates
   are expanded to address sub-signatures with ``min``/``max`` ids, which is
@@ -64,6 +67,16 @@ def person_features(persons: DataFrame) -> DataFrame:
             .withColumn("last0", F.when(F.size("last_t") > 0, F.col("last_t")[0])))
 
 
+def written_features(persons: DataFrame) -> DataFrame:
+    """``person_features`` written once to the shared folder.
+
+    The jobs below read them in many branches; from a written copy each branch has a small
+    plan, and a lost executor costs a re-read.
+    """
+    ensure_checkpoint_dir(persons.sparkSession)
+    return person_features(persons).checkpoint(eager=True)
+
+
 def block_keys(features: DataFrame, swap_keys: bool = False) -> DataFrame:
     """one row per (person, blocking key) as the reference builds them."""
     fcs = F.when((F.size("first_t") > 0) & (F.col("city_main") != "") & (F.col("street_n") != ""),
@@ -85,6 +98,56 @@ def _pairs_within(nodes: DataFrame, key: list[str], attrs: list[str]) -> DataFra
     return left.join(right, on=key, how="inner").where(F.col("l_rep") < F.col("r_rep"))
 
 
+def _side_columns(nodes: DataFrame, side: str, attrs: list[str]) -> list[Column]:
+    return [F.col(c).alias(f"{side}_{c}") for c in attrs]
+
+
+def _subset_candidates(nodes: DataFrame, block: list[str], tokens: str, attrs: list[str]) -> DataFrame:
+    """Node pairs of a block whose ``tokens`` may be a subset (left) and its superset (right).
+
+    The right side stands under each of its tokens, the left one asks with a single token, one
+    that the whole block does not share if it has any. So the pairs follow the number of true
+    subsets, not the square of the variants.
+    """
+    col = F.col(tokens)
+    asked = F.array_max(F.transform(col, lambda t, i: F.struct((i > 0).alias("own"), F.xxhash64(t).alias("h"), t.alias("t"))))["t"]
+    left = nodes.where(F.size(col) > 0).select(*block, *_side_columns(nodes, "l", attrs), F.size(col).alias("_l"), asked.alias("_token"))
+    right = nodes.select(*block, *_side_columns(nodes, "r", attrs), F.size(col).alias("_r"), F.explode(F.array_distinct(col)).alias("_token"))
+    return left.join(right, [*block, "_token"]).where("_l <= _r AND l_rep <> r_rep").drop("_l", "_r", "_token")
+
+
+def _initials_candidates(nodes: DataFrame, block: list[str], attrs: list[str]) -> DataFrame:
+    """Node pairs with equal first letters, one of which (left) has a one-letter token."""
+    shape = F.transform("first_t", lambda t: F.substring(t, 1, 1))
+    left = nodes.where(F.exists("first_t", lambda t: F.octet_length(t) == 1))
+    left = left.select(*block, *_side_columns(nodes, "l", attrs), shape.alias("_shape"))
+    right = nodes.select(*block, *_side_columns(nodes, "r", attrs), shape.alias("_shape"))
+    return left.join(right, [*block, "_shape"]).where("l_rep <> r_rep").drop("_shape")
+
+
+def _first_name_pairs(nodes: DataFrame, block: list[str], attrs: list[str]) -> DataFrame:
+    """Node pairs of a block whose first names match (P6), each in one order at least."""
+    found = _subset_candidates(nodes, block, "first_t", attrs).unionByName(_initials_candidates(nodes, block, attrs))
+    return found.where(P.first_names_match(F.col("l_first_t"), F.col("r_first_t")))
+
+
+def _swap_candidates(nodes: DataFrame, block: list[str], attrs: list[str]) -> DataFrame:
+    """Node pairs of a block that the swapped-name rule links, left as ``a`` and right as ``b``.
+
+    The rule needs a token that is a last name on the left and a first name on the right.
+    """
+    left = nodes.select(*block, *_side_columns(nodes, "l", attrs), F.explode(F.array_distinct("last_t")).alias("_token"))
+    right = nodes.select(*block, *_side_columns(nodes, "r", attrs), F.explode(F.array_distinct("first_t")).alias("_token"))
+    l = {"first_t": F.col("l_first_t"), "last_t": F.col("l_last_t")}
+    r = {"first_t": F.col("r_first_t"), "last_t": F.col("r_last_t")}
+    return (left.join(right, [*block, "_token"]).where((F.col("l_rep") != F.col("r_rep")) & _r3(l, r))
+            .select("l_rep", "r_rep", F.lit(True).alias("fwd"), F.lit(False).alias("bwd")).distinct())
+
+
+def _edge(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("l_rep").alias("src"), F.col("r_rep").alias("dst"))
+
+
 def _sides(prefix: str, fixed: dict[str, Column] | None = None) -> dict[str, Column]:
     cols = {c: F.col(f"{prefix}{c}") for c in FEATURE_COLUMNS}
     if fixed:
@@ -116,20 +179,24 @@ def email_edges(features: DataFrame) -> DataFrame:
     # pair is a couple iff the suffixes are compatible and first names differ.
     closed = groups.where((F.col("gsize") >= 2) & (F.col("n_classes") == 1) & (F.col("has_open") == 0)).select("email_n")
     members = mail.join(closed, "email_n", "left_semi")
+    # Incompatible suffixes link everyone of both suffix classes; a class with such a
+    # counterpart is one component through its representative.
+    classes = members.groupBy("email_n", "city_by").agg(F.min("person_id").alias("rep"))
+    apart = _pairs_within(classes, ["email_n"], ["rep", "city_by"]).where(
+        ~P.suffix_compatible(F.col("l_city_by"), F.col("r_city_by")))
+    ends = apart.select(F.col("l_rep").alias("rep")).union(apart.select(F.col("r_rep").alias("rep"))).distinct()
+    class_star = _member_edges(members, classes.join(ends, "rep", "left_semi"), ["email_n", "city_by"])
+    # Else first names decide.
     key = ["email_n", "city_by", "first_t"]
     nodes = members.groupBy(*key).agg(F.min("person_id").alias("rep"))
-    pairs = (_pairs_within(nodes, ["email_n"], ["rep", "city_by", "first_t"])
-             .where(~P.suffix_compatible(F.col("l_city_by"), F.col("r_city_by"))
-                    | P.first_names_match(F.col("l_first_t"), F.col("r_first_t"))))
-    pair_edges = pairs.select(F.col("l_rep").alias("src"), F.col("r_rep").alias("dst"))
+    pairs = _first_name_pairs(nodes, ["email_n"], ["rep", "first_t"])
     # A node is internally linked when it has first names (a node with blank
-    # first names is a couple with itself); a node with any partner is linked
-    # through that partner.
-    partnered = (pairs.select(F.col("l_rep").alias("rep")).union(pairs.select(F.col("r_rep").alias("rep"))).distinct())
-    linked_nodes = nodes.where(F.size("first_t") > 0).select(*key, "rep").unionByName(
-        nodes.join(partnered, "rep", "left_semi").select(*key, "rep")).distinct()
-    node_star = _member_edges(members, linked_nodes, key)
-    return star.unionByName(node_star).unionByName(pair_edges)
+    # first names is a couple with itself).
+    node_star = _member_edges(members, nodes.where(F.size("first_t") > 0), key)
+    out = star
+    for part in (_edge(apart), class_star, _edge(pairs), node_star):
+        out = out.unionByName(part)
+    return out
 
 
 def _r1(l: dict, r: dict) -> Column:
@@ -178,34 +245,35 @@ def _swapped_edges(features: DataFrame, candidates: DataFrame, node_key: list[st
 def block_edges(features: DataFrame) -> DataFrame:
     """J2 + P4: pairs sharing a blocking key that match, as node-level edges."""
     out = []
-    # fcs blocks: same first token, city main and street.
-    fcs_people = features.where((F.size("first_t") > 0) & (F.col("city_main") != "") & (F.col("street_n") != ""))
-    fcs_block = ["first0", "city_main", "street_n"]
-    fcs_key = fcs_block + ["city_by", "first_t", "last_t"]
-    fcs_nodes = fcs_people.groupBy(*fcs_key).agg(F.min("person_id").alias("rep"))
-    out.append(_member_edges(fcs_people, fcs_nodes, fcs_key))
-    fcs_pairs = _pairs_within(fcs_nodes, fcs_block, ["rep", "city_by", "first_t", "last_t"])
-    shared = {"city_main": F.col("city_main"), "street_n": F.col("street_n")}
-    l = _sides("l_", shared)
-    r = _sides("r_", shared)
-    fcs_pairs = fcs_pairs.select("*", (_r1(l, r) | _r2(l, r)).alias("sym"), _r3(l, r).alias("fwd"), _r3(r, l).alias("bwd"))
-    out.append(fcs_pairs.where("sym").select(F.col("l_rep").alias("src"), F.col("r_rep").alias("dst")))
-    fcs_swapped = fcs_pairs.where(~F.col("sym") & (F.col("fwd") | F.col("bwd"))).select("l_rep", "r_rep", "fwd", "bwd")
-    out.append(_swapped_edges(fcs_people, fcs_swapped, fcs_key))
-
-    # fl blocks: same first token and last token; a node is one full name.
-    fl_people = features.where((F.size("first_t") > 0) & (F.size("last_t") > 0))
-    fl_key = ["first_t", "last_t"]
-    fl_nodes = fl_people.groupBy(*fl_key).agg(F.min("person_id").alias("rep")) \
-        .withColumn("first0", F.col("first_t")[0]).withColumn("last0", F.col("last_t")[0])
-    out.append(_member_edges(fl_people, fl_nodes, fl_key))
-    fl_pairs = _pairs_within(fl_nodes, ["first0", "last0"], ["rep", "first_t", "last_t"])
+    # fcs blocks: same first token, city main and street. R1 reads no last name, so
+    # its nodes are (suffix, first names).
+    people = features.where((F.size("first_t") > 0) & (F.col("city_main") != "") & (F.col("street_n") != ""))
+    block = ["first0", "city_main", "street_n"]
+    key = [*block, "city_by", "first_t"]
+    nodes = people.groupBy(*key).agg(F.min("person_id").alias("rep"))
+    out.append(_member_edges(people, nodes, key))
+    compatible = P.suffix_compatible(F.col("l_city_by"), F.col("r_city_by"))
+    out.append(_edge(_first_name_pairs(nodes, block, ["rep", "city_by", "first_t"]).where(compatible)))
+    # R2 adds pairs whose suffixes are incompatible, R3 those with swapped names.
+    key = [*key, "last_t"]
+    attrs = ["rep", "city_by", "first_t", "last_t"]
+    nodes = people.where(F.size("last_t") > 0).groupBy(*key).agg(F.min("person_id").alias("rep"))
     l = {"first_t": F.col("l_first_t"), "last_t": F.col("l_last_t")}
     r = {"first_t": F.col("r_first_t"), "last_t": F.col("r_last_t")}
-    fl_pairs = fl_pairs.select("*", _r2(l, r).alias("sym"), _r3(l, r).alias("fwd"), _r3(r, l).alias("bwd"))
-    out.append(fl_pairs.where("sym").select(F.col("l_rep").alias("src"), F.col("r_rep").alias("dst")))
-    fl_swapped = fl_pairs.where(~F.col("sym") & (F.col("fwd") | F.col("bwd"))).select("l_rep", "r_rep", "fwd", "bwd")
-    out.append(_swapped_edges(fl_people, fl_swapped, fl_key))
+    out.append(_edge(_subset_candidates(nodes, block, "last_t", attrs).where(~compatible & _r2(l, r))))
+    out.append(_swapped_edges(people, _swap_candidates(nodes, block, attrs), key))
+
+    # fl blocks: same first token and last token; a node is one full name.
+    people = features.where((F.size("first_t") > 0) & (F.size("last_t") > 0))
+    key, attrs = ["first_t", "last_t"], ["rep", "first_t", "last_t"]
+    nodes = (people.groupBy(*key).agg(F.min("person_id").alias("rep"))
+             .withColumn("first0", F.col("first_t")[0]).withColumn("last0", F.col("last_t")[0]))
+    out.append(_member_edges(people, nodes, key))
+    same_last = nodes.withColumn("whole_last", F.col("last_t"))
+    out.append(_edge(_first_name_pairs(same_last, ["first0", "whole_last"], attrs)))
+    part_of_last = _subset_candidates(nodes, ["first0", "last0"], "last_t", attrs)
+    out.append(_edge(part_of_last.where((F.col("l_last_t") != F.col("r_last_t")) & _r2(l, r))))
+    out.append(_swapped_edges(people, _swap_candidates(nodes, ["first0", "last0"], attrs), key))
 
     result = out[0]
     for part in out[1:]:
@@ -237,9 +305,7 @@ def match_edges(persons: DataFrame, swap_keys: bool = False) -> DataFrame:
 
     ``swap_keys`` adds the block of exchanged first and last names.
     """
-    # written once to the shared folder: every branch below reads it, and a lost executor costs a re-read
-    ensure_checkpoint_dir(persons.sparkSession)
-    features = person_features(persons).checkpoint(eager=True)
+    features = written_features(persons)
     edges = email_edges(features).unionByName(block_edges(features))
     if swap_keys:
         edges = edges.unionByName(swapped_block_edges(features))

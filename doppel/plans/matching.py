@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from doppel.functions import predicates as P
 from doppel.operators.components import connected_components
 from doppel.operators.groups import find_duplicate_groups
-from doppel.operators.pairs import block_edges, block_keys, email_edges, person_features
+from doppel.operators.pairs import block_edges, block_keys, email_edges, person_features, written_features
 from doppel.plans import duck as D
 from doppel.sources.fixtures import fixture, with_fixtures
 
@@ -65,11 +65,11 @@ def _components_of(edges: DataFrame) -> DataFrame:
 
 
 def email_components(spark, sf_dir):
-    return _components_of(email_edges(_features(spark, sf_dir)))
+    return _components_of(email_edges(written_features(_persons(spark, sf_dir))))
 
 
 def block_components(spark, sf_dir):
-    return _components_of(block_edges(_features(spark, sf_dir)))
+    return _components_of(block_edges(written_features(_persons(spark, sf_dir))))
 
 
 def shared_mailbox_couples(spark, sf_dir):

@@ -116,3 +116,15 @@ def test_swapped_names_option(spark):
     rows += [(10 + r[0], *r[1:]) for r in random_rows(9, 60)]
     p, plain = persons_df(spark, rows), [dict(zip(COLUMNS, r)) for r in rows]
     assert clusters(find_duplicate_groups(p, swap_keys=True)) == brute.groups(plain, swapped=True)
+
+
+@pytest.mark.parametrize("row", [
+    lambda i: (i, 1, "Ute", f"Name{i}", "", "Ringstr. 9", "Gera"),
+    lambda i: (i, 1, f"Ute{i}", "Kern", "kern@mail.test", "Ringstr. 9", "Gera"),
+    lambda i: (i, 1, f"Ute X{i}", "Kern", "kern@mail.test", "Ringstr. 9", "Gera"),
+    lambda i: (i, 1, f"Ute X{i}", "Kern", "", "", ""),
+])
+def test_a_hot_bucket_has_few_edges(spark, row):
+    """Many variants behind one address, mailbox or name: edges follow their number."""
+    n = 300
+    assert match_edges(persons_df(spark, [row(i) for i in range(1, n + 1)])).count() <= 2 * n
