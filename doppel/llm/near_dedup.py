@@ -22,8 +22,8 @@ gives a pair in the first band that it shares only.
 
 Defined cases: a null text has no words. Each input row gives one output row. Rows
 repeated with one id and text are one document. If one id has several texts, each
-row is judged by its own. A null id is a document that only copies can be linked
-to. Columns other than id and text are not read. An empty table gives an empty
+row has the component of its own text's copies, and similarity is judged by the id's
+smallest set. A null id is a document that only copies can be linked to. Columns other than id and text are not read. An empty table gives an empty
 result.
 """
 
@@ -187,7 +187,8 @@ def link_classes(docs: DataFrame, bands: DataFrame, scratch: Scratch, threshold:
     score = sized.groupBy("id").agg(F.sum("m").alias("score"))
     members = scratch.write(sized.join(score, "id").select("key", "band", "id", "score"), "members")
     wanted = broadcast_if_small(scratch.write(members.select("id").distinct(), "wanted"))
-    sets = scratch.write(set_table(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "sets")
+    one_text = set_table(docs, wanted, id_col, text_col).where("n > 0").groupBy("id").agg(F.min(F.struct("n", "set", "odd")).alias("s"))
+    sets = scratch.write(one_text.select("id", "s.*"), "sets")
 
     hubs = members.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
     links = scratch.write(_verify(_hub_pairs(members, hubs, sets, threshold), sets, threshold), "links")

@@ -164,6 +164,25 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+g AS (
+  SELECT doc_id, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, g),
+k AS (
+  SELECT s.doc_id, sum(b - a)::BIGINT AS gone, count(*)::BIGINT AS spans, max(b) AS b,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s) s JOIN d ON d.doc_id = s.doc_id
+  GROUP BY s.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(k.gone, 0) AS n_removed, coalesce(k.spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.kept, '') || substr(h, 2 * coalesce(k.b, 0)::BIGINT + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doppel.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
@@ -186,5 +205,6 @@ ORACLES = {
     "op2_line_dedup": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_minhash_near_dedup": OP5_SQL,
+    "op8_suffix_array_dedup": OP8_SQL,
     "op10_warc": OP10_SQL,
 }
