@@ -23,5 +23,5 @@ def test_registered_queries_match_oracles(spark):
 
 
 def test_every_query_has_an_oracle():
-    import __spark_entry__ as entry
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from doppel.plans import registry
+    assert set(registry.queries()) == set(registry.oracles())
