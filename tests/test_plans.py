@@ -1,4 +1,4 @@
-"""Plan shape of the flagship job: pruned scan, equi-joins only."""
+"""Plan shape of the flagship job: pruned scan, equi-joins only, small branches."""
 
 import os
 import re
@@ -8,12 +8,19 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 
-def test_match_edges_plan(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matching_plans(spark):
     if not os.path.exists(SF):
         pytest.skip("test data not present")
-    from doppel.operators.pairs import match_edges
+    from doppel.operators.pairs import match_edges, person_features
     from doppel.sources.fixtures import fixture
-    plan = match_edges(fixture(spark, SF, "persons"))._jdf.queryExecution().executedPlan().toString()
-    assert set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan)) == {"struct<c_custkey:bigint,c_nationkey:int>"}
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
+    persons = fixture(spark, SF, "persons")
+    scan = plan_of(person_features(persons))
+    assert set(re.findall(r"ReadSchema: (struct<[^>]*>)", scan)) == {"struct<c_custkey:bigint,c_nationkey:int>"}
+    joins = plan_of(match_edges(persons))
+    assert "CartesianProduct" not in joins and "BroadcastNestedLoopJoin" not in joins
+    # the branches read the written features, not the person table
+    assert "ReadSchema" not in joins
