@@ -182,7 +182,10 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, bands: DataFrame, scratch: Scratch, threshold: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links ``a, b`` between class representatives; ``bands`` has one row per class."""
     keys = bands.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # buckets with the same members are one: that of the first band stands for them
+    members = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")]
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("band").alias("band"), *members).where("m > 1")
+    shared = shared.groupBy("m", "x", "y").agg(F.min(F.struct("band", "key")).alias("k")).select("m", "k.key")
     sized = scratch.write(keys.join(shared, "key"), "sized")
     score = sized.groupBy("id").agg(F.sum("m").alias("score"))
     members = scratch.write(sized.join(score, "id").select("key", "band", "id", "score"), "members")
