@@ -5,7 +5,8 @@ A text's set holds its distinct ``WIDTH``-word shingles (words
 no words make an empty set, which is linked with nothing). Two documents are linked
 when the Jaccard similarity of their sets is at least ``threshold`` percent.
 
-* Documents with equal sets form a class; only its smallest id goes on.
+* Documents with equal sets form a class; only its smallest id goes on, with the
+  smallest text hash if that id has several texts. The pair of both names the class.
 * Bands of ``ROWS`` MinHash values each give buckets, so many that a linked pair
   misses every bucket with probability ``MISSED`` at most (24 bands at 85 %).
 * The MinHash samples are folded into an *odd sketch*, a bitmap in which each
@@ -22,9 +23,9 @@ gives a pair in the first band that it shares only.
 
 Defined cases: a null text has no words. Each input row gives one output row. Rows
 repeated with one id and text are one document. If one id has several texts, each
-row has the component of its own text's copies, and similarity is judged by the id's
-smallest set. A null id is a document that only copies can be linked to. Columns other than id and text are not read. An empty table gives an empty
-result.
+of them is a document of its own, judged by its own set. A null id is a document that
+only copies can be linked to. Columns other than id and text are not read (but
+returned by ``keep_one``). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -109,10 +110,15 @@ def max_flips(threshold: int, errors: float = 6.0) -> int:
     return math.ceil(n / 2 * (1 - math.exp(-4 * k * (1 - j) / n)))
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, fp, text``; ``id`` and ``fp`` together tell documents apart."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
+
+
 def band_table(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, f1, f2, bands``: set size, fingerprint of the set, band keys."""
+    """``id, fp, n, f1, f2, bands``: text hash, set size, fingerprint of the set, band keys."""
     samples = ROWS * band_count(threshold)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = _source(docs, id_col, text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -126,22 +132,28 @@ def band_table(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> D
                     rows.append((0, 0, 0, None))
             made = pd.DataFrame(rows, columns=["n", "f1", "f2", "bands"])
             made.insert(0, "id", pdf["id"].astype("Int64").array)
+            made.insert(1, "fp", pdf["fp"].array)
             yield made
 
-    return src.mapInPandas(run, "id long, n long, f1 long, f2 long, bands array<long>")
+    return src.mapInPandas(run, "id long, fp long, n long, f1 long, f2 long, bands array<long>")
 
 
-def set_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, set, odd`` of the documents ``ids``: full set and odd sketch."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, n, set, odd``: full set and odd sketch of the documents with a hash of ``id, fp`` in ``wanted.h``.
+
+    ``id`` is the struct of ``id`` and ``fp``. Two documents with one hash would only give a set too many.
+    """
+    src = _source(docs, id_col, text_col).where("id IS NOT NULL")
+    src = src.withColumn("h", F.xxhash64(F.struct("id", "fp"))).join(wanted, "h", "left_semi").drop("h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "set": [s.view(np.int64) for s in sets],
+            yield pd.DataFrame({"id": pdf["id"], "fp": pdf["fp"], "n": [len(s) for s in sets], "set": [s.view(np.int64) for s in sets],
                                 "odd": [odd_sketch(minhash(s, SAMPLES)) if len(s) else None for s in sets]})
 
-    return src.mapInPandas(run, "id long, n long, set array<long>, odd array<long>")
+    made = src.mapInPandas(run, "id long, fp long, n long, set array<long>, odd array<long>")
+    return made.select(F.struct("id", "fp").alias("id"), "n", "set", "odd")
 
 
 def _maybe_similar(a: str, b: str, threshold: int) -> Column:
@@ -180,7 +192,7 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, bands: DataFrame, scratch: Scratch, threshold: int, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed links ``a, b`` between class representatives; ``bands`` has one row per class."""
+    """Confirmed links ``a, b`` between classes; ``bands`` has one row per class, its ``id`` a struct of id and text hash."""
     keys = bands.select("id", F.posexplode("bands").alias("band", "key"))
     # buckets with the same members are one: that of the first band stands for them
     members = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")]
@@ -189,11 +201,11 @@ def link_classes(docs: DataFrame, bands: DataFrame, scratch: Scratch, threshold:
     sized = scratch.write(keys.join(shared, "key"), "sized")
     score = sized.groupBy("id").agg(F.sum("m").alias("score"))
     members = scratch.write(sized.join(score, "id").select("key", "band", "id", "score"), "members")
-    wanted = broadcast_if_small(scratch.write(members.select("id").distinct(), "wanted"))
-    one_text = set_table(docs, wanted, id_col, text_col).where("n > 0").groupBy("id").agg(F.min(F.struct("n", "set", "odd")).alias("s"))
-    sets = scratch.write(one_text.select("id", "s.*"), "sets")
+    wanted = broadcast_if_small(scratch.write(members.select(F.xxhash64("id").alias("h")).distinct(), "wanted"))
+    # rows that repeat one id and text have one set
+    sets = scratch.write(set_table(docs, wanted, id_col, text_col).where("n > 0").dropDuplicates(["id"]), "sets")
 
-    hubs = members.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
+    hubs = members.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id.id"), "id.fp")).alias("hub"))
     links = scratch.write(_verify(_hub_pairs(members, hubs, sets, threshold), sets, threshold), "links")
     mixed = scratch.write(_relabel(members, links), "mixed")
     light = mixed.join(sets.select("id", "n", "odd"), "id").join(bands.select("id", "bands"), "id")
@@ -205,23 +217,34 @@ def link_classes(docs: DataFrame, bands: DataFrame, scratch: Scratch, threshold:
     return links.unionByName(scratch.write(_verify(pairs, sets, threshold), "rest-links"))
 
 
-def near_dedup(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id, kept``, one row per input row.
+def labelled(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, fp, n, label``, one row per input row.
 
-    ``component_id`` is the smallest id reachable over links; the row with that id
-    is kept.
+    ``label`` is the smallest ``(id, fp)`` reachable over links, null for a text without words.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dedup")
+    scratch = Scratch(docs.sparkSession, "near-dedup")
     bands = scratch.write(band_table(docs, threshold, id_col, text_col), "bands")
     some = bands.where("n > 0")
-    classes = scratch.write(some.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    one = some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "f1", "f2"])
+    # the smallest id that isn't null
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("least")
+    classes = some.groupBy("n", "f1", "f2").agg(least)
+    classes = scratch.write(classes.select("n", "f1", "f2", F.struct("least.id", "least.fp").alias("rep")), "classes")
+    reps = classes.where("rep.id IS NOT NULL").select("rep.*")
+    one = some.join(reps, ["id", "fp"], "left_semi").select(F.struct("id", "fp").alias("id"), "bands").dropDuplicates(["id"])
     links = link_classes(docs, one, scratch, threshold, id_col, text_col)
     comp = scratch.write(connected_components(links, "a", "b"), "components")
     labels = classes.join(comp, classes["rep"] == comp["node"], "left").select(
-        "n", "f1", "f2", F.coalesce("label", "rep").alias("component"))
-    rows = bands.select("id", "n", "f1", "f2").join(labels, ["n", "f1", "f2"], "left")
-    component = F.coalesce(F.col("component"), F.col("id"))
+        "n", "f1", "f2", F.coalesce("label", "rep").alias("label"))
+    return bands.select("id", "fp", "n", "f1", "f2").join(labels, ["n", "f1", "f2"], "left").select("id", "fp", "n", "label")
+
+
+def near_dedup(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_shingles, component_id, kept``, one row per input row.
+
+    ``component_id`` is the smallest id reachable over links; the row with that id
+    is kept.
+    """
+    rows = labelled(docs, threshold, id_col, text_col)
+    component = F.coalesce(F.col("label.id"), F.col("id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                        component.eqNullSafe(F.col("id")).alias("kept"))

@@ -77,3 +77,16 @@ def test_no_rows(spark):
     assert nd.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = nd.near_dedup(spark.createDataFrame([(None, "a b c"), (7, "a b c"), (None, None)], "doc_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, 1, 7, False), (7, 1, 7, True), (None, 0, None, True)], key=str)
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text is judged by its own set: a near copy of the larger text is linked."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    small, large, other = ([word() for _ in range(n)] for n in (60, 200, 90))
+    near = lambda t: " ".join([*t[:-1], "end"])
+    rows = [(5, " ".join(small)), (5, " ".join(large)), (5, near(large)), (7, near(large)), (8, " ".join([*large, "more"])),
+            (9, near(small)), (3, " ".join(other)), (6, near(other))]
+    got = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [
+        (3, 3), (5, 5), (5, 5), (5, 5), (6, 3), (7, 5), (8, 5), (9, 5)]
