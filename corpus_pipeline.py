@@ -9,8 +9,8 @@ empty and long texts, repeated rows and empty tables.
 * quality_rules: documents that the current policy of the rule ledger rejects go.
 * line_dedup: lines equal or within two byte edits of an earlier one go, and with
   them documents that thereby lost their last word (copies of earlier documents).
-* near_dedup: of documents linked at 80 % of five-word shingles one stays, that with
-  the smallest id.
+* near_dedup: of documents linked at 80 % of five-word shingles one row stays, that
+  with the smallest id; repeated rows, also of one null id and text, are one document.
 * suffix_dedup: bytes in passages of 200 bytes that start elsewhere too go; documents
   stay.
 * packing: sequences of at most 1024 ids.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from doppel.llm.common import NON_WS, Scratch, table
 from doppel.llm.line_dedup import line_dedup
-from doppel.llm.near_dedup import near_dedup
+from doppel.llm.near_dedup import keep_one
 from doppel.llm.packing import pack
 from doppel.llm.quality_rules import passing
 from doppel.llm.suffix_dedup import suffix_dedup
@@ -47,8 +47,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup(docs, threshold=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return keep_one(docs, threshold=80)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

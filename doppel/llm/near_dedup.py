@@ -248,3 +248,22 @@ def near_dedup(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", tex
     component = F.coalesce(F.col("label.id"), F.col("id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                        component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: exactly one of every component, with the smallest id.
+
+    If that id has several texts in the component, the text with the smallest hash
+    stays; of rows that repeat one id and text, null ids too, any one does. Texts
+    without words are linked with nothing, so only such repeats go.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    rows = labelled(docs, threshold, id_col, text_col)
+    named = rows.where(F.col("label").isNull() | (F.col("label") == F.struct("id", "fp")))
+    kept = scratch.write(named.groupBy(F.col("id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_fp"))
+    found = docs.join(kept, same)
+    once = found.where("_rows = 1").select(*docs.columns)
+    if kept.where("_rows > 1").isEmpty():
+        return once
+    return once.unionByName(found.where("_rows > 1").dropDuplicates(["_id", "_fp"]).select(*docs.columns))

@@ -44,6 +44,25 @@ def test_stages(spark):
     assert {r.doc_id for r in docs.collect()} == suffix.keys()
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows that repeat an id and text, null ids with equal texts, and one id with near-equal texts keep one whole text."""
+    rng = random.Random(3)
+    text = lambda: [f"w{rng.randrange(3000)}" for _ in range(120)]
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    near = lambda t: [*t[:-1], "end"]
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (2, c), (2, near(c)), (None, d), (4, d), (None, e), (5, f), (5, g)]
+    rows = [(i, " ".join(t), None, f"s{n}", 1, "e") for n, (i, t) in enumerate(rows)] + [(None, "", None, "s", 0, "e")] * 2
+    docs = Scratch(spark, "test").write(spark.createDataFrame(rows, SCHEMA), "docs")
+    near_dedup, suffix_dedup, packing = (stage for _, stage in corpus_pipeline.STAGES[2:])
+    left = Scratch(spark, "test").write(near_dedup(spark, docs, ""), "left")
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    want = {(1, " ".join(a)), (None, " ".join(b)), (4, " ".join(d)), (None, " ".join(e)), (5, " ".join(f)), (5, " ".join(g)), (None, "")}
+    assert len(got) == 8 and set(got) - {(2, " ".join(c)), (2, " ".join(near(c)))} == want
+    cut = Scratch(spark, "test").write(suffix_dedup(spark, left, ""), "cut")
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted(got, key=str)
+    assert packing(spark, cut, "").where("piece = 0").count() == 8
+
+
 def test_empty_corpus(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
