@@ -78,7 +78,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doppel.llm.warc import archive_round_trip
-    return archive_round_trip(table(spark, sf_dir, "pages")).select(
+    return archive_round_trip(table(spark, sf_dir, "pages"), null_ids=True).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 

@@ -17,20 +17,24 @@ Of payloads that are equal (SHA-1 and length) and have at least
 the others are revisits that carry no content.
 
 Defined cases: a null payload counts as empty; a null url is written as ``-``.
-Repeated rows (one id several times) give one record each; rows that carry the
-response's id are responses themselves. Rows with a null id are left out of the
-archives (a record needs an identifier). Further columns are not read. An empty
-table gives archives without records and an empty result.
+Repeated rows (one id several times) give one record each, also with different
+payloads; rows that carry the response's id are responses themselves. With
+``null_ids`` rows with a null id are records under a generated identifier and have a
+null id when read back: a revisit if an id has the same payload, else a response with
+its content, as a revisit could not name another null id. Without it they are left
+out. Further columns are not read. An empty table gives archives without records and
+an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doppel.llm.common import Scratch
@@ -39,32 +43,39 @@ CHUNK_CHARS = 1 << 18
 SEP = "\r\n\r\n"
 # Names of the WARC format.
 VERSION = "WARC/1.1"
+# a record whose page has no id
+NO_ID = "x-page-without-id"
+CHUNK_COLUMNS = ["id", "url", "refers_to", "payload_bytes", "sha", "n_chunks", "chunk", "content"]
 
 
 def _digest(sha1) -> str:
     return base64.b32encode(sha1.digest()).decode()
 
 
-def payload_digests(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """``id, payload_bytes, payload_digest`` of the full payload."""
-    src = pages.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(payload_col, F.lit("")).alias("payload"))
-    return src.select("id", F.octet_length("payload").cast("long").alias("payload_bytes"),
-                      F.unhex(F.sha1(F.col("payload").cast("binary"))).alias("sha"))
+def _payloads(pages: DataFrame, id_col: str, payload_col: str, null_ids: bool, *more: Column) -> DataFrame:
+    src = (pages if null_ids else pages.where(F.col(id_col).isNotNull())).select(
+        F.col(id_col).cast("long").alias("id"), *more, F.coalesce(payload_col, F.lit("")).alias("payload"))
+    return src.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn(
+        "sha", F.unhex(F.sha1(F.col("payload").cast("binary"))))
+
+
+def payload_digests(pages: DataFrame, id_col: str, payload_col: str, null_ids: bool = False) -> DataFrame:
+    """``id, payload_bytes, sha`` of the full payload."""
+    return _payloads(pages, id_col, payload_col, null_ids).select("id", "payload_bytes", "sha")
 
 
 def record_chunks(pages: DataFrame, revisits: DataFrame, id_col: str, url_col: str, payload_col: str,
-                  chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+                  chunk_chars: int = CHUNK_CHARS, null_ids: bool = False) -> DataFrame:
     """The chunked record table: ``id, url, chunk, n_chunks, refers_to, payload_bytes, sha, content``.
 
-    ``revisits`` (``id, refers_to``) is joined to the pages by id, which is the
-    only time that payloads are moved. Content is cut at code points.
+    ``revisits`` (``id, sha, payload_bytes, refers_to``, one row each) is joined to the
+    pages by id and payload, which is the only time that payloads are moved. Content
+    is cut at code points.
     """
-    src = pages.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(url_col, F.lit("-")).alias("url"),
-        F.coalesce(payload_col, F.lit("")).alias("payload"))
-    joined = src.join(revisits, "id", "left").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    joined = joined.withColumn("sha", F.unhex(F.sha1(F.col("payload").cast("binary"))))
+    src = _payloads(pages, id_col, payload_col, null_ids, F.coalesce(url_col, F.lit("-")).alias("url"))
+    r = revisits.select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), F.col("payload_bytes").alias("_bytes"), "refers_to")
+    joined = src.join(r, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+                      & (F.col("payload_bytes") == F.col("_bytes")), "left")
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("payload") / chunk_chars).cast("int") - 1)),
                       lambda i: F.substring(F.col("payload"), i * chunk_chars + 1, F.lit(chunk_chars)))
     content = F.when(F.col("refers_to").isNotNull(), F.array(F.lit(""))).otherwise(cut)
@@ -73,27 +84,34 @@ def record_chunks(pages: DataFrame, revisits: DataFrame, id_col: str, url_col: s
         F.posexplode("parts").alias("chunk", "content"))
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+RECORD = pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+                    ("record_type", pa.string()), ("refers_to", pa.int64())])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two text rows per chunk: header block and content."""
-    for pdf in batches:
+    scheme = name = None
+    for batch in batches:
         out = []
-        for id_, url, ref, n_bytes, sha, n_chunks, chunk, content in pdf.itertuples(index=False, name=None):
-            kind = "continuation" if chunk else "response" if pd.isna(ref) else "revisit"
-            head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{id_}:{chunk}>",
+        for id_, url, ref, n_bytes, sha, n_chunks, chunk, content in zip(*(c.to_pylist() for c in batch.select(CHUNK_COLUMNS).columns)):
+            kind = "continuation" if chunk else "response" if ref is None else "revisit"
+            if not chunk:
+                scheme, name = (NO_ID, uuid.uuid4().hex) if id_ is None else ("x-page", id_)
+            head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{scheme}:{name}:{chunk}>",
                     "WARC-Target-URI: " + " ".join(url.split()),
                     f"WARC-Payload-Digest: sha1:{base64.b32encode(sha).decode()}",
                     f"WARC-Payload-Length: {n_bytes}"]
             if kind == "revisit":
-                head.append(f"WARC-Refers-To: <urn:x-page:{int(ref)}:0>")
+                head.append(f"WARC-Refers-To: <urn:x-page:{ref}:0>")
             if n_chunks > 1:
                 head.append(f"WARC-Segment-Number: {chunk + 1}")
                 if chunk:
-                    head.append(f"WARC-Segment-Origin-ID: <urn:x-page:{id_}:0>")
+                    head.append(f"WARC-Segment-Origin-ID: <urn:{scheme}:{name}:0>")
                 if chunk + 1 == n_chunks:
                     head.append(f"WARC-Segment-Total-Length: {n_bytes}")
             head.append(f"Content-Length: {len(content.encode())}")
             out += ["\r\n".join(head), content]
-        yield pd.DataFrame({"value": out})
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
 def write_archives(chunks: DataFrame, path: str, records_per_file: int = 50_000) -> None:
@@ -104,9 +122,8 @@ def write_archives(chunks: DataFrame, path: str, records_per_file: int = 50_000)
     number of rows (two per chunk), so that files stay small enough to be
     read by one task each.
     """
-    (chunks.select("id", "url", "refers_to", "payload_bytes", "sha", "n_chunks", "chunk", "content")
-     .mapInPandas(_blocks, "value string").write.option("lineSep", SEP).option("compression", "gzip")
-     .option("maxRecordsPerFile", 2 * records_per_file).text(path))
+    (chunks.select(*CHUNK_COLUMNS).mapInArrow(_blocks, "value string")
+     .write.option("lineSep", SEP).option("compression", "gzip").option("maxRecordsPerFile", 2 * records_per_file).text(path))
 
 
 class _Reader:
@@ -160,7 +177,7 @@ class _Reader:
         if self.record is None:
             return
         f, self.record = self.record, None
-        number = lambda urn: int(urn.split(":")[2])
+        number = lambda urn: None if urn.split(":")[1] == NO_ID else int(urn.split(":")[2])
         digest, length = f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f["WARC-Payload-Length"])
         revisit = f["WARC-Type"] == "revisit"
         if not revisit and (digest, length) != (_digest(self.sha), self.n):
@@ -175,11 +192,10 @@ class _Reader:
         self.finish()
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     file, reader = None, None
-    for pdf in batches:
-        for path, row in zip(pdf["file"], pdf["value"]):
+    for batch in batches:
+        for path, row in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
             if path != file:
                 done = reader
                 file, reader = path, _Reader()
@@ -188,33 +204,39 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     reader.out = done.out
             reader.feed(row)
         if reader:
-            yield pd.DataFrame(reader.out, columns=names).astype({"refers_to": "Int64"})
+            yield _records(reader.out)
             reader.out = []
     if reader:
         reader.end()
-        yield pd.DataFrame(reader.out, columns=names).astype({"refers_to": "Int64"})
+        yield _records(reader.out)
+
+
+def _records(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(RECORD.names, r)) for r in out], RECORD)
 
 
 def read_archives(spark, path: str) -> DataFrame:
     """One row per record; the rows of a gzip file come to one task in file order."""
     rows = spark.read.option("lineSep", SEP).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return rows.mapInPandas(_parse, "id long, url string, payload_bytes long, payload_digest string, "
+    return rows.mapInArrow(_parse, "id long, url string, payload_bytes long, payload_digest string, "
                                     "record_type string, refers_to long")
 
 
 def find_revisits(digests: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """``id, refers_to`` of records whose payload a smaller id has too."""
-    first = digests.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("sha", "payload_bytes").agg(
-        F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return digests.join(first, ["sha", "payload_bytes"]).where("id > refers_to").select("id", "refers_to").distinct()
+    """``id, sha, payload_bytes, refers_to``, one row each, of records whose payload a smaller id has too."""
+    key = ["sha", "payload_bytes"]
+    first = digests.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy(*key).agg(
+        F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    return digests.join(first, key).where("id IS NULL OR id > refers_to").select("id", *key, "refers_to").distinct()
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                       min_revisit_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+                       min_revisit_bytes: int = 0, chunk_chars: int = CHUNK_CHARS, null_ids: bool = False) -> DataFrame:
     """Write the archives and read them back."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    digests = scratch.write(payload_digests(pages, id_col, payload_col), "digests")
+    digests = scratch.write(payload_digests(pages, id_col, payload_col, null_ids), "digests")
     revisits = find_revisits(digests, min_revisit_bytes)
-    write_archives(record_chunks(pages, revisits, id_col, url_col, payload_col, chunk_chars), f"{scratch.root}/archives")
+    chunks = record_chunks(pages, revisits, id_col, url_col, payload_col, chunk_chars, null_ids)
+    write_archives(chunks, f"{scratch.root}/archives")
     return read_archives(spark, f"{scratch.root}/archives").withColumnRenamed("id", id_col)
