@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doppel.llm.common import map_exact
 from doppel.llm.tokens import ID, IdMemo, vocabulary
 
 # Fixed value: the word pattern of byte-level BPE.
@@ -177,7 +178,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             yield pd.DataFrame({"id": pdf["id"], "ids": [
                 np.frombuffer(x, ID).astype(np.int32) for x in memo.encode_all(pdf["text"].tolist())]})
 
-    return out.mapInPandas(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_exact(out, run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,5 +199,5 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
             made.insert(0, "id", pdf["id"].array)
             yield made
 
-    return out.mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed(
+    return map_exact(out, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed(
         "id", id_col)

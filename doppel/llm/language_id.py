@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doppel.llm.common import map_exact
+
 BUCKETS = 1 << 15
 FIT_ROWS = 2000
 MARGIN = 2.0
@@ -153,5 +155,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             made = pd.DataFrame([shared.value.predict(t) for t in pdf["text"]], columns=["lang_pred", "score", "ambiguous"])
             yield pd.concat([pdf.drop(columns="text").reset_index(drop=True), made], axis=1)
 
-    out = src.mapInPandas(run, schema + ", lang_pred string, score double, ambiguous boolean")
+    out = map_exact(src, run, schema + ", lang_pred string, score double, ambiguous boolean")
     return out.withColumnRenamed("id", id_col).withColumnsRenamed({f"_{n}": n for n in keep})

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doppel.llm.common import Scratch, broadcast_if_small
+from doppel.llm.common import Scratch, broadcast_if_small, map_exact
 from doppel.llm.hashing import Substrings, U, mix
 from doppel.operators.components import connected_components
 
@@ -131,11 +131,11 @@ def band_table(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> D
                 else:
                     rows.append((0, 0, 0, None))
             made = pd.DataFrame(rows, columns=["n", "f1", "f2", "bands"])
-            made.insert(0, "id", pdf["id"].astype("Int64").array)
+            made.insert(0, "id", pdf["id"].array)
             made.insert(1, "fp", pdf["fp"].array)
             yield made
 
-    return src.mapInPandas(run, "id long, fp long, n long, f1 long, f2 long, bands array<long>")
+    return map_exact(src, run, "id long, fp long, n long, f1 long, f2 long, bands array<long>")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:

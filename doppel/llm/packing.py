@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doppel.llm.common import Scratch
+from doppel.llm.common import Scratch, map_exact
 from doppel.llm.tokens import ID, library_ids, vocabulary
 
 CAPACITY = 1024
@@ -45,13 +45,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 2, vocab: st
         memo = library_ids(vocab or vocabulary())
         for pdf in batches:
             out = []
-            for id_, ids in zip(pdf["id"].astype("Int64"), memo.encode_all(pdf["text"].tolist())):
+            for id_, ids in zip(pdf["id"], memo.encode_all(pdf["text"].tolist())):
                 ids += end
                 cuts = [0, *range(len(ids) // 4 % capacity or capacity, len(ids) // 4, capacity), len(ids) // 4]
                 out += [(id_, i, a, b - a, zlib.crc32(ids[4 * a:4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"]).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"], dtype=object)
 
-    return src.mapInPandas(run, "id long, piece int, start long, length long, ids_crc32 long")
+    return map_exact(src, run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
 Bins = list[list[int]]

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doppel.llm.common import Scratch
+from doppel.llm.common import Scratch, map_exact
 from doppel.llm.hashing import Substrings, U
 from doppel.llm.suffix_array import permuted_lcp, suffix_array
 
@@ -119,7 +119,7 @@ def context_table(src: DataFrame, length: int, gram: int) -> DataFrame:
             made = {n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("key", "ctx", "first", "count", "again"))}
             yield pd.DataFrame({"id": pdf["id"].repeat(each).array, "fp": pdf["fp"].repeat(each).array} | made)
 
-    return src.mapInPandas(run, f"id {kind}, fp long, key long, ctx long, first long, count int, again boolean")
+    return map_exact(src, run, f"id {kind}, fp long, key long, ctx long, first long, count int, again boolean")
 
 
 def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -273,5 +273,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
     tail = "text string" if output == "text" else ("n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                                                    "spans array<struct<first:long,end:long>>")
-    out = rows.mapInPandas(apply, f"{head}, {tail}")
+    out = map_exact(rows, apply, f"{head}, {tail}")
     return out.withColumnRenamed("id", id_col).withColumnsRenamed({f"_keep_{c}": c for c in keep})

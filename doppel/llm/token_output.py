@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doppel.llm.common import Scratch
+from doppel.llm.common import Scratch, map_exact
 from doppel.llm.tokens import ID, library_ids, vocabulary
 
 BLOCK = 2048
@@ -308,7 +308,7 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
         if segments:
             yield flush()
 
-    ordered.mapInPandas(run, "part int, start long, ids array<long>, sizes array<int>, data binary").write.parquet(path)
+    map_exact(ordered, run, "part int, start long, ids array<long>, sizes array<int>, data binary").write.parquet(path)
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -328,12 +328,14 @@ def read_ids(spark, path: str) -> DataFrame:
                     raw, at = ids.tobytes(), 0
                     for id_, size in zip(doc_ids, sizes):
                         size = int(size)
-                        out.append((part, None if pd.isna(id_) else int(id_), start + at, size,
+                        out.append((part, None if id_ is None else int(id_), start + at, size,
                                     zlib.crc32(raw[4 * at:4 * (at + size)])))
                         at += size
-                yield pd.DataFrame(out, columns=["part", "id", "within", "n_tokens", "ids_crc32"]).astype({"id": "Int64"})
+                yield pd.DataFrame(out, columns=["part", "id", "within", "n_tokens", "ids_crc32"], dtype=object)
 
-    docs = files.mapInPandas(run, "part int, id long, within long, n_tokens long, ids_crc32 long")
+    # ids as text: an array with a null would come as floats
+    texts = files.withColumn("ids", F.col("ids").cast("array<string>"))
+    docs = map_exact(texts, run, "part int, id long, within long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(before), "part").select(
         "id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
