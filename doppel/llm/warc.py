@@ -1,7 +1,9 @@
 """WARC archives by way of a chunked record table.
 
-A payload becomes rows ``(record, chunk number, characters)`` of bounded size, so
-that no row and no buffer ever holds a large record whole. Chunk 0 opens the
+A payload becomes rows ``(record, chunk number, characters)`` of bounded size. The row
+that is cut holds the whole payload, as its page does, and all of its chunks beside
+it, and the digest is taken from it at once; the rows after that are bounded, and the
+reader never holds a large record whole. Chunk 0 opens the
 record; further chunks are segments (``WARC-Type: continuation`` with
 ``WARC-Segment-Number``), the form the WARC standard has for payloads that are
 cut. Spark's text writer turns the rows into gzip archives through the cluster's
