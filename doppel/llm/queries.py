@@ -188,6 +188,61 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doppel.llm.merkle import manifest
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest(table(spark, sf_dir, "documents"), tamper={"text": tampered}, fanout=3)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+c AS (
+  SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])) & 1 = 1 AS tampered  -- the last step of crc32 inverts the bit
+  FROM documents, tab),
+f AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front,
+    CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS seen FROM c),
+d AS (
+  SELECT row_number() OVER (ORDER BY source, doc_id) AS rid, doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(front || coalesce(strlen(seen) || ':' || seen, '-')) AS seen FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+lv(source, lev, idx, h, n) AS (
+  SELECT source, 0::BIGINT, pos::BIGINT, leaf, (count(*) OVER (PARTITION BY source))::BIGINT FROM p
+  UNION ALL
+  SELECT source, lev + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM lv WHERE n > 1 GROUP BY source, lev, idx // 3, n),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spos FROM lv WHERE n = 1),
+top(lev, idx, h, n) AS (
+  SELECT 0::BIGINT, spos::BIGINT, subroot, (count(*) OVER ())::BIGINT FROM s
+  UNION ALL
+  SELECT lev + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lev, idx // 3, n),
+mine AS (
+  SELECT p.rid, 0 AS part, lev, (pos // (3 ** lev)::BIGINT)::BIGINT AS place, p.source FROM p JOIN (SELECT DISTINCT source, lev FROM lv WHERE n > 1) l
+    ON l.source IS NOT DISTINCT FROM p.source
+  UNION ALL
+  SELECT p.rid, 1, lev, (spos // (3 ** lev)::BIGINT)::BIGINT, NULL FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source,
+    (SELECT DISTINCT lev FROM top WHERE n > 1) l),
+run AS (
+  SELECT o.rid, o.part, o.lev, o.place, x.idx, x.h FROM mine o JOIN lv x ON o.part = 0 AND x.source IS NOT DISTINCT FROM o.source
+    AND x.lev = o.lev AND x.idx // 3 = o.place // 3 AND x.n > 1
+  UNION ALL
+  SELECT o.rid, o.part, o.lev, o.place, x.idx, x.h FROM mine o JOIN top x ON o.part = 1 AND x.lev = o.lev AND x.idx // 3 = o.place // 3 AND x.n > 1),
+step AS (
+  SELECT rid, part, lev, coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx < place), '') AS l,
+         coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx > place), '') AS r FROM run GROUP BY rid, part, lev),
+path AS (SELECT rid, list(struct_pack(l := l, r := r) ORDER BY part, lev) AS steps, string_agg(l || r, '' ORDER BY part, lev) AS proof FROM step GROUP BY rid),
+o AS (
+  SELECT p.*, s.subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(list_prepend(struct_pack(l := p.seen, r := ''), coalesce(steps, [])),
+                     lambda a, x: struct_pack(l := sha256(x.l || a.l || x.r), r := '')).l AS folded_root
+  FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN path ON path.rid = p.rid)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM o
+"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -199,6 +254,7 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc": op10_warc,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
@@ -207,4 +263,5 @@ ORACLES = {
     "op5_minhash_near_dedup": OP5_SQL,
     "op8_suffix_array_dedup": OP8_SQL,
     "op10_warc": OP10_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
