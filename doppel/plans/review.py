@@ -69,6 +69,18 @@ def review_csv_invalid(spark, sf_dir):
     return invalid
 
 
+def review_csv_multiline(spark, sf_dir):
+    """A review whose cells a human broke into lines (id % 5 = 0), with quotes (id % 3 = 0) and delimiters in them."""
+    pid = F.col("person_id")
+    rows = export_review(spark, sf_dir).withColumn("street", F.concat(
+        "street", F.when(pid % 5 == 0, F.lit("\nHinterhaus\n\nTreppe 2")).otherwise(F.lit("")),
+        F.when(pid % 3 == 0, F.lit('; "links", oben')).otherwise(F.lit(""))))
+    path = _scratch(spark, "review-multiline")
+    write_review_csv(rows, path)
+    back, _ = read_review_csv(spark, path)
+    return back.select("line", "dup_id", "person_id", "street", "city")
+
+
 def _write_text_review(out: DataFrame, path: str) -> None:
     from doppel.sources.review_csv import BOM, REVIEW_HEADER
     cols = ["dup_id_text", "id_text"] + REVIEW_COLUMNS[2:]
@@ -282,6 +294,9 @@ ORACLES = {
         """SELECT line, CASE WHEN person_id % 17 = 0 THEN 'DupID fehlt' ELSE printf('ungültige ID "x%d"', person_id) END AS reason
   FROM (SELECT *, CAST(row_number() OVER (ORDER BY dup_id, person_id) + 1 AS BIGINT) AS line FROM export) t
   WHERE person_id % 17 = 0 OR person_id % 19 = 0"""),
+    "review_csv_multiline": _export_sql(f"""SELECT CAST(row_number() OVER (ORDER BY dup_id, person_id) + 1 AS BIGINT) AS line, dup_id, person_id,
+  {D.utrim("street || CASE WHEN person_id % 5 = 0 THEN chr(10) || 'Hinterhaus' || chr(10) || chr(10) || 'Treppe 2' ELSE '' END "
+           "|| CASE WHEN person_id % 3 = 0 THEN '; \"links\", oben' ELSE '' END")} AS street, {D.utrim('city')} AS city FROM export"""),
     "review_primary": _review_sql("SELECT dup_id, primary_id, n_rows FROM st"),
     "review_grouped": _review_sql(
         "SELECT dup_id, person_id, line, CAST(row_number() OVER (PARTITION BY dup_id ORDER BY line) AS BIGINT) AS pos FROM review"),
@@ -302,6 +317,7 @@ QUERIES = {
     "export_summary": export_summary_q,
     "review_csv_roundtrip": review_csv_roundtrip,
     "review_csv_invalid": review_csv_invalid,
+    "review_csv_multiline": review_csv_multiline,
     "review_primary": review_primary,
     "review_grouped": review_grouped,
     "reconcile_dry_run": reconcile_dry_run,

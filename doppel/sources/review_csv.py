@@ -10,7 +10,8 @@ the header line (``,`` ``;`` TAB: of those whose header names a DupID and an
 ID column, the one with most columns, ties to the earlier), header aliases
 are resolved case-insensitively (first alias found wins, a repeated name
 resolves to its last column), ragged rows are allowed, all-blank rows are
-skipped but keep their line number, and DupID / ID must be positive integers.
+skipped but keep their line number, and DupID / ID must be positive integers. How records
+with line breaks in quoted cells are found is told in ``csv_records``.
 """
 
 from __future__ import annotations
@@ -20,12 +21,10 @@ import io
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from doppel.functions.normalize import utrim
 from doppel.operators.ranking import dense_number
-
-BOM = "﻿"
+from doppel.sources.csv_records import BOM, read_records
 
 # The canonical header, in column order.
 REVIEW_HEADER = ["DupID", "ID", "Vorname", "Nachname", "E-Mail", "Straße", "Stadt", "Standort",
@@ -101,40 +100,33 @@ def detect_delimiter(header_line: str) -> str:
     return best
 
 
-def _header_line(spark: SparkSession, path: str) -> str:
-    # the first line of any file start; every part file of a review carries the header
-    first = (spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
-             .select("value").limit(1).collect())
-    if not first:
-        raise ValueError("review CSV is empty")
-    return first[0]["value"]
-
-
-def read_review_csv(spark: SparkSession, path: str, strict: bool = True,
-                    multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_review_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(rows, invalid)``.
 
     ``rows``: ``dup_id, person_id`` (bigint), the eight text fields (trimmed,
-    ``''`` when the column is missing) and ``line`` (header = line 1; blank
-    records are skipped but counted). ``invalid``: ``line, reason`` for rows
-    whose DupID or ID is not a positive integer; with ``strict`` any such row
-    raises, as the reference does.
+    ``''`` when the column is missing) and ``line``, the number of the record in the
+    file (header = 1; blank records are skipped but counted, empty lines are neither).
+    Quoted cells may hold line breaks. ``invalid``: ``line, reason`` for rows
+    whose DupID or ID is not a positive integer, and for a quote that is never closed;
+    with ``strict`` any such row raises, as the reference does.
+
+    Of several files each has the header; their records count on in the order of the parts.
     """
-    header_text = _header_line(spark, path)
-    sep = detect_delimiter(header_text)
-    header = next(csv.reader(io.StringIO(header_text.removeprefix(BOM)), delimiter=sep, skipinitialspace=True))
+    records, unclosed = read_records(spark, path)
+    first = records.where("first").orderBy("number").select("text").limit(1).collect()
+    if not first:
+        raise ValueError("review CSV is empty")
+    sep = detect_delimiter(first[0]["text"])
+    header = next(csv.reader(io.StringIO(first[0]["text"]), delimiter=sep, skipinitialspace=True))
     cols = map_columns(header)
     width = len(header)
-    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
-    raw = (spark.read.schema(schema)
-           .option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-           .option("ignoreLeadingWhiteSpace", True).option("multiLine", multi_line)
-           .option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-           .csv(path)
-           .select("*", F.col("_metadata.file_path").alias("_file"),
-                   F.col("_metadata.file_block_start").alias("_block"),
-                   F.monotonically_increasing_id().alias("_mono")))
-    lines = _number_rows(raw)
+    cells = F.from_csv("text", ", ".join(f"_c{i} string" for i in range(width)), {
+        "sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE", "multiLine": "true"})
+    # every file's header is a record without a line of its own, but for the first
+    headers = F.sum(F.col("first").cast("long")).over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0))
+    starts = records.where("first").select("file", headers.alias("_headers"))
+    line = (F.col("number") - F.col("_headers") + 1).cast("long").alias("line")
+    raw = records.where("NOT first").join(starts, "file").select(line, cells.alias("c")).select("line", "c.*")
 
     def field(name):
         return utrim(F.col(f"_c{cols[name]}")) if name in cols else F.lit("")
@@ -142,7 +134,7 @@ def read_review_csv(spark: SparkSession, path: str, strict: bool = True,
     blank = F.lit(True)
     for i in range(width):
         blank = blank & (utrim(F.col(f"_c{i}")) == "")
-    parsed = lines.where(~blank).select(
+    parsed = raw.where(~blank).select(
         "line",
         field("dup_id").alias("_dup_text"), field("person_id").alias("_id_text"),
         *[field(f).alias(f) for f in TEXT_FIELDS])
@@ -155,6 +147,8 @@ def read_review_csv(spark: SparkSession, path: str, strict: bool = True,
          .when(F.col("dup_id").isNull() | (F.col("dup_id") <= 0), F.format_string("ungültige DupID \"%s\"", "_dup_text"))
          .when(F.col("_id_text") == "", F.lit("ID fehlt"))
          .otherwise(F.format_string("ungültige ID \"%s\"", "_id_text")).alias("reason"))
+    cut = unclosed.join(starts, "file").select(line, F.lit("Anführungszeichen nicht geschlossen").alias("reason"))
+    invalid = invalid.unionByName(cut)
     rows = parsed.where(~bad).select("dup_id", "person_id", *TEXT_FIELDS, "line")
     if strict:
         first_bad = invalid.orderBy("line").limit(1).collect()
@@ -165,22 +159,6 @@ def read_review_csv(spark: SparkSession, path: str, strict: bool = True,
     return rows, invalid
 
 
-def _number_rows(raw: DataFrame) -> DataFrame:
-    """Line numbers in file order without a single-partition window over rows.
-
-    Rows of one split share ``(_file, _block)``; a split's rows are numbered
-    by ``_mono`` (read order) and shifted by the number of rows in all
-    earlier splits. The running sum runs over one row per input split.
-    """
-    splits = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = splits.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block")
-                                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_file", "_block").orderBy("_mono")
-    return (raw.join(offsets.select("_file", "_block", "_off"), ["_file", "_block"])
-            .withColumn("line", (F.col("_off") + F.row_number().over(w) + 1).cast("long")))
-
-
 def group_review(rows: DataFrame) -> DataFrame:
     """Rows with their cluster's primary, size and position.
 
