@@ -24,9 +24,11 @@ of a bucket:
   the rule needs: a subset's token, the shape of initials, a swapped token. A block
   of many variants that match nobody costs no pairs.
 * **Swapped names.** The swapped rule is directional (which person is ``a``
-  depends on id order) and the couple rule may veto it; its few candidates
-  are expanded to address sub-signatures with ``min``/``max`` ids, which is
-  exact without listing persons.
+  depends on id order) and the couple rule may veto it. The members of a name are
+  linked already, so one allowed pair decides for two names. It is read off the
+  names' ends: the smallest (largest) id, and the smallest (largest) of another
+  mailbox and address, since a couple shares both. Names that meet are found by a
+  token of each of the two name parts at once.
 
 Every output row is an undirected edge ``(src, dst)`` between person ids.
 """
@@ -40,6 +42,8 @@ from doppel.functions import normalize as N
 from doppel.functions import predicates as P
 from doppel.session import ensure_checkpoint_dir
 
+# a pair of names: representative and tokens of both sides
+CANDIDATE = ["l_rep", "l_first_t", "l_last_t", "r_rep", "r_first_t", "r_last_t"]
 FEATURE_COLUMNS = ["email_n", "campus_id", "first_t", "last_t", "city_main", "city_by", "street_n"]
 
 
@@ -102,6 +106,11 @@ def _side_columns(nodes: DataFrame, side: str, attrs: list[str]) -> list[Column]
     return [F.col(c).alias(f"{side}_{c}") for c in attrs]
 
 
+def _asked(tokens: Column) -> Column:
+    """One token of a name, not the leading one (which a whole block shares) if there is another."""
+    return F.array_max(F.transform(tokens, lambda t, i: F.struct((i > 0).alias("own"), F.xxhash64(t).alias("h"), t.alias("t"))))["t"]
+
+
 def _subset_candidates(nodes: DataFrame, block: list[str], tokens: str, attrs: list[str]) -> DataFrame:
     """Node pairs of a block whose ``tokens`` may be a subset (left) and its superset (right).
 
@@ -110,8 +119,7 @@ def _subset_candidates(nodes: DataFrame, block: list[str], tokens: str, attrs: l
     subsets, not the square of the variants.
     """
     col = F.col(tokens)
-    asked = F.array_max(F.transform(col, lambda t, i: F.struct((i > 0).alias("own"), F.xxhash64(t).alias("h"), t.alias("t"))))["t"]
-    left = nodes.where(F.size(col) > 0).select(*block, *_side_columns(nodes, "l", attrs), F.size(col).alias("_l"), asked.alias("_token"))
+    left = nodes.where(F.size(col) > 0).select(*block, *_side_columns(nodes, "l", attrs), F.size(col).alias("_l"), _asked(col).alias("_token"))
     right = nodes.select(*block, *_side_columns(nodes, "r", attrs), F.size(col).alias("_r"), F.explode(F.array_distinct(col)).alias("_token"))
     return left.join(right, [*block, "_token"]).where("_l <= _r AND l_rep <> r_rep").drop("_l", "_r", "_token")
 
@@ -141,7 +149,7 @@ def _swap_candidates(nodes: DataFrame, block: list[str], attrs: list[str]) -> Da
     l = {"first_t": F.col("l_first_t"), "last_t": F.col("l_last_t")}
     r = {"first_t": F.col("r_first_t"), "last_t": F.col("r_last_t")}
     return (left.join(right, [*block, "_token"]).where((F.col("l_rep") != F.col("r_rep")) & _r3(l, r))
-            .select("l_rep", "r_rep", F.lit(True).alias("fwd"), F.lit(False).alias("bwd")).distinct())
+            .select(*CANDIDATE, F.lit(True).alias("fwd"), F.lit(False).alias("bwd")).distinct())
 
 
 def _edge(pairs: DataFrame) -> DataFrame:
@@ -216,30 +224,50 @@ def _r3(a: dict, b: dict) -> Column:
 def _swapped_edges(features: DataFrame, candidates: DataFrame, node_key: list[str]) -> DataFrame:
     """Edges for node pairs that only the swapped-name rule can link.
 
-    ``candidates`` holds ``l_rep, r_rep`` and ``fwd`` (rule holds with the
-    left node as ``a``) / ``bwd``. Members are reduced to address
-    sub-signatures with min/max id; a pair of sub-signatures links the two
-    nodes when some member pair has the right id order and is not a
-    shared-mailbox couple.
+    ``candidates`` holds ``CANDIDATE`` and ``fwd`` (rule holds with the left node as
+    ``a``, whose id is the smaller) / ``bwd``. A pair of members is a couple, and not
+    linked, only inside one class of mailbox, campus, street and city. If some pair in
+    id order crosses classes, so does one of the ends: smallest id (or smallest of
+    another class) on the left, largest on the right.
     """
-    sub = ["email_n", "campus_id", "city_main", "city_by", "street_n"]
-    node_members = features.groupBy(*node_key, *sub).agg(F.min("person_id").alias("lo"),
-                                                         F.max("person_id").alias("hi"),
-                                                         F.first("first_t").alias("ft"))
-    reps = features.groupBy(*node_key).agg(F.min("person_id").alias("rep"))
-    node_members = node_members.join(reps, node_key)
-    lm = node_members.select(*[F.col(c).alias(f"l_{c}") for c in sub],
-                             F.col("rep").alias("l_rep"), F.col("lo").alias("l_lo"),
-                             F.col("hi").alias("l_hi"), F.col("ft").alias("l_first_t"))
-    rm = node_members.select(*[F.col(c).alias(f"r_{c}") for c in sub],
-                             F.col("rep").alias("r_rep"), F.col("lo").alias("r_lo"),
-                             F.col("hi").alias("r_hi"), F.col("ft").alias("r_first_t"))
-    expanded = candidates.join(lm, "l_rep").join(rm, "r_rep")
-    l = {c: F.col(f"l_{c}") for c in sub + ["first_t"]}
-    r = {c: F.col(f"r_{c}") for c in sub + ["first_t"]}
-    veto = P.shared_email_couple(l, r)
-    ok = (~veto) & ((F.col("fwd") & (F.col("l_lo") < F.col("r_hi"))) | (F.col("bwd") & (F.col("r_lo") < F.col("l_hi"))))
-    return expanded.where(ok).select(F.col("l_rep").alias("src"), F.col("r_rep").alias("dst")).distinct()
+    closed = (F.col("email_n") != "") & (F.col("street_n") != "") & (F.col("city_main") != "")
+    held = features.withColumn("cls", F.when(closed, F.struct("email_n", "campus_id", "street_n", "city_main")))
+    by_class = held.groupBy(*node_key, "cls").agg(F.min("person_id").alias("lo"), F.max("person_id").alias("hi"))
+    ends = by_class.groupBy(*node_key).agg(F.min(F.struct("lo", "cls")).alias("low"), F.max(F.struct("hi", "cls")).alias("high"))
+    other = by_class.join(ends, node_key).groupBy(*node_key, "low", "high").agg(
+        F.min(F.when(~F.col("cls").eqNullSafe(F.col("low.cls")), F.col("lo"))).alias("low2"),
+        F.max(F.when(~F.col("cls").eqNullSafe(F.col("high.cls")), F.col("hi"))).alias("high2"))
+    side = other.withColumn("rep", F.col("low.lo"))
+    names = ["rep", "first_t", "last_t"]
+    for s in ("l", "r"):
+        candidates = candidates.join(side.select(*[F.col(c).alias(f"{s}_{c}") for c in [*names, "low", "high", "low2", "high2"]]),
+                                     [f"{s}_{c}" for c in names])
+    no_couple = P.first_names_match(F.col("l_first_t"), F.col("r_first_t"))
+
+    def in_order(a: str, b: str) -> Column:
+        return F.col(f"{a}_low.lo") < F.col(f"{b}_high.hi")
+
+    def crosses(a: str, b: str) -> Column:
+        apart = ~F.coalesce(F.col(f"{a}_low.cls") == F.col(f"{b}_high.cls"), F.lit(False))
+        second = (F.col(f"{a}_low2") < F.col(f"{b}_high.hi")) | (F.col(f"{a}_low.lo") < F.col(f"{b}_high2"))
+        return in_order(a, b) & (no_couple | apart | F.coalesce(second, F.lit(False)))
+
+    fwd, bwd = F.col("fwd") & crosses("l", "r"), F.col("bwd") & crosses("r", "l")
+    linked = candidates.where(fwd | bwd).select(F.col("l_rep").alias("src"), F.col("r_rep").alias("dst"))
+
+    # All members in one class: they are no couple where their city suffixes exclude each other.
+    left = (F.col("fwd") & in_order("l", "r")) | (F.col("bwd") & in_order("r", "l"))
+    rest = candidates.where(~(fwd | bwd) & left).withColumn("cls", F.when(F.col("fwd") & in_order("l", "r"), F.col("l_low.cls")).otherwise(F.col("r_low.cls")))
+    suffixes = held.where("cls IS NOT NULL").groupBy(*node_key, "cls", F.col("city_by").alias("by")).agg(
+        F.min("person_id").alias("lo"), F.max("person_id").alias("hi"))
+    suffixes = suffixes.join(ends.select(*node_key, F.col("low.lo").alias("rep")), node_key)
+    for s in ("l", "r"):
+        rest = rest.join(suffixes.select("cls", *[F.col(c).alias(f"{s}_{c}") for c in [*names, "by", "lo", "hi"]]),
+                         ["cls", *[f"{s}_{c}" for c in names]])
+    apart = ~P.suffix_compatible(F.col("l_by"), F.col("r_by"))
+    ordered = (F.col("fwd") & (F.col("l_lo") < F.col("r_hi"))) | (F.col("bwd") & (F.col("r_lo") < F.col("l_hi")))
+    more = rest.where(apart & ordered).select(F.col("l_rep").alias("src"), F.col("r_rep").alias("dst"))
+    return linked.unionByName(more).distinct()
 
 
 def block_edges(features: DataFrame) -> DataFrame:
@@ -281,23 +309,70 @@ def block_edges(features: DataFrame) -> DataFrame:
     return result
 
 
+def _two_part_pairs(left: DataFrame, right: DataFrame, block: list[str], first: tuple[str, str, bool],
+                    second: tuple[str, str, bool] | None = None) -> DataFrame:
+    """Pairs of a block that agree in two name parts, each as equal, a subset or (if flagged) by initials.
+
+    ``first`` and ``second``: token columns of the left and of the right side, and whether
+    initials count. For each part either side may be the smaller one and asks with one of
+    its tokens, the other stands under all of its own; initials meet by their letters. Both
+    parts are asked at once, so that a token which a whole block shares costs nothing.
+    """
+    def keys(side: int, part: tuple[str, str, bool] | None) -> list[Column]:
+        """Key lists of one side for: left asks, right asks, initials (left has one), initials (right has one)."""
+        if part is None:
+            return [F.array(F.lit(""))]
+        tokens = F.col(part[side])
+        one, every = F.array(_asked(tokens)), F.array_distinct(tokens)
+        shape = F.array(F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), " "))
+        short = F.when(F.exists(tokens, lambda t: F.octet_length(t) == 1), shape)
+        asks = [one, every] if side == 0 else [every, one]
+        return asks + ([short, shape] if side == 0 else [shape, short]) if part[2] else asks
+
+    def keyed(df: DataFrame, side: int) -> DataFrame:
+        made = []
+        for i, x in enumerate(keys(side, first)):
+            for j, y in enumerate(keys(side, second)):
+                both = F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: F.struct(a.alias("a"), b.alias("b")))))
+                made.append(F.coalesce(F.transform(both, lambda k: F.struct(F.lit(i * 4 + j).alias("how"), k["a"].alias("a"), k["b"].alias("b"))),
+                                       F.expr("cast(array() as array<struct<how:int,a:string,b:string>>)")))
+        return df.withColumn("_key", F.explode(F.array_distinct(F.concat(*made))))
+
+    return keyed(left, 0).join(keyed(right, 1), [*block, "_key"]).drop("_key").distinct()
+
+
 def swapped_block_edges(features: DataFrame) -> DataFrame:
     """The optional block of records whose first and last name tokens are exchanged.
 
-    Only pairs that no other block holds are looked at: the leading first-name tokens differ.
+    Only pairs that no other block holds are looked at: the leading tokens are exchanged
+    and differ. Names meet as nodes of their own, addresses only for the address rule, so
+    that the edges follow the number of names.
     """
-    people = features.where((F.size("first_t") > 0) & (F.size("last_t") > 0))
-    key = ["first_t", "last_t", "city_main", "city_by", "street_n"]
-    nodes = people.groupBy(*key).agg(F.min("person_id").alias("rep"))
-    first, last = F.col("first_t")[0], F.col("last_t")[0]
-    nodes = nodes.where(first != last).withColumn("lo", F.least(first, last)).withColumn("hi", F.greatest(first, last))
-    pairs = _pairs_within(nodes, ["lo", "hi"], ["rep", *key]).where(F.col("l_first_t")[0] != F.col("r_first_t")[0])
-    l = {c: F.col(f"l_{c}") for c in key}
-    r = {c: F.col(f"r_{c}") for c in key}
-    pairs = pairs.select("*", (_r1(l, r) | _r2(l, r)).alias("sym"), _r3(l, r).alias("fwd"), _r3(r, l).alias("bwd"))
-    plain = pairs.where("sym").select(F.col("l_rep").alias("src"), F.col("r_rep").alias("dst"))
-    only_swapped = pairs.where(~F.col("sym") & (F.col("fwd") | F.col("bwd"))).select("l_rep", "r_rep", "fwd", "bwd")
-    return plain.unionByName(_swapped_edges(people, only_swapped, key))
+    people = (features.where((F.size("first_t") > 0) & (F.size("last_t") > 0)).withColumn("f", F.col("first_t")[0])
+              .withColumn("l", F.col("last_t")[0]).where("f <> l"))
+
+    def sides(nodes: DataFrame, block: list[str], attrs: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Each pair of nodes with exchanged leading tokens once; ``f, l`` are those of the left side."""
+        left = nodes.where("f < l").select("f", "l", *block, *_side_columns(nodes, "l", attrs))
+        right = nodes.where("f > l").select(F.col("l").alias("f"), F.col("f").alias("l"), *block, *_side_columns(nodes, "r", attrs))
+        return left, right
+
+    l = {"first_t": F.col("l_first_t"), "last_t": F.col("l_last_t")}
+    r = {"first_t": F.col("r_first_t"), "last_t": F.col("r_last_t")}
+    key, attrs = ["first_t", "last_t"], ["rep", "first_t", "last_t"]
+    nodes = people.groupBy(*key, "f", "l").agg(F.min("person_id").alias("rep"))
+    both = sides(nodes, [], attrs)
+    same = _two_part_pairs(*both, ["f", "l"], ("l_first_t", "r_first_t", True), ("l_last_t", "r_last_t", False)).where(_r2(l, r))
+    swapped = _two_part_pairs(*both, ["f", "l"], ("l_first_t", "r_last_t", True), ("l_last_t", "r_first_t", True))
+    swapped = swapped.select(*CANDIDATE, _r3(l, r).alias("fwd"), _r3(r, l).alias("bwd")).where("fwd OR bwd")
+
+    # one address and first names that match in another order
+    at = people.where("city_main <> '' AND street_n <> ''")
+    nodes = at.groupBy("first_t", "f", "l", "city_main", "street_n", "city_by").agg(F.min("person_id").alias("rep"))
+    place = ["city_main", "street_n"]
+    near = _two_part_pairs(*sides(nodes, place, ["rep", "first_t", "city_by"]), ["f", "l", *place], ("l_first_t", "r_first_t", True))
+    near = near.where(P.first_names_match(F.col("l_first_t"), F.col("r_first_t")) & P.suffix_compatible(F.col("l_city_by"), F.col("r_city_by")))
+    return _edge(same).unionByName(_edge(near)).unionByName(_swapped_edges(people, swapped, key))
 
 
 def match_edges(persons: DataFrame, swap_keys: bool = False) -> DataFrame:

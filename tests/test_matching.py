@@ -128,3 +128,36 @@ def test_a_hot_bucket_has_few_edges(spark, row):
     """Many variants behind one address, mailbox or name: edges follow their number."""
     n = 300
     assert match_edges(persons_df(spark, [row(i) for i in range(1, n + 1)])).count() <= 2 * n
+
+
+def test_exchanged_names_have_few_edges(spark):
+    """n people of one name and n with it exchanged, at addresses of their own or in one mailbox."""
+    for n, mail in ((60, ""), (60, "kern@mail.test")):
+        rows = [(i, 1, *(("Anna", "Vogt") if i % 2 else ("Vogt", "Anna")), mail, f"Weg {i}", "Gera") for i in range(1, 2 * n + 1)]
+        p = persons_df(spark, rows)
+        assert clusters(find_duplicate_groups(p, swap_keys=True)) == [tuple(range(1, 2 * n + 1))]
+        assert match_edges(p, swap_keys=True).count() <= 4 * n
+
+
+def test_exchanged_names_visit_few_pairs(spark):
+    """Further tokens that differ: no pair of them meets, though all share both leading tokens."""
+    from doppel.operators.pairs import _two_part_pairs
+    n = 200
+    rows = [(i, [f"anna", f"x{i}"], ["vogt"]) for i in range(n)]
+    left = spark.createDataFrame(rows, "l_rep long, l_first_t array<string>, l_last_t array<string>").withColumn("b", F.lit(1))
+    right = spark.createDataFrame([(1000 + i, ["vogt"], ["anna", f"y{i}"]) for i in range(n)],
+                                  "r_rep long, r_first_t array<string>, r_last_t array<string>").withColumn("b", F.lit(1))
+    assert _two_part_pairs(left, right, ["b"], ("l_first_t", "r_last_t", True), ("l_last_t", "r_first_t", True)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_exchanged_names_equal_brute_force(spark, seed):
+    """Couples, orders of ids, initials and suffixes among exchanged names."""
+    rng = random.Random(seed)
+    names = ["Ute", "Kern", "Ute Kern", "Kern Ute", "U.", "K", "Ute K.", "Kern Maria", "U. M.", "Maria", "Ute Maria"]
+    where = [("Markt 1", "Lauffen am Neckar"), ("Markt 1", "Lauffen am Inn"), ("Markt 1", "Lauffen"), ("Weg 2", "Gera"), ("", "")]
+    rows = [(i, rng.choice([1, 1, 2]), rng.choice(names), rng.choice(names), rng.choice(["", "a@mail.test", "a@mail.test"]), *rng.choice(where))
+            for i in range(1, 90)]
+    for part in (rows[:12], rows[12:30], rows):
+        plain = [dict(zip(COLUMNS, r)) for r in part]
+        assert clusters(find_duplicate_groups(persons_df(spark, part), swap_keys=True)) == brute.groups(plain, swapped=True)
