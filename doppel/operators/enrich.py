@@ -20,12 +20,14 @@ REVIEW_COLUMNS = ["dup_id", "person_id", "first_name", "last_name", "email", "st
 
 
 def last_record_per_id(persons: DataFrame, order_col: str | None = None) -> DataFrame:
-    """One record per person id; with ``order_col`` the last one wins."""
-    if order_col is None or order_col not in persons.columns:
-        return persons.dropDuplicates(["person_id"])
+    """One record per person id, the last one by ``order_col`` (a reading order, see ``sources.scans``).
+
+    Without such a column the greatest record counts, so that the result is defined.
+    """
     # an aggregate rather than a window: partial maxima are kept before the shuffle
     row = F.struct(*[F.col(c) for c in persons.columns])
-    return persons.groupBy("person_id").agg(F.max_by(row, order_col).alias("_row")).select("_row.*")
+    ordered = order_col is not None and order_col in persons.columns
+    return persons.groupBy("person_id").agg((F.max_by(row, order_col) if ordered else F.max(row)).alias("_row")).select("_row.*")
 
 
 def overlay_details(base: DataFrame, details: DataFrame) -> DataFrame:

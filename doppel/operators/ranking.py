@@ -30,3 +30,18 @@ def dense_number(keys: DataFrame, key: str | list[str], out: str, rows_per_range
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*cols))
     return ranged.join(offsets, "_range").select(*cols, (F.col("_off") + place).alias(out))
+
+
+def running_sum(rows: DataFrame, order: list[str], value: str, out: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over all rows before a row in the order of ``order`` (unique keys)."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    held = rows.checkpoint(eager=True)
+    ranges = -(-held.count() // rows_per_range) or 1
+    ranged = held.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_s"))
+    # one row a range
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_range", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_off"))
+    before = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(value).over(before), F.lit(0))
+    return ranged.join(offsets, "_range").withColumn(out, F.col("_off") + inside).drop("_range", "_off")

@@ -28,10 +28,22 @@ from pyspark.sql import functions as F
 
 from doppel.functions import normalize as N
 from doppel.functions.predicates import relationship_type_matches
+from doppel.operators.ranking import running_sum
 
 DEFAULT_GROUP_NAME = "Duplikate"
 
 
+# Texts of the dry-run message, in pieces around the lists of ids.
+MESSAGES = {
+    "too_small": "übersprungen: weniger als zwei Personen",
+    "failed": "Beziehungen prüfen fehlgeschlagen: ungültige Personen-IDs für Duplikat-Prüfung",
+    "all_head": "Dry-Run: Person %d ist bereits mit ", "all_tail": " verknüpft",
+    "some_head": "Dry-Run: Person %d mit ", "some_between": " verknüpfen (", "some_tail": " bereits verknüpft)",
+    "none_head": "Dry-Run: würde Person %d mit ", "none_tail": " verknüpfen",
+    "in_group": "; Person %d bereits in Gruppe %s", "to_group": "; Person %d würde in Gruppe %s aufgenommen",
+}
+
+
 @dataclass
 class ReconcileResult:
     results: DataFrame
@@ -211,6 +223,55 @@ def reconcile(review: DataFrame, relationships: DataFrame, memberships: DataFram
     return ReconcileResult(results, links, memberships_out, summarize(results))
 
 
+def dry_run_messages(review: DataFrame, relationships: DataFrame, memberships: DataFrame, rel_type_id: int = 8,
+                     skip_group_add: bool = False, group_name: str = DEFAULT_GROUP_NAME, chunk: int = 4000) -> DataFrame:
+    """F19 in pieces: ``dup_id, section, chunk, text``; a cluster's texts in that order are its dry-run message.
+
+    The ids of a cluster's others are cut into chunks of about ``chunk`` characters by prefix
+    sums of their lengths, taken in ranges, so that no row and no task grows with a cluster.
+    """
+    rows = review.select(F.col("dup_id").cast("long"), F.col("person_id").cast("long"), F.col("line").cast("long"))
+    stats = rows.groupBy("dup_id").agg(F.min_by("person_id", "line").alias("primary_id"), F.min("line").alias("primary_line"),
+                                       F.count(F.lit(1)).alias("n_rows"))
+    others = rows.join(stats, "dup_id").where((F.col("line") != F.col("primary_line")) & (F.col("n_rows") >= 2))
+    others = others.withColumn("lo", F.least("primary_id", "person_id")).withColumn("hi", F.greatest("primary_id", "person_id"))
+    existing = existing_duplicate_pairs(relationships, rel_type_id).withColumn("exists", F.lit(True))
+    others = others.join(existing, ["lo", "hi"], "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+    per = others.groupBy("dup_id").agg(F.count(F.lit(1)).alias("n_others"), F.sum(F.col("exists").cast("long")).alias("n_exist"),
+                                       F.max(F.col("person_id") == F.col("primary_id")).alias("failed"))
+    in_group = members_of_named_group(memberships, group_name).select(F.col("person_id").alias("primary_id"), F.lit(True).alias("in_group"))
+    heads = stats.join(per, "dup_id", "left").join(in_group, "primary_id", "left")
+    name = F.lit(_q(_wanted(group_name)))
+    note = F.lit("") if skip_group_add else F.when(F.col("in_group"), F.format_string(MESSAGES["in_group"], "primary_id", name)).otherwise(
+        F.format_string(MESSAGES["to_group"], "primary_id", name))
+    small, failed = F.col("n_rows") < 2, F.coalesce("failed", F.lit(False))
+    all_there, some_there = F.col("n_exist") == F.col("n_others"), F.col("n_exist") > 0
+
+    def with_primary(text: str):
+        return F.format_string(text, "primary_id")
+
+    # section 0: head, 1: ids to link, 2: text between, 3: ids already linked, 4: tail
+    head = (F.when(small, F.lit(MESSAGES["too_small"])).when(failed, F.lit(MESSAGES["failed"])).when(all_there, with_primary(MESSAGES["all_head"]))
+             .when(some_there, with_primary(MESSAGES["some_head"])).otherwise(with_primary(MESSAGES["none_head"])))
+    between = F.when(some_there & ~all_there, F.lit(MESSAGES["some_between"])).otherwise(F.lit(""))
+    tail = F.concat(F.when(all_there, F.lit(MESSAGES["all_tail"])).when(some_there, F.lit(MESSAGES["some_tail"])).otherwise(F.lit(MESSAGES["none_tail"])), note)
+    fixed = F.when(small | failed, F.array(F.struct(F.lit(0).alias("section"), head.alias("text")))).otherwise(
+        F.array(*[F.struct(F.lit(i).alias("section"), t.alias("text")) for i, t in ((0, head), (2, between), (4, tail))]))
+    texts = heads.select("dup_id", F.explode(fixed).alias("t")).select("dup_id", "t.section", F.lit(0).cast("long").alias("chunk"), "t.text").where("text <> ''")
+
+    good = heads.where(~small & ~failed).select("dup_id")
+    ids = others.join(good, "dup_id", "left_semi").select(
+        "dup_id", F.when(F.col("exists"), 3).otherwise(1).alias("section"), "line", F.col("person_id").cast("string").alias("text"))
+    # every id but a list's first has a separator before it; the first one's is taken off at the end
+    placed = running_sum(ids.withColumn("size", F.length("text") + 2), ["dup_id", "section", "line"], "size", "before")
+    starts = placed.groupBy("dup_id", "section").agg(F.min("before").alias("start"))
+    cut = placed.join(starts, ["dup_id", "section"]).withColumn("chunk", F.floor((F.col("before") - F.col("start")) / chunk))
+    lists = cut.groupBy("dup_id", "section", "chunk").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda x: x["text"]), ", ")
+    lists = lists.select("dup_id", "section", "chunk", F.concat(F.when(F.col("chunk") > 0, F.lit(", ")).otherwise(F.lit("")), joined).alias("text"))
+    return texts.unionByName(lists)
+
+
 def summarize(results: DataFrame) -> DataFrame:
     """A5: ok / skipped / failed counts; linked total over ok, existing total over ok + skipped."""
     st = F.col("status")

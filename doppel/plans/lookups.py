@@ -75,6 +75,44 @@ def comma_name_lists(spark, sf_dir):
     return listed.groupBy("person_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _part_groups(spark, sf_dir):
+    return read_table(spark, sf_dir, "part").selectExpr("p_partkey AS group_id", "concat('<b>', p_name, '</b>  ', p_brand, ' ', p_partkey) AS group_name")
+
+
+def group_search(spark, sf_dir):
+    """Many search texts against a group table that grows: unique, ambiguous and missing ones, short ones too."""
+    part = read_table(spark, sf_dir, "part").where("p_partkey % 20 = 0")
+    names = part.selectExpr("p_partkey AS pos", """CASE p_partkey % 120 WHEN 0 THEN concat(' ', p_name, ' ', p_brand, ' ', p_partkey, ' ') WHEN 20 THEN p_name
+      WHEN 40 THEN concat('zz', p_partkey) WHEN 60 THEN concat('#', p_partkey % 7) WHEN 80 THEN upper(p_name) ELSE concat(p_brand, ' ', p_partkey) END AS name""")
+    return L.find_groups_by_name(_part_groups(spark, sf_dir), names)
+
+
+def relationship_type_requests(spark, sf_dir):
+    """F17 over a table of requests: every rule and every way to fail."""
+    t = fixture(spark, sf_dir, "relationship_types")
+    twice = t.where("id % 5 = 0").withColumn("id", (F.col("id") + 100000).cast("int"))
+    types = t.unionByName(twice)
+    asked = read_table(spark, sf_dir, "supplier").where("s_suppkey > 0").selectExpr(
+        "s_suppkey AS req", "CASE s_suppkey % 6 WHEN 0 THEN s_suppkey WHEN 1 THEN s_suppkey + 500000 ELSE 0 END AS type_id",
+        "CASE WHEN s_suppkey % 6 = 2 THEN 8 WHEN s_suppkey % 6 = 3 THEN 999999 END AS default_id",
+        "CASE s_suppkey % 6 WHEN 3 THEN ' ' WHEN 4 THEN concat(' mögliche DUBLETTE ', s_suppkey) WHEN 5 THEN concat('Kind ', s_suppkey + 5) ELSE 'x' END AS name")
+    return L.resolve_duplicate_types(types, asked)
+
+
+def persons_in_list_order(spark, sf_dir):
+    """A list with repeats and unknown ids, in its order; of a person's records the last counts."""
+    p = fixture(spark, sf_dir, "persons").select("person_id", "first_name", "city", F.lit(1).alias("_pos"))
+    records = p.unionByName(p.where("person_id % 3 = 0").withColumn("city", F.concat(F.lit("neu "), "city")).withColumn("_pos", F.lit(2)))
+    ids = read_table(spark, sf_dir, "orders").selectExpr("o_orderkey AS pos", "o_custkey % 2000 AS person_id")
+    return L.persons_by_ids(records, ids).select("pos", "person_id", "first_name", "city")
+
+
+def persons_by_status(spark, sf_dir):
+    """P1 with a campus and a status."""
+    p = fixture(spark, sf_dir, "persons").withColumn("status_id", (F.col("person_id") % 4).cast("int"))
+    return L.persons_by_campus(p, CAMPUS_FOR_QUERY, 2).select("person_id", "campus_id", "status_id")
+
+
 # --------------------------------------------------------------------------- oracles
 
 def _ctes(*names):
@@ -143,14 +181,45 @@ def _types_oracle(select):
 {select}"""
 
 
+_REQUESTS = _types_oracle("").rstrip().replace("relationship_types AS (", "base_types AS (", 1).replace(
+    ", t AS (", """, relationship_types AS (SELECT * FROM base_types UNION ALL
+    SELECT CAST(id + 100000 AS INTEGER), name, degree_name_a, degree_name_b, export_title FROM base_types WHERE id % 5 = 0), t AS (""", 1) + """,
+  req AS (SELECT s_suppkey AS req, CASE s_suppkey % 6 WHEN 0 THEN s_suppkey WHEN 1 THEN s_suppkey + 500000 ELSE 0 END AS want,
+      CASE WHEN s_suppkey % 6 = 2 THEN 8 WHEN s_suppkey % 6 = 3 THEN 999999 END AS default_id,
+      CASE s_suppkey % 6 WHEN 3 THEN '' WHEN 4 THEN 'mögliche DUBLETTE ' || s_suppkey WHEN 5 THEN 'Kind ' || (s_suppkey + 5) ELSE 'x' END AS name
+    FROM supplier WHERE s_suppkey > 0),
+  best AS (SELECT id, name FROM t WHERE score > 0 ORDER BY score DESC, prio, id LIMIT 1),
+  byname AS (SELECT lower(name) AS k, count(*) AS n, min(id) AS id, arg_min(name, id) AS name,
+      string_agg('"' || name || '" (ID ' || id || ')', ', ' ORDER BY id) AS listed FROM t GROUP BY 1),
+  o AS (SELECT r.req, r.want, r.name AS asked, a.id AS a_id, a.name AS a_name, d.id AS d_id, d.name AS d_name, coalesce(b.n, 0) AS n,
+      b.id AS b_id, b.name AS b_name, b.listed, (SELECT id FROM best) AS s_id, (SELECT name FROM best) AS s_name,
+      CASE WHEN want > 0 THEN CASE WHEN a.id IS NOT NULL THEN 'id' ELSE 'id missing' END WHEN d.id IS NOT NULL THEN 'default'
+           WHEN r.name <> '' THEN CASE WHEN coalesce(b.n, 0) = 1 THEN 'name' WHEN coalesce(b.n, 0) = 0 THEN 'name missing' ELSE 'name ambiguous' END
+           WHEN (SELECT count(*) FROM best) = 1 THEN 'score' ELSE 'none' END AS outcome
+    FROM req r LEFT JOIN t a ON a.id = r.want LEFT JOIN t d ON d.id = r.default_id LEFT JOIN byname b ON b.k = lower(r.name) AND r.name <> '')
+SELECT req, outcome, CASE outcome WHEN 'id' THEN a_id WHEN 'default' THEN d_id WHEN 'name' THEN b_id WHEN 'score' THEN s_id END AS id,
+  CASE outcome WHEN 'id' THEN a_name WHEN 'default' THEN d_name WHEN 'name' THEN b_name WHEN 'score' THEN s_name END AS name,
+  CASE WHEN outcome LIKE 'name%' THEN n ELSE 0 END AS n_matches, CASE WHEN outcome = 'name ambiguous' THEN listed ELSE '' END AS candidates FROM o"""
+
+
 ORACLES = {
+    "group_search": """WITH g AS (SELECT p_partkey AS group_id, p_name || ' ' || p_brand || ' ' || p_partkey AS plain FROM part),
+  a AS (SELECT p_partkey AS pos, trim(CASE p_partkey % 120 WHEN 0 THEN p_name || ' ' || p_brand || ' ' || p_partkey WHEN 20 THEN p_name WHEN 40 THEN 'zz' || p_partkey
+      WHEN 60 THEN '#' || (p_partkey % 7) WHEN 80 THEN upper(p_name) ELSE p_brand || ' ' || p_partkey END) AS name FROM part WHERE p_partkey % 20 = 0),
+  h AS (SELECT a.pos, count(*) AS n, min(g.group_id) AS gid FROM a JOIN g ON contains(g.plain, a.name) GROUP BY a.pos)
+SELECT a.pos, name, coalesce(n, 0) AS n_matches, CASE WHEN n = 1 THEN gid END AS group_id FROM a LEFT JOIN h ON h.pos = a.pos""",
+    "relationship_type_requests": _REQUESTS,
+    "persons_in_list_order": _ctes("persons") + """SELECT o_orderkey AS pos, p.person_id, first_name,
+  CASE WHEN p.person_id % 3 = 0 THEN 'neu ' || city ELSE city END AS city FROM orders JOIN persons p ON p.person_id = o_custkey % 2000""",
+    "persons_by_status": _ctes("persons") + """SELECT person_id, campus_id, CAST(person_id % 4 AS INTEGER) AS status_id FROM persons
+  WHERE campus_id = 3 AND person_id % 4 = 2""",
     "campus_search": _campus_oracle(),
     "group_lookup": _group_lookup_oracle("SELECT name, n_matches, group_id FROM res"),
     # candidates after the case-insensitive dedupe: "Duplikate", "DUPLIKATE" repeat "duplikate"
     "group_candidates": _group_lookup_oracle(
         "SELECT group_id, name FROM res WHERE n_matches = 1 ORDER BY pos LIMIT 1", ["Gruppe X", "duplikate", "alt"]),
     "person_memberships": _ctes("memberships") + f"""SELECT CAST(person_id AS BIGINT) AS person_id, CAST(group_id AS BIGINT) AS group_id,
-  min({_plain('group_name')}) AS group_name FROM memberships WHERE group_id > 0 AND {_plain('group_name')} <> ''
+  min({_plain('group_name')}) AS group_name FROM memberships WHERE group_id > 0 AND {D.nonblank('group_name')}
   GROUP BY person_id, group_id""",
     "relationship_type_listing": _types_oracle("SELECT id, name, score FROM t"),
     "relationship_type_pick": _types_oracle(
@@ -168,6 +237,10 @@ ORACLES = {
 }
 
 QUERIES = {
+    "group_search": group_search,
+    "relationship_type_requests": relationship_type_requests,
+    "persons_in_list_order": persons_in_list_order,
+    "persons_by_status": persons_by_status,
     "campus_search": campus_search,
     "group_lookup": group_lookup,
     "group_candidates": group_candidates,

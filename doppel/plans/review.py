@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from doppel.operators.enrich import REVIEW_COLUMNS, export_rows, export_summary
 from doppel.operators.groups import find_duplicate_groups
 from doppel.operators.ranking import dense_number
-from doppel.operators.reconcile import reconcile
+from doppel.operators.reconcile import dry_run_messages, reconcile
 from doppel.plans import duck as D
 from doppel.plans.matching import ORACLES as MATCH_ORACLES
 from doppel.sources.fixtures import fixture
@@ -148,6 +148,25 @@ def reconcile_apply_summary(spark, sf_dir):
     return _reconcile(spark, sf_dir, False).summary
 
 
+def reconcile_messages(spark, sf_dir):
+    """F19 in pieces of about 12 characters of ids."""
+    return dry_run_messages(review_rows(spark, sf_dir), fixture(spark, sf_dir, "relationships"),
+                            fixture(spark, sf_dir, "memberships"), rel_type_id=REL_TYPE_ID, chunk=12)
+
+
+def export_accounts(spark, sf_dir):
+    """C2 with account fields, e-mail lists and campus names in the details, several details of a person."""
+    k = F.col("person_id")
+    base = fixture(spark, sf_dir, "person_details").withColumn("_pos", F.lit(1)).withColumn(
+        "is_system_user", k % 17 == 0).withColumn("is_allowed_to_login", F.when(k % 19 == 0, F.lit(True))).withColumn(
+        "cms_user_id", F.when(k % 23 == 0, F.lit("u")).otherwise(F.lit(" "))).withColumn(
+        "last_login", F.when(k % 29 == 0, F.lit("2026-01-02"))).withColumn("consent_date", F.when(k % 31 == 0, F.lit("2026-01-02"))).withColumn(
+        "accepted_security", F.when(k % 37 == 0, F.lit("ja"))).withColumn("campus_name", F.when(k % 8 == 0, F.lit(" Eigener Standort "))).withColumn(
+        "emails", F.when(k % 3 == 0, F.array(F.struct(F.lit(" ").alias("email")), F.struct(F.concat(F.lit(" l"), k.cast("string"), F.lit("@mail.test")).alias("email")))))
+    newer = base.where("person_id % 9 = 0").withColumn("_pos", F.lit(2)).withColumn("city", F.lit("Zuletzt"))
+    return export_rows(_groups(spark, sf_dir), fixture(spark, sf_dir, "persons"), fixture(spark, sf_dir, "campuses"), base.unionByName(newer))
+
+
 # --------------------------------------------------------------------------- oracles
 
 def _groups_cte() -> str:
@@ -284,7 +303,39 @@ def _apply_sql(select: str) -> str:
     return _review_sql("").rstrip() + _APPLY.replace("{PLAIN}", _plain("group_name")) + _RESULT + "\n" + select
 
 
+_PIECES = """,
+  ids AS (SELECT o.dup_id, CASE WHEN o.ex THEN 3 ELSE 1 END AS section, o.line, CAST(o.person_id AS VARCHAR) AS t FROM o2 o
+          JOIN res r ON r.dup_id = o.dup_id WHERE NOT r.too_small AND NOT r.fail),
+  placed AS (SELECT *, coalesce(sum(strlen(t) + 2) OVER (PARTITION BY dup_id, section ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ids),
+  lists AS (SELECT dup_id, section, CAST(floor(pos / 12.0) AS BIGINT) AS chunk, string_agg(t, ', ' ORDER BY line) AS t FROM placed GROUP BY ALL),
+  notes AS (SELECT *, CASE WHEN in_group THEN printf('; Person %d bereits in Gruppe "Duplikate"', primary_id)
+      ELSE printf('; Person %d würde in Gruppe "Duplikate" aufgenommen', primary_id) END AS note FROM res),
+  fixed AS (SELECT dup_id, 0 AS section, CASE WHEN too_small THEN 'übersprungen: weniger als zwei Personen'
+        WHEN fail THEN 'Beziehungen prüfen fehlgeschlagen: ungültige Personen-IDs für Duplikat-Prüfung'
+        WHEN n_exist = n_others THEN printf('Dry-Run: Person %d ist bereits mit ', primary_id)
+        WHEN n_exist > 0 THEN printf('Dry-Run: Person %d mit ', primary_id) ELSE printf('Dry-Run: würde Person %d mit ', primary_id) END AS t FROM notes
+    UNION ALL SELECT dup_id, 2, ' verknüpfen (' FROM notes WHERE NOT too_small AND NOT fail AND n_exist > 0 AND n_exist < n_others
+    UNION ALL SELECT dup_id, 4, CASE WHEN n_exist = n_others THEN ' verknüpft' WHEN n_exist > 0 THEN ' bereits verknüpft)' ELSE ' verknüpfen' END || note
+      FROM notes WHERE NOT too_small AND NOT fail)
+SELECT dup_id, section, CAST(0 AS BIGINT) AS chunk, t AS text FROM fixed
+UNION ALL SELECT dup_id, section, chunk, CASE WHEN chunk > 0 THEN ', ' ELSE '' END || t FROM lists"""
+
+
+def _accounts_sql() -> str:
+    """The export's text with richer details and an account rule of its own."""
+    text = _export_sql("SELECT * FROM export")
+    text = text.replace("det AS (SELECT * FROM person_details)", """det AS (
+    SELECT person_id, street, CASE WHEN person_id % 9 = 0 THEN 'Zuletzt' ELSE city END AS city, created_at, invitation_status, campus_id FROM person_details)""")
+    mail = "CASE WHEN " + D.nonblank("o.email") + " THEN o.email WHEN o.person_id % 3 = 0 THEN 'l' || o.person_id || '@mail.test' ELSE '' END"
+    text = text.replace(D.utrim("o.email") + " AS email", D.utrim(mail) + " AS email")
+    text = text.replace("CASE WHEN coalesce(o.campus_id, 0) > 0 THEN", "CASE WHEN o.person_id % 8 = 0 THEN 'Eigener Standort' WHEN coalesce(o.campus_id, 0) > 0 THEN")
+    flags = " OR ".join(f"o.person_id % {n} = 0" for n in (17, 19, 23, 29, 31, 37))
+    return text.replace("ELSE 'NEU' END AS invitation_status", f"ELSE CASE WHEN {flags} THEN 'Registriert' ELSE 'NEU' END END AS invitation_status")
+
+
 ORACLES = {
+    "reconcile_messages": _review_sql("").rstrip() + _DRY.split(",\n  res2 AS")[0] + _PIECES,
+    "export_accounts": _accounts_sql(),
     "export_review": _export_sql("SELECT * FROM export"),
     "export_summary": _export_sql("SELECT count(*) AS n_rows, count(DISTINCT dup_id) AS n_clusters FROM export"),
     "review_csv_roundtrip": _export_sql(
@@ -313,6 +364,8 @@ ORACLES = {
 }
 
 QUERIES = {
+    "reconcile_messages": reconcile_messages,
+    "export_accounts": export_accounts,
     "export_review": export_review,
     "export_summary": export_summary_q,
     "review_csv_roundtrip": review_csv_roundtrip,

@@ -4,24 +4,26 @@ The reference pulls paged JSON from a REST API. Here the pages are landed
 files (one envelope ``{"data": ..., "meta": {"pagination": {...}}}`` per
 line), read in parallel, parsed once into ``VARIANT`` and decoded with
 tolerant per-key fall-backs. Every rule is a Column expression.
+Key names and their spellings are fixed values of the API.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doppel.functions import normalize as N
+from doppel.session import ensure_checkpoint_dir
+from doppel.sources.scans import items_of, kind as _kind, parse_envelopes, require_complete, scan_status
 
 
 def _get(v: Column, key: str, typ: str = "variant") -> Column:
     return F.try_variant_get(v, f"$['{key}']", typ)
 
 
-def _kind(v: Column) -> Column:
-    return F.when(v.isNull(), F.lit("NULL")).otherwise(F.schema_of_variant(v))
-
-
 def flexible_string(v: Column) -> Column:
     """JSON string, trimmed, blank -> null; other types -> null."""
     s = F.when(_kind(v) == "STRING", N.utrim(F.try_variant_get(v, "$", "string")))
@@ -56,37 +58,88 @@ def _object_date(v: Column) -> Column:
 
 
 def page_items(envelopes: DataFrame, text_col: str = "value", max_pages: int | None = None,
-               check_complete: bool = True) -> DataFrame:
-    """S1 + S2: envelope text -> one row per item (``page``, ``item`` variant).
+               check_complete: bool = True, scan_col: str | None = None) -> DataFrame:
+    """S1 + S2: envelope text -> one row per item (``scan, page, pos, item`` variant).
 
-    ``data`` null/absent -> no rows, an array -> its elements, any other value
-    -> one row. With ``check_complete`` the pages present must be exactly
-    1..lastPage (one small aggregate); ``max_pages`` mirrors the API's page cap.
+    With ``check_complete`` every scan (``scan_col`` tells them apart) must have each of
+    its pages once; ``max_pages`` mirrors the API's page cap. See ``scans``.
     """
-    env = envelopes.select(F.parse_json(F.col(text_col)).alias("env"))
-    env = env.select(
-        F.coalesce(F.try_variant_get("env", "$.meta.pagination.current", "bigint"), F.lit(1)).alias("page"),
-        F.try_variant_get("env", "$.meta.pagination.lastPage", "bigint").alias("last_page"),
-        F.try_variant_get("env", "$.data", "variant").alias("data"))
-    if check_complete or max_pages:
-        st = env.agg(F.count_distinct("page").alias("n"), F.max("last_page").alias("last"), F.min("page").alias("low"),
-                     F.max("page").alias("top"), F.count(F.lit(1)).alias("landed")).first()
-        last = st["last"] if st["last"] is not None else st["top"]
-        if max_pages and last is not None and last > max_pages:
-            raise ValueError(f"more than {max_pages} pages")
-        if check_complete and last is not None and (st["n"], st["low"], st["top"]) != (last, 1, last):
-            raise ValueError(f"incomplete page set: {st['n']} pages from {st['low']} to {st['top']} of {last}")
-        if check_complete and st["landed"] != st["n"]:
-            raise ValueError(f"{st['landed'] - st['n']} pages landed twice")
-    kind = _kind(F.col("data"))
-    items = F.when(kind.startswith("ARRAY"), F.try_variant_get("data", "$", "array<variant>")) \
-             .when(kind != "NULL", F.array(F.col("data")))
-    return env.select("page", F.explode(items).alias("item")).where(F.col("item").isNotNull())
-
-
-def decode_persons(items: DataFrame, item_col: str = "item") -> DataFrame:
-    """S4 + F20-F25: typed person rows; ``id <= 0`` dropped."""
-    v = F.col(item_col)
+    parsed = parse_envelopes(envelopes, text_col, scan_col)
+    if check_complete:
+        require_complete(parsed, max_pages)
+    return items_of(parsed)
+
+
+# The fields of a person that a strict decode types, with their JSON kind.
+WHOLE = ("BIGINT", "INT", "SMALLINT", "TINYINT")
+STRICT_TEXT = ["firstName", "lastName", "email", "invitationStatus"]
+EMAIL_FIELDS = {"email": ("STRING",), "isDefault": ("BOOLEAN",), "contactLabelId": WHOLE}
+KIND_NAMES = {("STRING",): "text", ("BOOLEAN",): "a flag", WHOLE: "a whole number"}
+
+
+def _misfit(v: Column, kinds: tuple[str, ...], name: Column) -> Column:
+    """An error text if a present value is of another kind; null stands for nothing."""
+    return F.when(~_kind(v).isin("NULL", "VOID", *kinds), F.concat(name, F.lit(f" is not {KIND_NAMES[kinds]}")))
+
+
+def person_errors(v: Column) -> Column:
+    """What a strict decode refuses, as a list of texts; empty for a good record."""
+    emails = _get(v, "emails")
+    listed = F.try_variant_get(emails, "$", "array<variant>")
+
+    def of_email(e: Column, i: Column) -> Column:
+        name = F.concat(F.lit("emails["), i.cast("string"), F.lit("]"))
+        is_object = _kind(e).startswith("OBJECT")
+        fields = [F.when(is_object, _misfit(_get(e, k), kinds, F.concat(name, F.lit(f".{k}")))) for k, kinds in EMAIL_FIELDS.items()]
+        return F.array(F.when(~is_object & ~_kind(e).isin("NULL", "VOID"), F.concat(name, F.lit(" is not an object"))), *fields)
+
+    own = [_misfit(_get(v, "id"), WHOLE, F.lit("id")), *[_misfit(_get(v, k), ("STRING",), F.lit(k)) for k in STRICT_TEXT],
+           F.when(~_kind(emails).startswith("ARRAY") & ~_kind(emails).isin("NULL", "VOID"), F.lit("emails is not a list"))]
+    in_list = F.when(_kind(emails).startswith("ARRAY"), F.flatten(F.transform(listed, of_email)))
+    fields = F.array_compact(F.concat(F.array(*own), F.coalesce(in_list, F.array(F.lit(None).cast("string")))))
+    nothing = F.expr("cast(array() as array<string>)")
+    return (F.when(_kind(v).isin("NULL", "VOID"), nothing).when(~_kind(v).startswith("OBJECT"), F.array(F.lit("the record is not an object")))
+             .otherwise(fields))
+
+
+def checked_persons(items: DataFrame, item_col: str = "item", keep: tuple[str, ...] = ()) -> DataFrame:
+    """S4 in one pass: ``p`` (typed person), ``errors`` and ``item`` text of every item, with the columns ``keep``.
+
+    Nothing is dropped: a record is good (no errors, an id above 0), passed over
+    (no errors, no such id; the API's list does the same) or in error, and then no part of it is used.
+    """
+    errors = person_errors(F.col(item_col))
+    made = items.select(*keep, F.col(item_col).alias("item"), errors.alias("errors"))
+    return made.select(*keep, F.when(F.size("errors") == 0, _person(F.col("item"))).alias("p"), "errors",
+                       F.when(F.size("errors") > 0, F.to_json("item")).alias("item"))
+
+
+def load_persons(items: DataFrame, item_col: str = "item", strict: bool = True, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(persons, quarantine)`` from one written decode; with ``strict`` a record in error raises.
+
+    ``persons``: typed rows with an id above 0. ``quarantine``: ``item, errors``.
+    """
+    ensure_checkpoint_dir(items.sparkSession)
+    checked = checked_persons(items, item_col, keep).checkpoint(eager=True)
+    quarantine = checked.where(F.size("errors") > 0).select(*keep, "item", "errors")
+    if strict:
+        first = quarantine.limit(1).collect()
+        if first:
+            raise ValueError(f"person parsen: {'; '.join(first[0]['errors'])}: {first[0]['item']}")
+    return checked.where("p.person_id > 0").select(*keep, "p.*"), quarantine
+
+
+def decode_persons(items: DataFrame, item_col: str = "item", keep: tuple[str, ...] = ()) -> DataFrame:
+    """S4 + F20-F25: typed rows of the good records only; ``load_persons`` also gives those in error."""
+    return checked_persons(items, item_col, keep).where("p.person_id > 0").select(*keep, "p.*")
+
+
+def invalid_persons(items: DataFrame, item_col: str = "item") -> DataFrame:
+    """S4 quarantine: ``item, reason`` of the records in error."""
+    return checked_persons(items, item_col).where(F.size("errors") > 0).select("item", F.array_join("errors", "; ").alias("reason"))
+
+
+def _person(v: Column) -> Column:
     addr_keys = ["street", "strasse", "straße", "address"]
     city_keys = ["city", "stadt"]
 
@@ -117,8 +170,8 @@ def decode_persons(items: DataFrame, item_col: str = "item") -> DataFrame:
         arr = F.when(_kind(c).startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
         first_dated = F.try_element_at(F.filter(F.transform(arr, _object_date), lambda d: d.isNotNull()), F.lit(1))
         consent.append(F.when(_kind(c).startswith("OBJECT"), _object_date(c)).otherwise(first_dated))
-    emails = F.try_variant_get(v, "$.emails", "array<struct<email string, isDefault boolean, contactLabelId int>>")
-    out = F.struct(
+    emails = F.try_variant_get(v, "$.emails", "array<struct<email string, isDefault boolean, contactLabelId bigint>>")
+    return F.struct(
         json_int(_get(v, "id")).alias("person_id"),
         F.coalesce(_get(v, "firstName", "string"), F.lit("")).alias("first_name"),
         F.coalesce(_get(v, "lastName", "string"), F.lit("")).alias("last_name"),
@@ -140,21 +193,6 @@ def decode_persons(items: DataFrame, item_col: str = "item") -> DataFrame:
                  for k in ["acceptedsecurity", "acceptedSecurity", "accepted_security"]]).alias("accepted_security"),
         _first(flexible_string(_get(v, "lastLogin")), flexible_string(_get(v, "last_login"))).alias("last_login"),
         _first(*consent).alias("consent_date"))
-    return items.select(out.alias("p")).select("p.*").where(F.col("person_id") > 0)
-
-
-def invalid_persons(items: DataFrame, item_col: str = "item") -> DataFrame:
-    """S4 quarantine: ``item, reason`` of rows that a strict decode refuses.
-
-    The id must be a whole number and the name fields text; ``decode_persons`` drops or
-    blanks such rows, so a load that must not lose any checks that this is empty.
-    """
-    v = F.col(item_col)
-    whole = _kind(_get(v, "id")).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
-    wrong = [F.when(_get(v, k).isNotNull() & ~_kind(_get(v, k)).isin("STRING", "NULL", "VOID"), F.lit(f"{k} is not text"))
-             for k in ("firstName", "lastName", "email")]
-    reason = F.coalesce(F.when(~F.coalesce(whole, F.lit(False)), F.lit("id is not a whole number")), *wrong)
-    return items.select(F.col(item_col).cast("string").alias("item"), reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def _addr(item: Column, keys: list[str]) -> Column:
@@ -228,3 +266,76 @@ def decode_groups(items: DataFrame, person_id: Column, item_col: str = "item") -
     rows = items.select(person_id.cast("long").alias("person_id"), order.alias("pos"), found.alias("g")).where("g IS NOT NULL")
     return (rows.groupBy("person_id", F.col("g.group_id").alias("group_id"))
             .agg(F.min_by("g.group_name", F.struct("pos", "g.group_name")).alias("group_name")))
+
+
+def decode_id_names(items: DataFrame, item_col: str = "item", strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Groups or campuses, ``(rows, quarantine)`` - ``pos, id, name`` and ``item, errors``.
+
+    The id must be a whole number and the name text, either may be missing; ids <= 0 are passed
+    over. ``pos`` is kept if the items have it.
+    """
+    ensure_checkpoint_dir(items.sparkSession)
+    v = F.col(item_col)
+    empty = _kind(v).isin("NULL", "VOID")
+    errors = F.when(empty, F.expr("cast(array() as array<string>)")).when(
+        ~_kind(v).startswith("OBJECT"), F.array(F.lit("the record is not an object"))).otherwise(F.array_compact(F.array(
+            _misfit(_get(v, "id"), WHOLE, F.lit("id")), _misfit(_get(v, "name"), ("STRING",), F.lit("name")))))
+    pos = [F.col("pos")] if "pos" in items.columns else []
+    made = items.select(*pos, json_int(_get(v, "id")).alias("id"), F.coalesce(_get(v, "name", "string"), F.lit("")).alias("name"),
+                        errors.alias("errors"), F.to_json(v).alias("item")).checkpoint(eager=True)
+    quarantine = made.where(F.size("errors") > 0).select("item", "errors")
+    if strict:
+        first = quarantine.limit(1).collect()
+        if first:
+            raise ValueError(f"{'; '.join(first[0]['errors'])}: {first[0]['item']}")
+    return made.where((F.size("errors") == 0) & (F.col("id") > 0)).drop("errors", "item"), quarantine
+
+
+def decode_members(items: DataFrame, item_col: str = "item") -> DataFrame:
+    """``person_id, first_pos`` of a group's members, each once, at its first place in the scan.
+
+    The id is ``personId`` if that is a number, whatever its value, else ``person.id``; ids
+    <= 0 are passed over. ``items`` has the reading order ``pos``.
+    """
+    v = F.col(item_col)
+    own, person = json_int(_get(v, "personId")), _get(v, "person")
+    nested = F.when(_kind(person).startswith("OBJECT"), json_int(_get(person, "id")))
+    ids = items.select(F.coalesce(own, nested).alias("person_id"), "pos").where("person_id > 0")
+    return ids.groupBy("person_id").agg(F.min("pos").alias("first_pos"))
+
+
+def decode_relationship_types(items: DataFrame, item_col: str = "item") -> DataFrame:
+    """``pos, id, name, degree_name_a, degree_name_b, export_title``; anything but text reads as blank, ids <= 0 go."""
+    v = F.col(item_col)
+    text = {c: F.when(_kind(_get(v, k)) == "STRING", N.utrim(_get(v, k, "string"))) for c, k in
+            (("name", "name"), ("degree_name_a", "degreeNameA"), ("degree_name_b", "degreeNameB"), ("export_title", "exportTitle"))}
+    return items.select("pos", json_int(_get(v, "id")).alias("id"), *[F.coalesce(t, F.lit("")).alias(c) for c, t in text.items()]).where("id > 0")
+
+
+def first_filled_source(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Relationship types of the first source, in list order, that can be read and has any.
+
+    A source is a file or folder with an envelope a line. One that can't be opened, has a
+    line that is no JSON object or lacks a page is passed over, as is one without types; an
+    item that is not an object is an error if its source is reached. What every source has
+    is one aggregate over all of them.
+    """
+    opened = []
+    for i, path in enumerate(paths):
+        try:
+            opened.append(spark.read.text(path).withColumn("scan", F.lit(i)))
+        except AnalysisException:  # the path isn't there
+            continue
+    if not opened:
+        raise LookupError("Beziehungstypen konnten nicht geladen werden")
+    parsed = parse_envelopes(reduce(DataFrame.unionByName, opened), scan_col="scan")
+    items = items_of(parsed)
+    found = items.groupBy("scan").agg(F.sum((~_kind(F.col("item")).startswith("OBJECT")).cast("long")).alias("wrong"),
+                                      F.sum((json_int(_get(F.col("item"), "id")) > 0).cast("long")).alias("types"))
+    usable = scan_status(parsed).where("complete").join(found, "scan").where("wrong > 0 OR types > 0")
+    first = usable.select(F.col("scan").cast("int").alias("scan"), "wrong").orderBy("scan").limit(1).collect()
+    if not first:
+        raise LookupError("Beziehungstypen konnten nicht geladen werden")
+    if first[0]["wrong"]:
+        raise ValueError(f"{first[0]['wrong']} items of {paths[first[0]['scan']]} are no objects")
+    return decode_relationship_types(items.where(F.col("scan") == str(first[0]["scan"])))
