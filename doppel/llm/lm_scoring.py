@@ -10,11 +10,13 @@ bit's probability is the mixture over all depths that these weights give, with t
 counts of the whole training set: no sample, no pruning, no hashing of contexts. What
 a byte costs depends on it and its ``depth`` predecessors only, its gram.
 
-Plan: texts are dealt into portions of ``PORTION_BYTES``. Each portion sends its
-distinct grams and words with their training counts (the corpus counts follow the input).
-Grams are totalled and dealt by their last two context bytes into shards that hold whole
-subtrees; what is above those, at most 255 * 257 nodes, goes to all tasks. Shards give
-each gram's log probability, joined back to the portions that asked for it.
+Plan: texts are dealt into portions of ``PORTION_BYTES``. Each portion packs its
+distinct grams and words with their training counts, one row for each portion and shard
+(the corpus counts follow the input). A gram's shard follows from its last two context bytes,
+so that shards hold whole subtrees; what is above those, at most 255 * 257 nodes, goes
+to all tasks. Shards total what the portions sent and answer each with the prices of the
+grams and the counts of the words it asked for. Portions grow with the text, shards with
+the power 2/3 of it, as distinct grams and words grow less than the text.
 
 The base score is that of single words, ``[^\\x20\\x09-\\x0D]+`` and one end per text, with
 add-half counts.
@@ -33,10 +35,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import groupby, repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +48,8 @@ from doppel.llm.common import Scratch
 
 DEPTH = 4
 EDGE = b"\xff"  # never in UTF-8
-PORTION_BYTES = 16 << 20
-SLICE = 4 << 20
-# distinct grams of one task while the trees are built
-SHARD_GRAMS = 400_000
+PORTION_BYTES = 10 << 20
+SLICE = 2 << 20
 U = np.uint64
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -189,63 +191,104 @@ def log10_of(codes: np.ndarray, counts: np.ndarray, depth: int, top: Top) -> np.
     return np.log10(p).reshape(8, -1).sum(0)
 
 
+def _some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about ``SLICE`` bytes of text at a time."""
+    ends = np.cumsum(pc.binary_length(batch["text"].cast(pa.binary())).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE)) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [t.lower() for t in column.cast(pa.binary()).to_pylist()]
 
 
-_COUNTS = "p int, gram long, word binary, n long"
-
-
-def _count_portions(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Distinct grams and words of the texts of each portion with their training counts; ``b''`` is the end."""
-    held: dict[int, list[tuple[bytes, bool]]] = {}
-    sizes: Counter = Counter()
-
-    def flush(p: int) -> Iterator[pa.RecordBatch]:
-        texts = held.pop(p)
-        sizes[p] = 0
-        train = np.array([t for _, t in texts])
-        found: list[np.ndarray] = []
-        for codes, owner in grams([t for t, _ in texts], depth):
-            marked = np.sort(codes << U(1) | train[owner].astype(U))
-            code = marked >> U(1)
-            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            found.append(np.stack([code[starts], np.add.reduceat(marked & U(1), starts)]))
-        for code, n in found:
-            yield pa.record_batch({"p": np.full(len(code), p, np.int32), "gram": code.astype(np.int64),
-                                   "word": pa.nulls(len(code), pa.binary()), "n": n.astype(np.int64)})
-        words: Counter = Counter()
-        for text, counted in texts:
-            lists = list(word_lists(text)) + [[b""]]
-            for some in lists:
-                words.update(some if counted else dict.fromkeys(some, 0))
-        yield pa.record_batch({"p": np.full(len(words), p, np.int32), "gram": pa.nulls(len(words), pa.int64()),
-                               "word": pa.array(list(words), pa.binary()), "n": pa.array(list(words.values()), pa.int64())})
-
+_BLOBS = "p int, kind int, shard int, keys binary, counts binary"
+GRAMS, WORDS, TEXTS = 0, 1, 2
+
+
+def gram_shard(codes: np.ndarray, shards: int) -> np.ndarray:
+    """By the last two context bytes."""
+    return ((codes >> U(8) & U(0xFFFF)) * U(40503) >> U(4) & U(0xFFFF)) % U(shards)
+
+
+def totals(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[starts], np.add.reduceat(counts, starts)
+
+
+def _rows(p: int, kind: int, shard: list[int], keys: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+    n = len(shard)
+    return pa.record_batch({"p": np.full(n, p, np.int32), "kind": np.full(n, kind, np.int32), "shard": np.array(shard, np.int32),
+                            "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
+def _pack_portion(p: int, texts: list[tuple[bytes, bool]], depth: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Distinct grams and words of a portion with their training counts, a row for each shard; ``b''`` is the end."""
+    train = np.array([t for _, t in texts])
+    codes, counts = [], []
+    for code, owner in grams([t for t, _ in texts], depth):
+        marked = np.sort(code << U(1) | train[owner].astype(U))
+        code = marked >> U(1)
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        codes.append(code[starts])
+        counts.append(np.add.reduceat((marked & U(1)).astype(np.int64), starts))
+    code, n = totals(np.concatenate(codes), np.concatenate(counts))
+    shard = gram_shard(code, shards)
+    order = np.argsort(shard, kind="stable")
+    code, n, shard = code[order], n[order], shard[order]
+    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+    yield _rows(p, GRAMS, shard[cuts[:-1]].tolist(), [code[i:j].tobytes() for i, j in zip(cuts, cuts[1:])],
+                [n[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
+
+    found: Counter = Counter()
+    for text, counted in texts:
+        for some in word_lists(text):
+            found.update(some) if counted else found.update(dict.fromkeys(some, 0))
+    found[b""] = int(train.sum())
+    by_shard: dict[int, list[bytes]] = {}
+    for word in found:
+        by_shard.setdefault(crc32(word) % shards, []).append(word)
+    yield _rows(p, WORDS, list(by_shard), [b"\n".join(w) for w in by_shard.values()],
+                [np.array([found[x] for x in w], np.int64).tobytes() for w in by_shard.values()])
+
+
+def _count_portions(batches: Iterator[pa.RecordBatch], depth: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by portion; a portion that holds far more than its share is packed in several goes."""
+    at, held, size = None, [], 0
     for b in batches:
-        for p, text, train in zip(b["p"].to_pylist(), _texts(b["text"]), b["train"].to_pylist()):
-            held.setdefault(p, []).append((text, train))
-            sizes[p] += len(text) + 64
-            if sizes[p] >= PORTION_BYTES // 2:
-                yield from flush(p)
-    for p in list(held):
-        yield from flush(p)
+        for part in _some(b):
+            for p, text, train in zip(part["p"].to_pylist(), _texts(part["text"]), part["train"].to_pylist()):
+                if held and (p != at or size >= 2 * PORTION_BYTES):
+                    yield from _pack_portion(at, held, depth, shards)
+                    held, size = [], 0
+                at = p
+                held.append((text, train))
+                size += len(text) + 64
+    if held:
+        yield from _pack_portion(at, held, depth, shards)
+
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """What the portions sent to each shard of a task: ``(p, keys, counts)``."""
+    rows = ((s, p, k, c) for b in batches for s, p, k, c in zip(*(b[x].to_pylist() for x in ("shard", "p", "keys", "counts"))))
+    for _, group in groupby(rows, key=lambda x: x[0]):
+        yield [x[1:] for x in group]
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    rows = list(batches)
-    if not rows:
-        return np.zeros(0, U), np.zeros(0)
-    t = pa.Table.from_batches(rows)
-    return t["gram"].to_numpy().astype(U), t["n"].to_numpy()
+
+def _grams_of(sent: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    return totals(np.concatenate([np.frombuffer(k, U) for _, k, _ in sent]), np.concatenate([np.frombuffer(c, np.int64) for _, _, c in sent]))
 
 
 def _top(shards: DataFrame, depth: int) -> Top:
     """Sums below the two upper depths, at most 255 rows for each of 256 bytes, to the driver."""
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = _shard(batches)
-        if len(codes):
-            at = levels_of(codes, counts, depth, 2)[2]
+        for sent in _by_shard(batches):
+            at = levels_of(*_grams_of(sent), depth, 2)[2]
             yield pa.record_batch({"byte": (at.keys >> U(8) & U(255)).astype(np.int32), "prefix": (at.keys & U(255)).astype(np.int32),
                                    "n0": at.n0, "n1": at.n1, "logp": at.logp})
 
@@ -255,6 +298,25 @@ def _top(shards: DataFrame, depth: int) -> Top:
     return top_of(byte, prefix, n0, n1, logp)
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each portion's known words with their counts in all texts; a row without portion has the shard's sums."""
+    for sent in _by_shard(batches):
+        found: Counter = Counter()
+        for _, keys, counts in sent:
+            for word, n in zip(keys.split(b"\n"), np.frombuffer(counts, np.int64).tolist()):
+                found[word] += n
+        keys_out, counts_out = [], []
+        for _, keys, _ in sent:
+            known = [w for w in keys.split(b"\n") if found[w]]
+            # an empty list and the end alone would look alike
+            keys_out.append(b"\n".join(known) if known else None)
+            counts_out.append(np.array([found[w] for w in known], np.int64).tobytes())
+        n = len(sent)
+        yield pa.record_batch({"p": pa.array([p for p, _, _ in sent] + [None], pa.int32()), "keys": pa.array(keys_out + [None], pa.binary()),
+                               "counts": pa.array(counts_out + [None], pa.binary()), "total": pa.array([None] * n + [sum(found.values())], pa.int64()),
+                               "known": pa.array([None] * n + [sum(c > 0 for c in found.values())], pa.int64())})
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """``id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte`` of every row.
 
@@ -269,53 +331,54 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     size = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
     cores = spark.sparkContext.defaultParallelism
     portions = max(cores, -(-size // PORTION_BYTES))
+    shards = max(2 * cores, round(portions ** (2 / 3)))
     src = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     src = src.withColumn("p", F.pmod(F.xxhash64("id", "text"), F.lit(portions)).cast("int"))
 
-    counted = scratch.write(src.drop("id").repartition(portions, "p").mapInArrow(lambda b: _count_portions(b, depth), _COUNTS), "counted")
-    asked, words = counted.where("word IS NULL").select("p", "gram", "n"), counted.where("word IS NOT NULL").select("p", "word", "n")
-    known = scratch.write(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "words")
-    total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    whole = scratch.write(asked.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    shards = whole.repartition(max(cores, -(-whole.count() // SHARD_GRAMS)), F.shiftright("gram", 8).bitwiseAND(0xFFFF))
-    shared = spark.sparkContext.broadcast(_top(shards, depth))
+    counted = scratch.write(src.drop("id").repartition(portions, "p").sortWithinPartitions("p").mapInArrow(
+        lambda b: _count_portions(b, depth, shards), _BLOBS), "counted")
+    sent = {kind: counted.where(F.col("kind") == kind).repartition(shards, "shard").sortWithinPartitions("shard") for kind in (GRAMS, WORDS)}
+    words = scratch.write(sent[WORDS].mapInArrow(_count_words, "p int, keys binary, counts binary, total long, known long"), "words")
+    total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    shared = spark.sparkContext.broadcast(_top(sent[GRAMS], depth))
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = _shard(batches)
-        if len(codes):
-            yield pa.record_batch({"gram": codes.astype(np.int64), "logp": log10_of(codes, counts, depth, shared.value)})
-
-    prices = scratch.write(shards.mapInArrow(price, "gram long, logp double"), "prices")
+        for asked in _by_shard(batches):
+            codes, counts = _grams_of(asked)
+            logp = log10_of(codes, counts, depth, shared.value)
+            for p, keys, _ in asked:
+                values = logp[np.searchsorted(codes, np.frombuffer(keys, U))]
+                yield pa.record_batch({"p": np.array([p], np.int32), "keys": pa.array([keys], pa.binary()), "counts": pa.array([values.tobytes()], pa.binary())})
+
+    prices = sent[GRAMS].mapInArrow(price, "p int, keys binary, counts binary").withColumn("kind", F.lit(GRAMS))
+    answers = prices.unionByName(words.where("keys IS NOT NULL").select("p", "keys", "counts", F.lit(WORDS).alias("kind")))
+    dealt = answers.unionByName(src.withColumn("kind", F.lit(TEXTS)), True).repartition(portions, "p").sortWithinPartitions("p", "kind")
     denominator = total + 0.5 * (distinct + 1)
-    of_grams = asked.select("p", "gram").join(prices, "gram").select("p", F.lit(0).alias("kind"), "gram", "logp")
-    of_words = words.select("p", "word").join(known, "word").select(
-        "p", F.lit(1).alias("kind"), "word", F.log10((F.col("c") + 0.5) / F.lit(denominator)).alias("logp"))
-    rows = of_grams.unionByName(of_words, True).unionByName(src.withColumn("kind", F.lit(2)), True)
-    dealt = rows.repartition(portions, "p").sortWithinPartitions("p", "kind")
     unknown = float(np.log10(0.5 / denominator))
     id_type = dict(src.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        portion, codes, logps, table, words = None, [], [], None, {}
+        portion, sent, table, words = None, [], None, {}
         for batch in batches:
             place = batch["p"].to_numpy() * 4 + batch["kind"].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
             for a, b in zip(starts, [*starts[1:], len(place)]):
                 part, (p, kind) = batch.slice(a, b - a), divmod(int(place[a]), 4)
                 if p != portion:
-                    portion, codes, logps, table, words = p, [], [], None, {}
-                if kind == 0:
-                    codes.append(part["gram"].to_numpy())
-                    logps.append(part["logp"].to_numpy())
-                elif kind == 1:
-                    words.update(zip(part["word"].to_pylist(), part["logp"].to_pylist()))
+                    portion, sent, table, words = p, [], None, {}
+                if kind == GRAMS:
+                    sent += zip(part["keys"].to_pylist(), part["counts"].to_pylist())
+                elif kind == WORDS:
+                    for keys, counts in zip(part["keys"].to_pylist(), part["counts"].to_pylist()):
+                        values = np.log10((np.frombuffer(counts, np.int64) + 0.5) / denominator)
+                        words.update(zip(keys.split(b"\n"), values.tolist()))
                 else:
                     if table is None:
-                        keys = np.concatenate(codes).astype(U)
-                        order = np.argsort(keys)
-                        table = keys[order], np.concatenate(logps)[order]
-                        codes, logps = [], []
-                    yield scored(part, *table, words)
+                        codes, logp = np.concatenate([np.frombuffer(k, U) for k, _ in sent]), np.concatenate([np.frombuffer(v) for _, v in sent])
+                        order = np.argsort(codes)
+                        table, sent = (codes[order], logp[order]), []
+                    for some in _some(part):
+                        yield scored(some, *table, words)
 
     def scored(part: pa.RecordBatch, keys: np.ndarray, values: np.ndarray, words: dict[bytes, float]) -> pa.RecordBatch:
         texts = _texts(part["text"])
@@ -337,6 +400,6 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                                 "base_score": np.array(base, float), "score": model, "n_bytes": size.astype(np.int64),
                                 "bits_per_byte": -model * np.log2(10) / (size + 1)})
 
-    return dealt.select("p", "kind", "gram", "word", "logp", "id", "text", "train").mapInArrow(
+    return dealt.select("p", "kind", "keys", "counts", "id", "text", "train").mapInArrow(
         run, f"id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
              "score double, n_bytes long, bits_per_byte double").withColumnRenamed("id", id_col)
