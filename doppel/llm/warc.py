@@ -1,14 +1,15 @@
 """WARC archives by way of a chunked record table.
 
-A payload becomes rows ``(record, chunk number, characters)`` of bounded size. The row
-that is cut holds the whole payload, as its page does, and all of its chunks beside
-it, and the digest is taken from it at once; the rows after that are bounded, and the
-reader never holds a large record whole. Chunk 0 opens the
+A payload becomes rows ``(record, chunk number, characters)`` of bounded size, each with
+the SHA-1 of the payload up to its end, carried on from chunk to chunk. Chunks are
+yielded one after the other; beside the page's own row no more than one of them is held.
+Chunk 0 opens the
 record; further chunks are segments (``WARC-Type: continuation`` with
 ``WARC-Segment-Number``), the form the WARC standard has for payloads that are
 cut. Spark's text writer turns the rows into gzip archives through the cluster's
 own file system: a row is a header block or a block of content, and the writer's
-separator ``CRLF CRLF`` is what the format puts after either.
+separator ``CRLF CRLF`` is what the format puts after either. That writer makes one gzip
+member a file, where the standard recommends one a record.
 
 Reading goes the other way: a gzip file is read by one task from its start, and a
 small state machine follows the ``Content-Length`` of each record, feeding the
@@ -34,12 +35,13 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doppel.llm.common import Scratch
+from doppel.llm.common import Scratch, workers_find_package
 
 CHUNK_CHARS = 1 << 18
 SEP = "\r\n\r\n"
@@ -47,7 +49,8 @@ SEP = "\r\n\r\n"
 VERSION = "WARC/1.1"
 # a record whose page has no id
 NO_ID = "x-page-without-id"
-CHUNK_COLUMNS = ["id", "url", "refers_to", "payload_bytes", "sha", "n_chunks", "chunk", "content"]
+CHUNK_COLUMNS = ["id", "url", "refers_to", "payload_bytes", "sha", "n_chunks", "chunk", "content", "digest"]
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _digest(sha1) -> str:
@@ -68,43 +71,69 @@ def payload_digests(pages: DataFrame, id_col: str, payload_col: str, null_ids: b
 
 def record_chunks(pages: DataFrame, revisits: DataFrame, id_col: str, url_col: str, payload_col: str,
                   chunk_chars: int = CHUNK_CHARS, null_ids: bool = False) -> DataFrame:
-    """The chunked record table: ``id, url, chunk, n_chunks, refers_to, payload_bytes, sha, content``.
+    """The chunked record table: ``id, url, refers_to, payload_bytes, sha, n_chunks, chunk, content, digest``.
+
+    ``sha`` is the digest of the whole payload, ``digest`` that of its part up to the chunk's end.
 
     ``revisits`` (``id, sha, payload_bytes, refers_to``, one row each) is joined to the
     pages by id and payload, which is the only time that payloads are moved. Content
     is cut at code points.
     """
+    workers_find_package(pages.sparkSession)
     src = _payloads(pages, id_col, payload_col, null_ids, F.coalesce(url_col, F.lit("-")).alias("url"))
     r = revisits.select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), F.col("payload_bytes").alias("_bytes"), "refers_to")
     joined = src.join(r, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
                       & (F.col("payload_bytes") == F.col("_bytes")), "left")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("payload") / chunk_chars).cast("int") - 1)),
-                      lambda i: F.substring(F.col("payload"), i * chunk_chars + 1, F.lit(chunk_chars)))
-    content = F.when(F.col("refers_to").isNotNull(), F.array(F.lit(""))).otherwise(cut)
-    return joined.select("id", "url", "refers_to", "payload_bytes", "sha", content.alias("parts")).select(
-        "id", "url", "refers_to", "payload_bytes", "sha", F.size("parts").alias("n_chunks"),
-        F.posexplode("parts").alias("chunk", "content"))
+    rows = joined.select("id", "url", "refers_to", "payload_bytes", "sha", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("").alias("payload"))
+    return rows.mapInArrow(lambda batches: _cut(batches, chunk_chars), CHUNKS)
+
+
+CHUNKS = ("id long, url string, refers_to long, payload_bytes long, sha binary, n_chunks int, chunk int, content string, digest binary")
+
+
+def _cut(batches: Iterator[pa.RecordBatch], chunk_chars: int) -> Iterator[pa.RecordBatch]:
+    """Rows of chunks, some ``CHUNK_CHARS`` characters at a time."""
+    schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("sha", pa.binary()),
+                        ("n_chunks", pa.int32()), ("chunk", pa.int32()), ("content", pa.string()), ("digest", pa.binary())])
+    made: list[tuple] = []
+    held = 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            *record, payload = (batch.column(c)[i].as_py() for c in range(batch.num_columns))
+            n, sha = max(1, -(-len(payload) // chunk_chars)), hashlib.sha1()
+            for k in range(n):
+                content = payload[k * chunk_chars:(k + 1) * chunk_chars]
+                sha.update(content.encode())
+                made.append((*record, n, k, content, sha.digest()))
+                held += len(content) + 256
+                if held >= CHUNK_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
+                    made, held = [], 0
+    if made:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
 
 
 RECORD = pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                     ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
     """Two text rows per chunk: header block and content."""
     scheme = name = None
     for batch in batches:
         out = []
-        for id_, url, ref, n_bytes, sha, n_chunks, chunk, content in zip(*(c.to_pylist() for c in batch.select(CHUNK_COLUMNS).columns)):
+        for id_, url, ref, n_bytes, sha, n_chunks, chunk, content, digest in zip(*(c.to_pylist() for c in batch.select(CHUNK_COLUMNS).columns)):
             kind = "continuation" if chunk else "response" if ref is None else "revisit"
+            if ref is None and chunk + 1 == n_chunks and digest != sha:
+                raise ValueError(f"the chunks of page {id_} are not its payload")
             if not chunk:
                 scheme, name = (NO_ID, uuid.uuid4().hex) if id_ is None else ("x-page", id_)
-            head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{scheme}:{name}:{chunk}>",
+            head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{scheme}:{name}:{chunk}>", f"WARC-Date: {date}",
                     "WARC-Target-URI: " + " ".join(url.split()),
                     f"WARC-Payload-Digest: sha1:{base64.b32encode(sha).decode()}",
                     f"WARC-Payload-Length: {n_bytes}"]
             if kind == "revisit":
-                head.append(f"WARC-Refers-To: <urn:x-page:{ref}:0>")
+                head += [f"WARC-Refers-To: <urn:x-page:{ref}:0>", f"WARC-Profile: {REVISIT_PROFILE}"]
             if n_chunks > 1:
                 head.append(f"WARC-Segment-Number: {chunk + 1}")
                 if chunk:
@@ -116,16 +145,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
-def write_archives(chunks: DataFrame, path: str, records_per_file: int = 50_000) -> None:
+def write_archives(chunks: DataFrame, path: str, date: str | None = None) -> None:
     """Chunks of a record stay in one task and in order, so an archive reads as a stream.
 
     A record's chunks come from one row of the table, hence from one task; the
-    rows are not moved between cutting and writing. A file takes a bounded
-    number of rows (two per chunk), so that files stay small enough to be
-    read by one task each.
+    rows are not moved between cutting and writing. A task writes one file, so that no
+    record is spread over two; how large files get is a matter of the table's partitions.
+    ``date`` (UTC, ``YYYY-MM-DDThh:mm:ssZ``) is the records' WARC-Date, by default now.
     """
-    (chunks.select(*CHUNK_COLUMNS).mapInArrow(_blocks, "value string")
-     .write.option("lineSep", SEP).option("compression", "gzip").option("maxRecordsPerFile", 2 * records_per_file).text(path))
+    workers_find_package(chunks.sparkSession)
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    (chunks.select(*CHUNK_COLUMNS).mapInArrow(lambda batches: _blocks(batches, date), "value string")
+     .write.option("lineSep", SEP).option("compression", "gzip").option("maxRecordsPerFile", 0).text(path))
 
 
 class _Reader:
@@ -219,6 +250,7 @@ def _records(out: list[tuple]) -> pa.RecordBatch:
 
 def read_archives(spark, path: str) -> DataFrame:
     """One row per record; the rows of a gzip file come to one task in file order."""
+    workers_find_package(spark)
     rows = spark.read.option("lineSep", SEP).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     return rows.mapInArrow(_parse, "id long, url string, payload_bytes long, payload_digest string, "
                                     "record_type string, refers_to long")

@@ -3,6 +3,9 @@
 import base64
 import gzip
 import hashlib
+import re
+
+import pyarrow as pa
 
 from doppel.llm import warc
 
@@ -65,3 +68,60 @@ def test_the_query_writes_null_ids(spark, tmp_path):
     from doppel.llm.queries import op10_warc
     pages(spark, ROWS).write.parquet(str(tmp_path / "pages.parquet"))
     assert op10_warc(spark, str(tmp_path)).count() == len(ROWS)
+
+
+def records(data):
+    """A strict reader: header fields and content of each record of an archive."""
+    at, out = 0, []
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:end].split(b"\r\n")
+        assert version == b"WARC/1.1"
+        fields = dict(x.decode().split(": ", 1) for x in lines)
+        assert len(fields) == len(lines) and {"WARC-Record-ID", "WARC-Date", "WARC-Type", "Content-Length"} <= set(fields)
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and re.fullmatch(r"<urn:[^<>\s]+>", fields["WARC-Record-ID"])
+        size = int(fields["Content-Length"])
+        content = data[end + 4:end + 4 + size]
+        assert len(content) == size and data[end + 4 + size:end + 8 + size] == b"\r\n\r\n"
+        out.append((fields, content))
+        at = end + 8 + size
+    return out
+
+
+def test_every_record_has_what_the_format_asks(spark, tmp_path):
+    df = pages(spark, [r for r in ROWS if r[0]]).repartition(3)
+    revisits = warc.find_revisits(warc.payload_digests(df, "page_id", "html"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    warc.write_archives(warc.record_chunks(df, revisits, "page_id", "url", "html", chunk_chars=7), str(tmp_path / "w"), date="2026-05-01T10:00:00Z")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = [records(gzip.open(p).read()) for p in (tmp_path / "w").glob("*.gz")]
+    assert sum(bool(f) for f in files) > 1
+    found, seen = {}, set()
+    for f in files:
+        for fields, content in f:
+            assert fields["WARC-Date"] == "2026-05-01T10:00:00Z" and fields["WARC-Record-ID"] not in seen
+            seen.add(fields["WARC-Record-ID"])
+            if fields["WARC-Type"] == "revisit":
+                assert fields["WARC-Profile"] == warc.REVISIT_PROFILE and fields["WARC-Refers-To"] and not content
+            elif fields["WARC-Type"] == "continuation":
+                assert int(fields["WARC-Segment-Number"]) > 1
+                found[fields["WARC-Segment-Origin-ID"]] += content
+            else:
+                found[fields["WARC-Record-ID"]] = content
+    want_all = {f"<urn:x-page:{r[0]}:0>": (r[2] or "").encode() for r in ROWS if r[0] and r[0] not in (3, 5, 8)}
+    assert found == want_all
+
+
+def test_a_long_page_is_cut_in_bounded_batches():
+    """Each chunk carries the digest so far; a batch holds about one chunk, whatever the page's length."""
+    text = "été " * 400_000
+    row = pa.record_batch({"id": [1], "url": ["u"], "refers_to": pa.array([None], pa.int64()), "payload_bytes": [len(text.encode())],
+                           "sha": [hashlib.sha1(text.encode()).digest()], "payload": [text]})
+    sha, seen = hashlib.sha1(), 0
+    for batch in warc._cut(iter([row]), 1 << 12):
+        assert sum(map(len, batch["content"].to_pylist())) <= warc.CHUNK_CHARS
+        for part, digest, n, k in zip(*(batch[c].to_pylist() for c in ("content", "digest", "n_chunks", "chunk"))):
+            sha.update(part.encode())
+            assert digest == sha.digest() and k == seen and n == -(-len(text) // (1 << 12))
+            seen += 1
+    assert seen == n
