@@ -22,16 +22,16 @@ for training. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doppel.llm.common import map_exact
+from doppel.llm.common import map_exact, workers_find_package
 
 BUCKETS = 1 << 15
 FIT_ROWS = 2000
@@ -39,7 +39,7 @@ MARGIN = 2.0
 # weight of one n-gram's evidence in the loss; neighbours are far from independent
 TEMPER = 0.25
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLANKS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 SLICE = 1 << 20
 
@@ -124,6 +124,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return model_of({})
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_rows / n))])
     chance = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    workers_find_package(labelled.sparkSession)
     sample = rows.where(chance < share[F.col("lang")]).select("lang", "text").repartition(8)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,11 +136,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     sums += np.bincount(grams, minlength=BUCKETS)
         yield pd.DataFrame({"lang": list(found), "counts": [c.tobytes() for c in found.values()]}, dtype=object)
 
-    counts: dict[str, np.ndarray] = {}
-    for r in sample.mapInPandas(count, "lang string, counts binary").collect():
-        c = np.frombuffer(r["counts"], np.int64)
-        counts[r["lang"]] = counts.get(r["lang"], 0) + c
-    return model_of(counts)
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "counts": [total.tobytes()]})
+
+    schema = "lang string, counts binary"
+    # a vector of each task and language, summed where they meet; one a language goes to the driver
+    summed = sample.mapInPandas(count, schema).groupBy("lang").applyInPandas(add, schema).collect()
+    return model_of({r["lang"]: np.frombuffer(r["counts"], np.int64) for r in summed})
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
