@@ -10,12 +10,11 @@ key; such a run, with the bytes it covers, is a *context*, and every string star
 in exactly one. Only contexts whose key occurs elsewhere, or whose smallest substring
 occurs in them more than once, can hold a match:
 
-* A context that occurs twice as a whole needs no further proof: all its strings
-  repeat.
-* Other such keys, with all their different contexts, go to shards
-  of about ``SHARD_BYTES``, one copy of each context. A shard's suffix array is
+* Such keys, with all their different contexts, go to shards of about ``SHARD_BYTES``:
+  one copy of a context that occurs once, two (from its first and its last place) of
+  one that occurs more often. A shard's suffix array is
   built by induced sorting; the permuted common prefixes say which strings have an
-  equal neighbour.
+  equal neighbour. Nothing is removed that a shard has not found.
 * A key whose different contexts (at the edge of a passage that many documents
   quote) hold more than ``MAX_KEY_BYTES`` can't be sorted in a task's memory. Its
   strings are spread by the hash of each whole string and counted there.
@@ -158,10 +157,10 @@ def _in_shards(rows: DataFrame, shards: int, length: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = repeated_starts(pdf["content"].tolist(), length)
         made = pd.DataFrame({"key": pdf["key"], "ctx": pdf["ctx"], "ranges": [_ranges(f) for f in found]})
-        return made[made["ranges"].map(len) > 0]
+        return made[(made["ranges"].map(len) > 0) & ~pdf["again"]]
 
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    return rows.select("key", "ctx", "content", shard).groupBy("shard").applyInPandas(run, f"key long, ctx long, ranges {RANGES}")
+    return rows.select("key", "ctx", "again", "content", shard).groupBy("shard").applyInPandas(run, f"key long, ctx long, ranges {RANGES}")
 
 
 def _by_string(rows: DataFrame, scratch: Scratch, length: int) -> DataFrame:
@@ -190,16 +189,17 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int, gram: int, id_c
     shared = scratch.write(everything.join(common, "key", "left_semi"), "shared")
     scratch.drop("contexts")
     variants = scratch.write(shared.groupBy("key", "ctx", "count").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "id", "fp")).alias("one"), F.max("again").alias("again")), "variants")
-    per_key = variants.groupBy("key").agg(
-        F.count(F.lit(1)).alias("different"), F.min("n").alias("least"), F.max("again").alias("again"),
-        F.sum(F.col("count") + length - 1).alias("bytes")).where("(different > 1 OR again) AND least = 1")
-    per_key = scratch.write(per_key, "per-key")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "id", "fp")).alias("one"), F.max(F.struct("first", "id", "fp")).alias("two")),
+        "variants")
+    # of a context that occurs more than once two occurrences go to its shard
+    taken = F.when(F.col("n") > 1, 2).otherwise(1)
+    per_key = scratch.write(variants.groupBy("key").agg(F.sum((F.col("count") + length - 1) * taken).alias("bytes")), "per-key")
     total = per_key.where(F.col("bytes") <= max_key_bytes).agg(F.sum("bytes")).first()[0] or 0
     wanted = variants.join(per_key.select("key", (F.col("bytes") > max_key_bytes).alias("wide")), "key").select(
-        "key", "ctx", "wide", "count", "one.*")
+        "key", "ctx", "wide", "count", F.posexplode(F.when(F.col("n") > 1, F.array("one", "two")).otherwise(F.array("one")))).select(
+        "key", "ctx", "wide", "count", (F.col("pos") > 0).alias("again"), "col.*")
     # a document's contexts are bounded by its own length
-    asked = wanted.groupBy("id", "fp").agg(F.collect_list(F.struct("key", "ctx", "wide", "first", "count")).alias("asked"))
+    asked = wanted.groupBy("id", "fp").agg(F.collect_list(F.struct("key", "ctx", "wide", "again", "first", "count")).alias("asked"))
     texts, a = src.dropDuplicates(["id", "fp"]) if _has_repeats(src) else src, asked
     joined = texts.alias("t").join(a.alias("a"), F.col("t.id").eqNullSafe(F.col("a.id")) & (F.col("t.fp") == F.col("a.fp"))).select("text", "asked")
 
@@ -208,16 +208,13 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int, gram: int, id_c
             rows = []
             for text, want in zip(pdf["text"], pdf["asked"]):
                 data = text.encode("utf-8", "replace")
-                rows += [(w["key"], w["ctx"], w["wide"], data[w["first"]:w["first"] + w["count"] + length - 1]) for w in want]
-            yield pd.DataFrame(rows, columns=["key", "ctx", "wide", "content"])
+                rows += [(w["key"], w["ctx"], w["wide"], w["again"], data[w["first"]:w["first"] + w["count"] + length - 1]) for w in want]
+            yield pd.DataFrame(rows, columns=["key", "ctx", "wide", "again", "content"])
 
-    pieces = scratch.write(joined.mapInPandas(cut, "key long, ctx long, wide boolean, content binary"), "pieces")
+    pieces = scratch.write(joined.mapInPandas(cut, "key long, ctx long, wide boolean, again boolean, content binary"), "pieces")
     shards = max(1, -(-int(total) // shard_bytes))
     ranges = _in_shards(pieces.where("NOT wide"), shards, length).unionByName(_by_string(pieces.where("wide"), scratch, length))
-    ranges = scratch.write(ranges, "ranges")
-    whole = variants.where("n > 1").select("key", "ctx", F.array(F.struct(
-        F.lit(0).alias("first"), (F.col("count") - 1).alias("last"))).cast(RANGES).alias("ranges"))
-    proven = whole.unionByName(ranges.join(whole.select("key", "ctx"), ["key", "ctx"], "left_anti"))
+    proven = scratch.write(ranges, "ranges")
     hits = shared.join(proven, ["key", "ctx"]).select("id", "fp", F.explode("ranges").alias("r"), F.col("first").alias("at"))
     hits = hits.select("id", "fp", (F.col("at") + F.col("r.first")).alias("first"), (F.col("at") + F.col("r.last") + length).alias("end"))
     return hits.groupBy("id", "fp").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
