@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from doppel.llm import language_id as lid
@@ -92,3 +93,62 @@ def test_crossover_and_mutation_keep_the_pieces():
     # eight bins of three lengths that only fit one way
     hard = packing.evolve({30: 8, 21: 8, 13: 8}, [], 64, rng, generations=300)
     assert len(hard[0]) == 8
+
+
+def test_fewer_sequences_than_best_fit(spark):
+    """Lengths that fill sequences in one way only, which best-fit decreasing misses."""
+    lengths = [30, 21, 13] * 8
+    df = spark.createDataFrame([(i, " word" * (n - 1)) for i, n in enumerate(lengths)], "doc_id long, text string")
+    plain = len(packing.best_fit(lengths, [], 64))
+    assert packing.pack(df, capacity=64).select("sequence_id").distinct().count() == 8 < plain
+
+
+def test_exchange_keeps_the_pieces():
+    bins, free = packing.replace([[30, 20], [40], [5, 5, 50]], [33, 24, 55, 10], 64)
+    assert sorted([v for b in bins for v in b] + free) == sorted([30, 20, 40, 5, 5, 50, 33, 24, 55, 10])
+    assert max(map(sum, bins)) <= 64 and sum(map(sum, bins)) > 150
+
+
+@pytest.mark.parametrize("text", ["½ ² ①", "Ⅷ", "12 - !", "", "日本", "x"])
+def test_letters(spark, text):
+    """Numbers that are written as signs are no letters; a script without learned text still has letters."""
+    df = spark.createDataFrame([(1, "the house is home", "en"), (2, "das Haus ist Heim", "de")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(9, text)], "doc_id long, text string")
+    got = lid.predict(asked, lid.fit(df)).first()
+    assert (got.lang_pred == "und") == (not any(c.isalpha() for c in text)) and (got.score > 0) == any(c.isalpha() for c in text)
+
+
+def plain_prediction(train, text):
+    """A second version, without slices, arrays of weights or Spark: counts, log ratios, losses."""
+    import math
+    langs = sorted({lang for _, lang in train})
+    counts = {lang: np.zeros(lid.BUCKETS) for lang in langs}
+    for t, lang in train:
+        for g in np.concatenate(list(lid._slices(t))):
+            counts[lang][g] += 1
+    freq = {x: (counts[x] + 0.5) / (counts[x].sum() + 0.5 * lid.BUCKETS) for x in langs}
+    code = lid.codewords(len(langs))
+    loss = {x: 0.0 for x in langs}
+    imp, evidence = [], []
+    for b in range(code.shape[1]):
+        plus = np.mean([freq[x] for x, c in zip(langs, code[:, b]) if c > 0], 0)
+        minus = np.mean([freq[x] for x, c in zip(langs, code[:, b]) if c < 0], 0)
+        w = (np.log(plus) - np.log(minus)).astype(np.float32)
+        imp.append(max(1e-6, min(code[i, b] * float(freq[x] @ w) for i, x in enumerate(langs))))
+        evidence.append(lid.TEMPER * sum(float(w[g]) for g in np.concatenate(list(lid._slices(text)))))
+    for b, (i, z) in enumerate(zip(imp, evidence)):
+        for x, c in zip(langs, code[:, b]):
+            loss[x] += i / np.mean(imp) * math.log1p(math.exp(-max(-500, min(500, z * c))))
+    best = min(langs, key=lambda x: loss[x])
+    return best, 1 / sum(math.exp(loss[best] - loss[x]) for x in langs)
+
+
+def test_equals_a_plain_version(spark):
+    train = [("the house is the home of the man", "en"), ("das Haus ist das Heim des Mannes", "de"), ("la maison est la maison", "fr"), ("the end", "en")]
+    asked = ["a house", "ein Haus", "une maison", "home Haus maison", "zzz"]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(train)], "doc_id long, text string, lang string")
+    one = lid.fit(df)
+    got = {r.said: (r.lang_pred, r.score) for r in lid.predict(spark.createDataFrame([(0, t) for t in asked], "doc_id long, text string"), one, keep={"said": F.col("text")}).collect()}
+    for t in asked:
+        lang, score = plain_prediction(train, t)
+        assert got[t] == (lang, pytest.approx(score, rel=1e-4))
