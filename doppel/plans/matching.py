@@ -125,6 +125,20 @@ def duplicate_groups_swapped(spark, sf_dir):
     return find_duplicate_groups(_persons(spark, sf_dir), swap_keys=True)
 
 
+# a person directory with a hot mailbox and street, addresses in a list and ids beyond a double
+_HOT = """SELECT CASE WHEN person_id % 5 = 0 THEN person_id + 9007199254740993 ELSE person_id END AS person_id, campus_id, first_name, last_name,
+  CASE WHEN person_id % 12 = 0 THEN ' Office@example.org' ELSE email END AS email,
+  CASE WHEN person_id % 4 = 3 THEN 'Hauptplatz 1' ELSE street END AS street, CASE WHEN person_id % 4 = 3 THEN 'Gera' ELSE city END AS city FROM persons"""
+
+
+def duplicate_groups_hot(spark, sf_dir):
+    """C1 where one mailbox and one street hold many persons, and half of the mail addresses stand in the list only."""
+    p = spark.sql(_HOT.replace("FROM persons", "FROM {persons}"), persons=_persons(spark, sf_dir))
+    listed = F.array(F.struct(F.lit(" ").alias("email")), F.struct(F.col("email")))
+    p = p.withColumn("emails", listed).withColumn("email", F.when(F.col("person_id") % 2 == 0, F.lit("")).otherwise(F.col("email")))
+    return find_duplicate_groups(p)
+
+
 # --------------------------------------------------------------------------- oracles
 
 _F = f"f AS ({D.features_sql()})"
@@ -168,7 +182,13 @@ SELECT CAST(dense_rank() OVER (ORDER BY label) AS BIGINT) AS dup_id, CAST(node A
               recursive=True)
 
 
+def _hot_sql() -> str:
+    text = _groups_sql(None)
+    return text.replace(f",\n{_F}", f",\n  hot AS ({_HOT}),\nf AS ({D.features_sql('hot')})", 1)
+
+
 ORACLES = {
+    "duplicate_groups_hot": _hot_sql(),
     "norm_email": _q("SELECT person_id, email_n FROM f"),
     "norm_name_tokens": _q("SELECT person_id, array_to_string(first_t, ' ') AS first_norm, "
                            "array_to_string(last_t, ' ') AS last_norm, CAST(len(first_t) AS BIGINT) AS n_first, "
@@ -197,6 +217,7 @@ FROM f a JOIN f b ON CAST(floor(a.person_id / 4.0) AS BIGINT) = CAST(floor(b.per
 }
 
 QUERIES = {
+    "duplicate_groups_hot": duplicate_groups_hot,
     "norm_email": norm_email,
     "norm_name_tokens": norm_name_tokens,
     "norm_city": norm_city,
