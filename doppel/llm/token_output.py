@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -274,7 +275,7 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
                .repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first()))
     end = np.array([end_id], ID).tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, part, start = library_ids(vocab or vocabulary()), TaskContext.get().partitionId(), 0
         rows, segments, doc_ids, sizes, open_ids, n = [], [], [], [], [], 0
 
@@ -287,15 +288,17 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
 
         def flush():
             nonlocal rows, segments
-            made = pd.DataFrame(rows, columns=["part", "start", "ids", "sizes"])
-            made["data"] = pack_segments(segments)
+            parts, starts, ids, counts = zip(*rows)
+            made = pa.record_batch({"part": pa.array(parts, pa.int32()), "start": pa.array(starts, pa.int64()),
+                                    "ids": pa.array(ids, pa.list_(pa.int64())), "sizes": pa.array(counts, pa.list_(pa.int32())),
+                                    "data": pa.array(pack_segments(segments), pa.binary())})
             rows, segments = [], []
             return made
 
-        for pdf in batches:
-            for id_, ids in zip(pdf["id"], memo.encode_all(pdf["text"].tolist())):
+        for batch in batches:
+            for id_, ids in zip(batch["id"].to_pylist(), memo.encode_all(batch["text"])):
                 ids += end
-                doc_ids.append(None if pd.isna(id_) else int(id_))
+                doc_ids.append(id_)
                 sizes.append(len(ids) // 4)
                 open_ids.append(ids)
                 n += len(ids) // 4
@@ -308,7 +311,7 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
         if segments:
             yield flush()
 
-    map_exact(ordered, run, "part int, start long, ids array<long>, sizes array<int>, data binary").write.parquet(path)
+    ordered.mapInArrow(run, "part int, start long, ids array<long>, sizes array<int>, data binary").write.parquet(path)
 
 
 def read_ids(spark, path: str) -> DataFrame:

@@ -3,8 +3,9 @@
 The byte-level pre-tokenizer always starts a new word at a space that a
 character other than white space follows. A text without runs of white space
 that begin with a space therefore falls into chunks at its spaces, and the ids
-of the text are the ids of the chunks one after the other. Distinct chunks are
-few, so each is encoded once per worker. A text to which this doesn't apply (a
+of the text are the ids of the chunks one after the other. Chunks of a group of texts are
+numbered by Arrow, each distinct one is looked up once, and the ids of all texts are
+put together by one gather. A text to which this doesn't apply (a
 space before other white space, white space before a final space, a special
 token's string) is encoded as a whole.
 """
@@ -12,78 +13,196 @@ token's string) is encoded as a whole.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ID = np.dtype("<u4")
-# a space and white space after it; Python's notion covers at least the Unicode property White_Space
-_RUNS = tuple(" " + chr(c) for c in range(0x3001) if chr(c).isspace())
+# Python's notion of white space covers at least the Unicode property White_Space
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+# bytes of text that are put together at a time
+GROUP = 4 << 20
 
 
-def _in_chunks(text: str) -> bool:
-    """Whether the text is the chunks at its spaces, one after the other."""
-    return not any(map(text.__contains__, _RUNS)) and not (text[-1] == " " and text[-2:-1].isspace())
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start:start + size]`` one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+
+
+class _Runs:
+    """Ids of chunks: a chunk's number, and by it the run of ids in one array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, ID), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def find(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+
+    def add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Chunks that are not there yet, with their ids one after the other."""
+        n, k = len(self.number), len(chunks)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + k > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.starts[n:n + k] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n:n + k] = sizes
+        self.used += len(ids)
+        self.number.update(zip(chunks, range(n, n + k)))
+
+
+def joined(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(encoded), ID), np.fromiter(map(len, encoded), np.int64, len(encoded)) // ID.itemsize
 
 
 class IdMemo:
-    """``encode(text)`` gives the ids as little-endian 32-bit bytes.
+    """``encode_all(texts)`` gives the ids of each text as little-endian 32-bit bytes, ``runs`` the arrays.
 
     The memo has two generations of at most ``max_entries / 2`` chunks: a full one
     becomes the old one, from which chunks that occur again are taken over, so
-    frequent chunks stay and memory is bounded.
+    frequent chunks stay and memory is bounded. Chunks longer than ``max_chunk`` don't stay.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: tuple[str, ...],
-                 encode_chunks: Callable[[list[str]], list[bytes]] | None = None,
-                 max_entries: int = 800_000, max_chunk: int = 48):
-        self.encode_many, self.specials = encode_many, specials
-        self.encode_chunks = encode_chunks or (lambda chunks: encode_many([" " + c for c in chunks]))
+                 encode_chunks: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None,
+                 max_entries: int = 2_000_000, max_chunk: int = 48):
+        self.encode_many = encode_many
+        self.encode_chunks = encode_chunks or (lambda chunks: joined(encode_many([" " + c for c in chunks])))
         self.max_entries, self.max_chunk = max_entries, max_chunk
-        self.stops = dict(zip(".,", encode_many([".", ","])))
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.stops = {c: np.frombuffer(x, ID) for c, x in zip(".,", encode_many([".", ","]))}
+        self.new, self.old = _Runs(), _Runs()
+        spaces = "[" + re.escape(_SPACES) + "]"
+        self.whole = "|".join([f" {spaces}", rf"{spaces} \z", *map(re.escape, specials)])
+
+    @property
+    def memo(self) -> dict[str, int]:
+        """The chunks of the new generation."""
+        return self.new.number
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str | None], group: int = 256) -> list[bytes]:
-        return [ids for at in range(0, len(texts), group) for ids in self._group(texts[at:at + group])]
-
-    def _group(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for t in texts:
-            chunks = t and _in_chunks(t) and not any(s in t for s in self.specials)
-            split.append(t.split(" ") if chunks else None)
-        rare = self._learn(set().union(*filter(None, split)))
-        get = self.memo.__getitem__
+    def encode_all(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        return [ids[a:b].tobytes() for ids, ends in self.runs(texts) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def runs(self, texts: list[str | None] | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Groups of texts: ids of all of them, and where in these each text ends. Null has none.
+
+        A list of texts is copied, a column of a record batch is not.
+        """
+        column = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False) + 1)
+        at = 0
+        while at < len(column):
+            n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GROUP)) - at)
+            yield self._group(column.slice(at, n))
+            at += n
+
+    def _group(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        whole = pc.match_substring_regex(texts, self.whole)
+        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        ends = split.offsets.to_numpy()
+        ends = ends - ends[0]
+        coded = split.flatten().dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        first = ends[:-1]
         # what has no space before it: first chunks, and texts that are encoded whole
-        heads = iter(self.encode_many([x[0] if x else t or "" for t, x in zip(texts, split)]))
-        out = [next(heads) + b"".join(map(get, x[1:])) if x else next(heads) for x in split]
-        for c in rare:
-            del self.memo[c]
-        return out
-
-    def _learn(self, chunks: set[str]) -> list[str]:
-        """Have all chunks in the memo; those too long to stay are returned."""
-        if len(self.memo) > self.max_entries // 2:
-            self.old, self.memo = self.memo, {}
-        missing = chunks.difference(self.memo)
-        known = missing.intersection(self.old)
-        self.memo.update((c, self.old[c]) for c in known)
-        missing -= known
+        heads = pc.if_else(whole, texts, split.flatten().take(pa.array(first)))
+        inner = np.ones(len(index), bool)
+        inner[first] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[index[inner]] = True
+        number = np.full(len(used), -1, np.int64)
+        long, number[used] = self._learn(coded.dictionary.filter(pa.array(used)).to_pylist())
+        head_ids, head_sizes = joined(self.encode_many(heads.to_pylist()))
+        runs = self.new
+        # places of all chunks in the memo's ids, those of heads and long chunks behind them
+        extra, extra_sizes = np.concatenate([head_ids, long[0]]), np.concatenate([head_sizes, long[1]])
+        flat = np.concatenate([runs.flat[:runs.used], extra])
+        n = len(runs.number)
+        starts = np.concatenate([runs.starts[:n], runs.used + np.cumsum(extra_sizes) - extra_sizes])
+        sizes = np.concatenate([runs.sizes[:n], extra_sizes])
+        # _learn numbers long chunks from -2 down
+        at = number[index]
+        at = np.where(at < -1, n + len(head_sizes) - 2 - at, at)
+        at[first] = n + np.arange(len(first))
+        chunk_sizes = sizes[at]
+        total = np.concatenate([[0], np.cumsum(chunk_sizes)])
+        return _gather(flat, starts[at], chunk_sizes), total[ends[1:]]
+
+    def _learn(self, chunks: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """Have the chunks in the memo: ids and sizes of those too long to stay (numbered -2, -3, ..), and the numbers of all."""
+        if len(self.new.number) > self.max_entries // 2:
+            self.old, self.new = self.new, _Runs()
+        number = self.new.find(chunks)
+        places = np.flatnonzero(number < 0)
+        if not len(places):
+            return (np.zeros(0, ID), np.zeros(0, np.int64)), number
+        missing = [chunks[i] for i in places.tolist()]
+        if self.old.number:
+            self._take_over(missing)
+            unknown = [c for c in missing if c not in self.new.number]
+        else:
+            unknown = missing
         # a word and the full stop or comma behind it are encoded apart
-        ended = [c for c in missing if c[-1:] in self.stops and c[-2:-1].isalpha()]
-        words = {c[:-1] for c in ended}
-        plain = list(missing.difference(ended).union(words.difference(self.memo, self.old)))
-        if plain:
-            self.memo.update(zip(plain, self.encode_chunks(plain)))
+        ended = [c for c in unknown if c[-1:] in self.stops and c[-2:-1].isalpha()]
+        plain = dict.fromkeys(unknown)
         for c in ended:
-            word = c[:-1]
-            if word not in self.memo:
-                self.memo[word] = self.old[word]
-            self.memo[c] = self.memo[word] + self.stops[c[-1]]
-        return [c for c in {*missing, *plain} if len(c) > self.max_chunk]
+            del plain[c]
+        words = [w for w in dict.fromkeys(c[:-1] for c in ended) if w not in plain and w not in self.new.number]
+        if self.old.number:
+            self._take_over(words)
+            words = [w for w in words if w not in self.new.number]
+        plain = [*plain, *words]
+        fresh = _Runs()
+        if plain:
+            fresh.add(plain, *self.encode_chunks(plain))
+        for stop, ids in self.stops.items():
+            mine = [c for c in ended if c[-1] == stop]
+            for runs in (fresh, self.new):
+                known = runs.find([c[:-1] for c in mine])
+                some = np.flatnonzero(known >= 0)
+                if len(some):
+                    sizes = runs.sizes[known[some]]
+                    made = np.empty(int(sizes.sum()) + len(some) * len(ids), ID)
+                    ends = np.cumsum(sizes + len(ids))
+                    tail = (ends[:, None] - np.arange(len(ids), 0, -1)).ravel()
+                    body = np.ones(len(made), bool)
+                    body[tail] = False
+                    made[body], made[tail] = _gather(runs.flat, runs.starts[known[some]], sizes), np.tile(ids, len(some))
+                    fresh.add([mine[i] for i in some.tolist()], made, sizes + len(ids))
+                    mine = [mine[i] for i in np.flatnonzero(known < 0).tolist()]
+        names = list(fresh.number)
+        short = np.fromiter(map(len, names), np.int64, len(names)) <= self.max_chunk
+        if short.all():
+            self.new.add(names, fresh.flat[:fresh.used], fresh.sizes[:len(names)])
+            number[places] = self.new.find(missing)
+            return (np.zeros(0, ID), np.zeros(0, np.int64)), number
+        chosen, rest = np.flatnonzero(short), np.flatnonzero(~short)
+        sizes = fresh.sizes[chosen]
+        self.new.add([names[i] for i in chosen.tolist()], _gather(fresh.flat, fresh.starts[chosen], sizes), sizes)
+        number[places] = self.new.find(missing)
+        long = {names[k]: -2 - i for i, k in enumerate(rest.tolist())}
+        for i in places.tolist():
+            if number[i] < 0:
+                number[i] = long[chunks[i]]
+        return (_gather(fresh.flat, fresh.starts[rest], fresh.sizes[rest]), fresh.sizes[rest]), number
+
+    def _take_over(self, chunks: list[str]) -> None:
+        """From the old generation into the new one what it has of the chunks."""
+        at = self.old.find(chunks)
+        some = np.flatnonzero(at >= 0)
+        if len(some):
+            sizes = self.old.sizes[at[some]]
+            self.new.add([chunks[i] for i in some.tolist()], _gather(self.old.flat, self.old.starts[at[some]], sizes), sizes)
 
 
 _BY_PATH: dict[str, IdMemo] = {}
@@ -105,21 +224,23 @@ def library_ids(path: str) -> IdMemo:
         # bytes that each id stands for: byte-level tokens have one character per byte
         size = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())], np.int64)
 
-        def encode_chunks(chunks: list[str]) -> list[bytes]:
+        def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Many chunks in one text; where the lengths don't meet a chunk's end, one by one."""
-            out = []
-            for at in range(0, len(chunks), 200):
-                some = [" " + c for c in chunks[at:at + 200]]
-                ids = np.frombuffer(encode_many(["".join(some)])[0], ID)
+            parts = [chunks[at:at + 100] for at in range(0, len(chunks), 100)]
+            length = pc.binary_length(pa.array(chunks, pa.large_string())).to_numpy() + 1
+            made, sizes, at = [], [], 0
+            for some, e in zip(parts, tok.encode_batch_fast([" " + " ".join(x) for x in parts], add_special_tokens=False)):
+                ids, ends = np.array(e.ids, ID), np.cumsum(length[at:at + len(some)])
+                at += len(some)
                 reach = np.cumsum(size[ids])
-                ends = np.cumsum([len(c.encode()) for c in some])
                 cut = np.searchsorted(reach, ends)
-                if " " in some or len(reach) != cut[-1] + 1 or (reach[cut] != ends).any():
-                    out += encode_many(some)
+                if "" in some or len(reach) != cut[-1] + 1 or (reach[cut] != ends).any():
+                    ids, n = joined(encode_many([" " + c for c in some]))
                 else:
-                    raw, cut = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
-                    out += [raw[a:b] for a, b in zip(cut, cut[1:])]
-            return out
+                    n = np.diff(cut, prepend=-1)
+                made.append(ids)
+                sizes.append(n)
+            return np.concatenate(made), np.concatenate(sizes)
 
         _BY_PATH[path] = IdMemo(encode_many, tuple(special), encode_chunks)
     return _BY_PATH[path]
