@@ -135,8 +135,11 @@ def decode_persons(items: DataFrame, item_col: str = "item", keep: tuple[str, ..
 
 
 def invalid_persons(items: DataFrame, item_col: str = "item") -> DataFrame:
-    """S4 quarantine: ``item, reason`` of the records in error."""
-    return checked_persons(items, item_col).where(F.size("errors") > 0).select("item", F.array_join("errors", "; ").alias("reason"))
+    """S4 quarantine: ``item, reason`` of the records in error, and of those without any id (which a strict load passes over)."""
+    v = F.col(item_col)
+    errors = person_errors(v)
+    reason = F.when(F.size(errors) > 0, F.array_join(errors, "; ")).when(~_kind(_get(v, "id")).isin(*WHOLE), F.lit("id is not a whole number"))
+    return items.select(F.to_json(v).alias("item"), reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def _person(v: Column) -> Column:
