@@ -49,7 +49,6 @@ SEP = "\r\n\r\n"
 VERSION = "WARC/1.1"
 # a record whose page has no id
 NO_ID = "x-page-without-id"
-CHUNK_COLUMNS = ["id", "url", "refers_to", "payload_bytes", "sha", "n_chunks", "chunk", "content", "digest"]
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -88,18 +87,28 @@ def record_chunks(pages: DataFrame, revisits: DataFrame, id_col: str, url_col: s
     return rows.mapInArrow(lambda batches: _cut(batches, chunk_chars), CHUNKS)
 
 
-CHUNKS = ("id long, url string, refers_to long, payload_bytes long, sha binary, n_chunks int, chunk int, content string, digest binary")
+CHUNKS = ("id long, url string, refers_to long, payload_bytes long, sha binary, urn string, payload_digest string, n_chunks int, chunk int, "
+          "content string, digest binary")
+_CHUNKS = pa.schema([("id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("sha", pa.binary()),
+                     ("urn", pa.string()), ("payload_digest", pa.string()), ("n_chunks", pa.int32()), ("chunk", pa.int32()), ("content", pa.string()),
+                     ("digest", pa.binary())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], chunk_chars: int) -> Iterator[pa.RecordBatch]:
     """Rows of chunks, some ``CHUNK_CHARS`` characters at a time."""
-    schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("sha", pa.binary()),
-                        ("n_chunks", pa.int32()), ("chunk", pa.int32()), ("content", pa.string()), ("digest", pa.binary())])
     made: list[tuple] = []
     held = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal made, held
+        rows, made, held = made, [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNKS)], schema=_CHUNKS)
+
     for batch in batches:
         for i in range(batch.num_rows):
-            *record, payload = (batch.column(c)[i].as_py() for c in range(batch.num_columns))
+            id_, url, ref, n_bytes, whole, payload = (batch.column(c)[i].as_py() for c in range(batch.num_columns))
+            urn = f"{NO_ID}:{uuid.uuid4().hex}" if id_ is None else f"x-page:{id_}"
+            record = id_, " ".join(url.split()), ref, n_bytes, whole, urn, base64.b32encode(whole).decode()
             n, sha = max(1, -(-len(payload) // chunk_chars)), hashlib.sha1()
             for k in range(n):
                 content = payload[k * chunk_chars:(k + 1) * chunk_chars]
@@ -107,42 +116,34 @@ def _cut(batches: Iterator[pa.RecordBatch], chunk_chars: int) -> Iterator[pa.Rec
                 made.append((*record, n, k, content, sha.digest()))
                 held += len(content) + 256
                 if held >= CHUNK_CHARS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
-                    made, held = [], 0
+                    yield flush()
+            if ref is None and sha.digest() != whole:
+                raise ValueError(f"the chunks of page {id_} are not its payload")
     if made:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
+        yield flush()
 
 
 RECORD = pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                     ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
-    """Two text rows per chunk: header block and content."""
-    scheme = name = None
-    for batch in batches:
-        out = []
-        for id_, url, ref, n_bytes, sha, n_chunks, chunk, content, digest in zip(*(c.to_pylist() for c in batch.select(CHUNK_COLUMNS).columns)):
-            kind = "continuation" if chunk else "response" if ref is None else "revisit"
-            if ref is None and chunk + 1 == n_chunks and digest != sha:
-                raise ValueError(f"the chunks of page {id_} are not its payload")
-            if not chunk:
-                scheme, name = (NO_ID, uuid.uuid4().hex) if id_ is None else ("x-page", id_)
-            head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{scheme}:{name}:{chunk}>", f"WARC-Date: {date}",
-                    "WARC-Target-URI: " + " ".join(url.split()),
-                    f"WARC-Payload-Digest: sha1:{base64.b32encode(sha).decode()}",
-                    f"WARC-Payload-Length: {n_bytes}"]
-            if kind == "revisit":
-                head += [f"WARC-Refers-To: <urn:x-page:{ref}:0>", f"WARC-Profile: {REVISIT_PROFILE}"]
-            if n_chunks > 1:
-                head.append(f"WARC-Segment-Number: {chunk + 1}")
-                if chunk:
-                    head.append(f"WARC-Segment-Origin-ID: <urn:{scheme}:{name}:0>")
-                if chunk + 1 == n_chunks:
-                    head.append(f"WARC-Segment-Total-Length: {n_bytes}")
-            head.append(f"Content-Length: {len(content.encode())}")
-            out += ["\r\n".join(head), content]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+def _header(date: str) -> Column:
+    """The header block of a chunk."""
+    first, last, cut = F.col("chunk") == 0, F.col("chunk") + 1 == F.col("n_chunks"), F.col("n_chunks") > 1
+    revisit = F.col("refers_to").isNotNull()
+    lines = [F.lit(VERSION),
+             F.concat(F.lit("WARC-Type: "), F.when(~first, "continuation").when(revisit, "revisit").otherwise("response")),
+             F.concat(F.lit("WARC-Record-ID: <urn:"), "urn", F.lit(":"), F.col("chunk").cast("string"), F.lit(">")),
+             F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), "url"),
+             F.concat(F.lit("WARC-Payload-Digest: sha1:"), "payload_digest"),
+             F.concat(F.lit("WARC-Payload-Length: "), F.col("payload_bytes").cast("string")),
+             F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:x-page:"), F.col("refers_to").cast("string"), F.lit(":0>"))),
+             F.when(revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
+             F.when(cut, F.concat(F.lit("WARC-Segment-Number: "), (F.col("chunk") + 1).cast("string"))),
+             F.when(cut & ~first, F.concat(F.lit("WARC-Segment-Origin-ID: <urn:"), "urn", F.lit(":0>"))),
+             F.when(cut & last, F.concat(F.lit("WARC-Segment-Total-Length: "), F.col("payload_bytes").cast("string"))),
+             F.concat(F.lit("Content-Length: "), F.octet_length("content").cast("string"))]
+    return F.concat_ws("\r\n", *lines)
 
 
 def write_archives(chunks: DataFrame, path: str, date: str | None = None) -> None:
@@ -153,10 +154,9 @@ def write_archives(chunks: DataFrame, path: str, date: str | None = None) -> Non
     record is spread over two; how large files get is a matter of the table's partitions.
     ``date`` (UTC, ``YYYY-MM-DDThh:mm:ssZ``) is the records' WARC-Date, by default now.
     """
-    workers_find_package(chunks.sparkSession)
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    (chunks.select(*CHUNK_COLUMNS).mapInArrow(lambda batches: _blocks(batches, date), "value string")
-     .write.option("lineSep", SEP).option("compression", "gzip").option("maxRecordsPerFile", 0).text(path))
+    blocks = chunks.select(F.explode(F.array(_header(date), F.col("content"))).alias("value"))
+    blocks.write.option("lineSep", SEP).option("compression", "gzip").option("maxRecordsPerFile", 0).text(path)
 
 
 class _Reader:
