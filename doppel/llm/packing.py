@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,25 +34,42 @@ from doppel.llm.common import Scratch, map_exact
 from doppel.llm.tokens import ID, library_ids, vocabulary
 
 CAPACITY = 1024
+WORK = 100_000
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 2, vocab: str | None = None,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, piece, start, length, ids_crc32`` of every document."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    end = np.array([end_id], ID).tobytes()
+    end = np.array([end_id], ID)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = library_ids(vocab or vocabulary())
-        for pdf in batches:
-            out = []
-            for id_, ids in zip(pdf["id"], memo.encode_all(pdf["text"].tolist())):
-                ids += end
-                cuts = [0, *range(len(ids) // 4 % capacity or capacity, len(ids) // 4, capacity), len(ids) // 4]
-                out += [(id_, i, a, b - a, zlib.crc32(ids[4 * a:4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"], dtype=object)
-
-    return map_exact(src, run, "id long, piece int, start long, length long, ids_crc32 long")
+        for batch in batches:
+            at = 0
+            for ids, ends in memo.runs(batch["text"]):
+                n = len(ends)
+                sizes = np.diff(ends, prepend=0) + 1
+                stops = np.cumsum(sizes)
+                whole = np.empty(int(stops[-1]), ID)
+                body = np.ones(len(whole), bool)
+                body[stops - 1] = False
+                whole[body], whole[~body] = ids, end
+                # the first piece is the shorter one
+                count = -(-sizes // capacity)
+                doc = np.repeat(np.arange(n), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                first = (sizes - 1) % capacity + 1
+                start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[doc], capacity)
+                begin = (stops - sizes)[doc] + start
+                raw = memoryview(whole).cast("B")
+                crc = [zlib.crc32(raw[4 * a:4 * (a + k)]) for a, k in zip(begin.tolist(), length.tolist())]
+                yield pa.record_batch({"id": batch["id"].slice(at, n).take(pa.array(doc)), "piece": piece.astype(np.int32), "start": start,
+                                       "length": length, "ids_crc32": pa.array(crc, pa.int64())})
+                at += n
+
+    return src.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
 Bins = list[list[int]]
@@ -100,7 +118,46 @@ def crossover(a: Bins, b: Bins, counts: dict[int, int], capacity: int, rng: rand
                 for v, n in need.items():
                     left[v] -= n
                 child.append(list(x))
-    return best_fit([v for v, n in left.items() for _ in range(n)], child, capacity)
+    child, free = replace(child, [v for v, n in left.items() for _ in range(n)], capacity)
+    return best_fit(free, child, capacity)
+
+
+def replace(bins: Bins, free: list[int], capacity: int) -> tuple[Bins, list[int]]:
+    """Fill bins up by exchange: one or two of a bin's lengths for a free one that is longer and still fits.
+
+    What comes free is shorter than what went in, so the rest is easier to place.
+    """
+    count: dict[int, int] = {}
+    for v in free:
+        count[v] = count.get(v, 0) + 1
+    there = sum(1 << v for v in count)
+    out: Bins = []
+    for b in bins:
+        room, b = capacity - sum(b), list(b)
+        while room and there:
+            # largest free length above a part of the bin, within the room; the best of single and paired lengths
+            best = 0, 0, ()
+            parts = [(v, (v,)) for v in set(b)]
+            if len(b) <= 12:
+                parts += [(x + y, (x, y)) for i, x in enumerate(b) for y in b[i + 1:]]
+            for total, taken in parts:
+                fits = (there & ((2 << (total + room)) - 1)) >> (total + 1)
+                if fits:
+                    best = max(best, (fits.bit_length(), total + fits.bit_length(), taken))
+            if not best[0]:
+                break
+            gain, v, taken = best
+            for x in taken:
+                b.remove(x)
+                count[x] = count.get(x, 0) + 1
+                there |= 1 << x
+            b.append(v)
+            count[v] -= 1
+            if not count[v]:
+                there ^= 1 << v
+            room -= gain
+        out.append(b)
+    return out, [v for v, n in count.items() for _ in range(n)]
 
 
 def mutate(bins: Bins, capacity: int, rng: random.Random) -> Bins:
@@ -108,14 +165,18 @@ def mutate(bins: Bins, capacity: int, rng: random.Random) -> Bins:
     order = sorted(range(len(bins)), key=lambda i: sum(bins[i]))
     n = max(2, len(bins) // 100)
     gone = set(order[:n]) | set(rng.sample(range(len(bins)), min(n, len(bins))))
-    return best_fit([v for i in gone for v in bins[i]], [list(b) for i, b in enumerate(bins) if i not in gone], capacity,
-                    rng if rng.random() < 0.3 else None)
+    kept, free = replace([b for i, b in enumerate(bins) if i not in gone], [v for i in gone for v in bins[i]], capacity)
+    return best_fit(free, kept, capacity, rng if rng.random() < 0.2 else None)
 
 
 def evolve(counts: dict[int, int], elites: list[Bins], capacity: int, rng: random.Random, population: int = 5,
-           generations: int = 6) -> list[Bins]:
-    """The better individuals after some generations; stops at the lower bound."""
+           generations: int | None = None, work: int = WORK) -> list[Bins]:
+    """The better individuals after some generations; stops at the lower bound.
+
+    By default the number of generations follows from the work: about ``work`` lengths are placed.
+    """
     lengths = [v for v, n in counts.items() for _ in range(n)]
+    generations = generations or max(4, work // max(1, len(lengths)))
     bound = -(-sum(lengths) // capacity)
     people = [e for e in elites] or [best_fit(lengths, [], capacity)]
     while len(people) < population:
