@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from doppel.functions import normalize as N
 from doppel.functions.predicates import DUPLICATE_LABEL_KEYWORDS
 from doppel.operators.enrich import last_record_per_id
-from doppel.operators.name_search import substring_hits
+from doppel.operators.name_search import substring_counts, substring_hits
 
 # Exact duplicate labels, in tie-break priority order.
 DUPLICATE_NAME_PRIORITY = ["duplikat", "dublette", "duplicate"]
@@ -92,9 +92,11 @@ def find_groups_by_name(groups: DataFrame, names: list[str] | DataFrame) -> Data
     spark = groups.sparkSession
     args = _arguments(spark, names, "name").withColumn("name", N.utrim("name")).where(F.col("name") != "")
     plain = groups.select("group_id", N.plain_group_name("group_name").alias("plain"))
-    hits = substring_hits(plain, args, "plain", "name")
-    per = hits.groupBy("pos").agg(F.count(F.lit(1)).alias("n_matches"), F.min("group_id").alias("gid"))
-    out = args.join(per, "pos", "left")
+    # counted per distinct name first: equal names times the groups they hit are never rows
+    counts = substring_counts(plain, args, "plain", "name", "group_id")
+    hits = args.join(counts.hint("merge"), F.col("name") == F.col("_needle"))
+    per = hits.groupBy("pos").agg(F.sum("n_matches").alias("n_matches"), F.min("group_id").alias("gid"))
+    out = args.join(per.hint("merge"), "pos", "left")
     n = F.coalesce("n_matches", F.lit(0)).cast("long")
     return out.select("pos", "name", n.alias("n_matches"), F.when(n == 1, F.col("gid")).alias("group_id"))
 

@@ -136,6 +136,22 @@ def test_substring_index(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_name_counts_broadcast_no_index(spark):
+    """Equal needles and equal names are counted, not multiplied; only hashes of needles are broadcast."""
+    rows = [(i, f"<b>large ring</b> Brand#{i % 7} {i % 400}") for i in range(800)]
+    path = tempfile.mkdtemp(prefix="doppel-names-") + "/groups"
+    spark.createDataFrame(rows, "group_id long, group_name string").write.parquet(path)
+    texts = ["#1", "large ring", "Brand#3 3", "large ring Brand#3 3", "LARGE", "9", "ring Brand#2 2", "zz", "e"] * 40 + [""]
+    names = spark.createDataFrame(list(enumerate(texts)), "pos long, name string")
+    found = L.find_groups_by_name(spark.read.parquet(path), names)
+    plain = [(i, n.replace("<b>", "").replace("</b>", "")) for i, n in rows]
+    want = {t: [i for i, n in plain if t in n] for t in set(texts) - {""}}
+    assert {(r.pos, r.name, r.n_matches, r.group_id) for r in found.collect()} == {
+        (i, t, len(want[t]), want[t][0] if len(want[t]) == 1 else None) for i, t in enumerate(texts) if t}
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+    assert all("LeftSemi" in x for x in joins)
+
+
 def test_records_by_reading_order(spark):
     path = tempfile.mkdtemp(prefix="doppel-order-")
     for part, rows in ((99999, [(1, "b"), (2, "x")]), (100000, [(1, "a")])):
