@@ -47,12 +47,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _oriented(moved.union(own), "x", "m")
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    """``n, up, down`` of every node: edges to smaller nodes, and whether larger ones hang on it."""
+    ends = edges.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("lo").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+
+
 def _is_star_forest(edges: DataFrame) -> bool:
     """True when every node has one parent and every parent is a root."""
-    parents = edges.groupBy("hi").agg(F.min("lo").alias("lo"), F.count(F.lit(1)).alias("n"))
-    multi = parents.where(F.col("n") > 1).select("hi")
-    deep = parents.join(parents.select(F.col("hi").alias("lo")), "lo", "left_semi").select("hi")
-    return multi.union(deep).isEmpty()
+    return _ends(edges).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
@@ -64,13 +68,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    current = _oriented(edges, src, dst).checkpoint(eager=True)
+    current = _small_star(_large_star(_oriented(edges, src, dst).checkpoint(eager=True))).checkpoint(eager=True)
+    # A node with a single edge, to a smaller one, takes that one's label at the end and lets all others be:
+    # after a round most nodes are such, and the rounds that follow see the rest only.
+    inner = _ends(current).where("up <> 1 OR down > 0").where("up > 0").select(F.col("n").alias("hi"))
+    core = current.join(inner, "hi", "left_semi").select("hi", "lo").checkpoint(eager=True)
+    leaves = current.join(inner, "hi", "left_anti")
     for _ in range(max_rounds):
-        current = _small_star(_large_star(current)).checkpoint(eager=True)
-        if _is_star_forest(current):
+        if _is_star_forest(core):
             break
+        core = _small_star(_large_star(core)).checkpoint(eager=True)
     else:
         raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
-    members = current.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
-    roots = current.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
-    return members.union(roots)
+    members = core.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
+    known = members.union(core.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
+    leaf_labels = leaves.join(known.withColumnRenamed("node", "lo"), "lo", "left").select(
+        F.col("hi").alias("node"), F.coalesce("label", "lo").alias("label"))
+    # every root holds a node: the smallest of its component is its label
+    labelled = members.union(leaf_labels).checkpoint(eager=True)
+    return labelled.union(labelled.select(F.col("label").alias("node"), "label").distinct())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doppel.operators.components import connected_components
-from doppel.operators.pairs import match_edges
+from doppel.operators.pairs import linking_edges
 from doppel.operators.ranking import dense_number
 
 
@@ -25,7 +25,7 @@ def find_duplicate_groups(persons: DataFrame, campus_id: int | None = None,
     if campus_id is not None and campus_id <= 0:
         return _empty(persons)
     if edges is None:
-        edges = match_edges(persons, swap_keys)
+        edges = linking_edges(persons, swap_keys)  # the components take each edge once
     comp = connected_components(edges).select(F.col("node").alias("person_id"), "label")
     if campus_id is not None:
         at_campus = persons.where(F.col("campus_id") == F.lit(campus_id)).select(F.col("person_id").cast("long"))
