@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from doppel.functions.normalize import utrim
 from doppel.operators.ranking import dense_number
+from doppel.session import ensure_checkpoint_dir
 from doppel.sources.csv_records import BOM, read_records
 
 # The canonical header, in column order.
@@ -112,7 +113,10 @@ def read_review_csv(spark: SparkSession, path: str, strict: bool = True) -> tupl
 
     Of several files each has the header; their records count on in the order of the parts.
     """
+    ensure_checkpoint_dir(spark)
     records, unclosed = read_records(spark, path)
+    # read by the header, the checks and the rows: found once
+    records = records.checkpoint(eager=True)
     first = records.where("first").orderBy("number").select("text").limit(1).collect()
     if not first:
         raise ValueError("review CSV is empty")
