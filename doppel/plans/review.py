@@ -93,7 +93,7 @@ def _write_text_review(out: DataFrame, path: str) -> None:
 
 
 def review_rows(spark, sf_dir) -> DataFrame:
-    """The edited review: ``dup_id, person_id, line``."""
+    """The edited review: ``dup_id, person_id, line``, written once as what follows reads it many times."""
     g = _groups(spark, sf_dir).checkpoint(eager=True)
     base = g.where(F.col("person_id") % 13 != 0).withColumn("k", F.lit(0))
     stats = base.groupBy("dup_id").agg(F.min("person_id").alias("lo"), F.max("person_id").alias("hi"))
@@ -107,7 +107,8 @@ def review_rows(spark, sf_dir) -> DataFrame:
     rows = rows.withColumn("sort", sort)
     numbered = dense_number(rows, ["dup_id", "k", "sort"], "_n")
     return (rows.join(numbered, ["dup_id", "k", "sort"])
-            .select("dup_id", "person_id", (F.col("_n") + 1).cast("long").alias("line")))
+            .select("dup_id", "person_id", (F.col("_n") + 1).cast("long").alias("line"))
+            .checkpoint(eager=True))
 
 
 def review_primary(spark, sf_dir):

@@ -1,13 +1,17 @@
 """What grows with the input is done once, and later steps see what is left of it."""
 
 import itertools
+import os
 import random
+import tempfile
 
 from pyspark.sql import functions as F
 
 import brute
 from doppel.operators import components
 from doppel.operators import pairs
+from doppel.plans import review
+from doppel.sources.review_csv import read_review_csv, write_review_csv
 
 
 def test_later_rounds_see_inner_nodes_only(spark, monkeypatch):
@@ -48,3 +52,17 @@ def test_members_of_no_candidate_are_not_read(spark):
     nodes = people.groupBy(*key).agg(F.min("person_id").alias("rep")).withColumn("first0", F.lit("ute")).withColumn("last0", F.lit("kern"))
     found = pairs._swapped_edges(people, nodes, pairs._swap_candidates(nodes, ["first0", "last0"], ["rep", *key]), key)
     assert found.collect() == [] and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_review_is_read_once(spark, monkeypatch):
+    path = tempfile.mkdtemp(prefix="doppel-once-") + "/review"
+    texts = ", ".join(f"'t' AS {c}" for c in review.REVIEW_COLUMNS[2:])
+    write_review_csv(spark.sql(f"SELECT id + 1 AS dup_id, id + 5 AS person_id, {texts} FROM range(20)"), path)
+    rows, _ = read_review_csv(spark, path)
+    assert "FileScan" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.line, r.person_id) for r in rows.collect()) == [(i + 2, i + 5) for i in range(20)]
+    groups = spark.range(1, 40).selectExpr("id % 9 + 1 AS dup_id", "id AS person_id")
+    monkeypatch.setattr(review, "_groups", lambda spark, sf_dir: groups)
+    lines = review.review_rows(spark, os.curdir)
+    assert "Join" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.line for r in lines.collect()) == list(range(2, lines.count() + 2))
