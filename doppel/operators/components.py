@@ -5,9 +5,8 @@ Components in MapReduce and Beyond", SoCC 2014). Every round is two
 aggregations and two joins on node ids; the edge count never grows beyond the
 input, and a hub with many neighbours is an aggregation key (map-side
 partial min) plus a join whose skewed side AQE splits. The lineage is cut
-after every round with a reliable ``checkpoint()`` into
-``spark.checkpoint.dir`` so that a lost executor re-reads the last round
-instead of recomputing all of them.
+after every round by a copy below ``spark.checkpoint.dir``, so that a lost
+executor re-reads the last round instead of recomputing all of them.
 
 The label of a component is its smallest node id.
 """
@@ -17,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doppel.session import ensure_checkpoint_dir
+from doppel.session import written
 
 
 def _neighbours(edges: DataFrame) -> DataFrame:
@@ -66,18 +65,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     Self-loops are ignored; isolated nodes do not appear (the reference's
     union-find only holds ids that took part in a union).
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    current = _small_star(_large_star(_oriented(edges, src, dst).checkpoint(eager=True))).checkpoint(eager=True)
+    current = written(_small_star(_large_star(written(_oriented(edges, src, dst)))))
     # A node with a single edge, to a smaller one, takes that one's label at the end and lets all others be:
     # after a round most nodes are such, and the rounds that follow see the rest only.
     inner = _ends(current).where("up <> 1 OR down > 0").where("up > 0").select(F.col("n").alias("hi"))
-    core = current.join(inner, "hi", "left_semi").select("hi", "lo").checkpoint(eager=True)
+    core = written(current.join(inner, "hi", "left_semi").select("hi", "lo"))
     leaves = current.join(inner, "hi", "left_anti")
     for _ in range(max_rounds):
         if _is_star_forest(core):
             break
-        core = _small_star(_large_star(core)).checkpoint(eager=True)
+        core = written(_small_star(_large_star(core)))
     else:
         raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
     members = core.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
@@ -85,5 +82,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     leaf_labels = leaves.join(known.withColumnRenamed("node", "lo"), "lo", "left").select(
         F.col("hi").alias("node"), F.coalesce("label", "lo").alias("label"))
     # every root holds a node: the smallest of its component is its label
-    labelled = members.union(leaf_labels).checkpoint(eager=True)
+    labelled = written(members.union(leaf_labels))
     return labelled.union(labelled.select(F.col("label").alias("node"), "label").distinct())

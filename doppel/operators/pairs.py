@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from doppel.functions import normalize as N
 from doppel.functions import predicates as P
-from doppel.session import ensure_checkpoint_dir
+from doppel.session import written
 
 # rows that may be sent to every task
 BROADCAST_ROWS = 100_000
@@ -77,17 +77,22 @@ def written_features(persons: DataFrame) -> DataFrame:
     """``person_features`` written once to the shared folder.
 
     The jobs below read them in many branches; from a written copy each branch has a small
-    plan, and a lost executor costs a re-read.
+    plan, and a lost executor costs a re-read. The records are dealt out before they are
+    normalised, as a file of few row groups would leave that and all branches to few tasks.
     """
-    ensure_checkpoint_dir(persons.sparkSession)
-    return person_features(persons).checkpoint(eager=True)
+    spark = persons.sparkSession
+    read = ["person_id", "campus_id", "first_name", "last_name", "email", "street", "city"]
+    read += [c for c in ("emails",) if c in persons.columns]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = persons.where(F.col("person_id") > 0).select(*read).repartition(tasks, "person_id")
+    return written(person_features(dealt))
 
 
 def _held(rows: DataFrame) -> tuple[DataFrame, int]:
     """Rows written once, marked for broadcast or for a shuffle by their true number, and that number."""
-    held = rows.checkpoint(eager=True)
+    held = written(rows)
     n = held.count()
-    return (F.broadcast(held) if n <= BROADCAST_ROWS else held.hint("merge")), n
+    return (F.broadcast(held) if n <= BROADCAST_ROWS else held), n
 
 
 def block_keys(features: DataFrame, swap_keys: bool = False) -> DataFrame:
@@ -120,17 +125,32 @@ def _asked(tokens: Column) -> Column:
     return F.array_max(F.transform(tokens, lambda t, i: F.struct((i > 0).alias("own"), F.xxhash64(t).alias("h"), t.alias("t"))))["t"]
 
 
-def _subset_candidates(nodes: DataFrame, block: list[str], tokens: str, attrs: list[str]) -> DataFrame:
+def _subset_candidates(nodes: DataFrame, block: list[str], tokens: str, attrs: list[str], rarest: bool = False) -> DataFrame:
     """Node pairs of a block whose ``tokens`` may be a subset (left) and its superset (right).
 
     The right side stands under each of its tokens, the left one asks with a single token, one
     that the whole block does not share if it has any. So the pairs follow the number of true
-    subsets, not the square of the variants.
+    subsets, not the square of the variants. ``rarest`` is for blocks in which names that have
+    little in common may share a further token, as the second part of double names: one of several
+    different tokens finds its supersets among nodes of several, and asks with the token that the
+    fewest of these have.
     """
-    col = F.col(tokens)
-    left = nodes.where(F.size(col) > 0).select(*block, *_side_columns(nodes, "l", attrs), F.size(col).alias("_l"), _asked(col).alias("_token"))
-    right = nodes.select(*block, *_side_columns(nodes, "r", attrs), F.size(col).alias("_r"), F.explode(F.array_distinct(col)).alias("_token"))
-    return left.join(right, [*block, "_token"]).where("_l <= _r AND l_rep <> r_rep").drop("_l", "_r", "_token")
+    col, key = F.col(tokens), [*block, "_token"]
+    known = nodes.where(F.size(col) > 0)
+    left = [*block, *_side_columns(nodes, "l", attrs), F.size(col).alias("_l")]
+    right = [*block, *_side_columns(nodes, "r", attrs), F.size(col).alias("_r")]
+    under_each = known.select(*right, F.explode(F.array_distinct(col)).alias("_token"))
+    if rarest:
+        met = known.where(F.size(F.array_distinct(col)) == 1).select(*left, col[0].alias("_token")).join(under_each, key)
+        several = known.where(F.size(F.array_distinct(col)) > 1).withColumn("_token", F.explode(F.array_distinct(col)))
+        shared = several.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        # a node is its columns: an id that comes with two records may stand for two of them
+        node = [*block, *[f"l_{a}" for a in attrs], "_l"]
+        asking = several.select(*left, "_token").join(shared, key).groupBy(*node).agg(F.min(F.struct("_n", "_token"))["_token"].alias("_token"))
+        met = met.unionByName(asking.join(several.select(*right, "_token"), key))
+    else:
+        met = known.select(*left, _asked(col).alias("_token")).join(under_each, key)
+    return met.where("_l <= _r AND l_rep <> r_rep").drop("_l", "_r", "_token")
 
 
 def _initials_candidates(nodes: DataFrame, block: list[str], attrs: list[str]) -> DataFrame:
@@ -218,7 +238,7 @@ def email_edges(features: DataFrame) -> DataFrame:
     # Single-address mailboxes: campus, street and city main are shared, so a
     # pair is a couple iff the suffixes are compatible and first names differ.
     closed = groups.where((F.col("gsize") >= 2) & (F.col("n_classes") == 1) & (F.col("has_open") == 0)).select("email_n")
-    members = mail.join(closed, "email_n", "left_semi").select("person_id", "email_n", "city_by", "first_t").checkpoint(eager=True)
+    members = written(mail.join(closed, "email_n", "left_semi").select("person_id", "email_n", "city_by", "first_t"))
     # Incompatible suffixes link everyone of both suffix classes; a class with such a
     # counterpart is one component through its representative.
     classes = members.groupBy("email_n", "city_by").agg(F.min("person_id").alias("rep"))
@@ -262,7 +282,7 @@ def _swapped_edges(features: DataFrame, nodes: DataFrame, candidates: DataFrame,
     id order crosses classes, so does one of the ends: smallest id (or smallest of
     another class) on the left, largest on the right. Only members of such nodes are looked at.
     """
-    candidates = candidates.checkpoint(eager=True)
+    candidates = written(candidates)
     reps = candidates.select(F.col("l_rep").alias("rep")).union(candidates.select(F.col("r_rep").alias("rep"))).distinct()
     met, n = _held(nodes.join(reps, "rep", "left_semi").select(*node_key))
     if n == 0:
@@ -316,24 +336,24 @@ def block_edges(features: DataFrame) -> DataFrame:
     people = features.where((F.size("first_t") > 0) & (F.col("city_main") != "") & (F.col("street_n") != ""))
     block = ["first0", "city_main", "street_n"]
     key = [*block, "city_by", "first_t"]
-    nodes = people.groupBy(*key).agg(F.min("person_id").alias("rep"))
+    nodes = written(people.groupBy(*key).agg(F.min("person_id").alias("rep")))
     out.append(_member_edges(people, nodes, key))
     compatible = P.suffix_compatible(F.col("l_city_by"), F.col("r_city_by"))
     out.append(_edge(_first_name_pairs(nodes, block, ["rep", "city_by", "first_t"]).where(compatible)))
     # R2 adds pairs whose suffixes are incompatible, R3 those with swapped names.
     key = [*key, "last_t"]
     attrs = ["rep", "city_by", "first_t", "last_t"]
-    nodes = people.where(F.size("last_t") > 0).groupBy(*key).agg(F.min("person_id").alias("rep")).checkpoint(eager=True)
+    nodes = written(people.where(F.size("last_t") > 0).groupBy(*key).agg(F.min("person_id").alias("rep")))
     l = {"first_t": F.col("l_first_t"), "last_t": F.col("l_last_t")}
     r = {"first_t": F.col("r_first_t"), "last_t": F.col("r_last_t")}
-    out.append(_edge(_subset_candidates(nodes, block, "last_t", attrs).where(~compatible & _r2(l, r))))
+    out.append(_edge(_subset_candidates(nodes, block, "last_t", attrs, rarest=True).where(~compatible & _r2(l, r))))
     out.append(_swapped_edges(people, nodes, _swap_candidates(nodes, block, attrs), key))
 
     # fl blocks: same first token and last token; a node is one full name.
     people = features.where((F.size("first_t") > 0) & (F.size("last_t") > 0))
     key, attrs = ["first_t", "last_t"], ["rep", "first_t", "last_t"]
-    nodes = (people.groupBy(*key).agg(F.min("person_id").alias("rep"))
-             .withColumn("first0", F.col("first_t")[0]).withColumn("last0", F.col("last_t")[0]).checkpoint(eager=True))
+    nodes = written(people.groupBy(*key).agg(F.min("person_id").alias("rep"))
+                    .withColumn("first0", F.col("first_t")[0]).withColumn("last0", F.col("last_t")[0]))
     out.append(_member_edges(people, nodes, key))
     same_last = nodes.withColumn("whole_last", F.col("last_t"))
     out.append(_edge(_first_name_pairs(same_last, ["first0", "whole_last"], attrs)))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doppel.session import ensure_checkpoint_dir
+from doppel.session import written
 
 ROWS_PER_RANGE = 1_000_000
 
@@ -21,10 +21,9 @@ ROWS_PER_RANGE = 1_000_000
 def dense_number(keys: DataFrame, key: str | list[str], out: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Add ``out`` = 1..n in ascending order of the distinct, non-null key columns."""
     cols = [key] if isinstance(key, str) else list(key)
-    ensure_checkpoint_dir(keys.sparkSession)
-    distinct = keys.select(*cols).dropna(subset=cols).distinct().checkpoint(eager=True)
+    distinct = written(keys.select(*cols).dropna(subset=cols).distinct())
     ranges = -(-distinct.count() // rows_per_range) or 1
-    ranged = distinct.repartitionByRange(ranges, *cols).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    ranged = written(distinct.repartitionByRange(ranges, *cols).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -34,10 +33,9 @@ def dense_number(keys: DataFrame, key: str | list[str], out: str, rows_per_range
 
 def running_sum(rows: DataFrame, order: list[str], value: str, out: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before a row in the order of ``order`` (unique keys)."""
-    ensure_checkpoint_dir(rows.sparkSession)
-    held = rows.checkpoint(eager=True)
+    held = written(rows)
     ranges = -(-held.count() // rows_per_range) or 1
-    ranged = held.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    ranged = written(held.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy("_range").agg(F.sum(value).alias("_s"))
     # one row a range
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

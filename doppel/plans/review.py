@@ -23,7 +23,7 @@ from doppel.plans import duck as D
 from doppel.plans.matching import ORACLES as MATCH_ORACLES
 from doppel.sources.fixtures import fixture
 from doppel.sources.review_csv import group_review, read_review_csv, write_review_csv
-from doppel.session import ensure_checkpoint_dir
+from doppel.session import ensure_checkpoint_dir, written
 
 REL_TYPE_ID = 8
 
@@ -94,7 +94,7 @@ def _write_text_review(out: DataFrame, path: str) -> None:
 
 def review_rows(spark, sf_dir) -> DataFrame:
     """The edited review: ``dup_id, person_id, line``, written once as what follows reads it many times."""
-    g = _groups(spark, sf_dir).checkpoint(eager=True)
+    g = written(_groups(spark, sf_dir))
     base = g.where(F.col("person_id") % 13 != 0).withColumn("k", F.lit(0))
     stats = base.groupBy("dup_id").agg(F.min("person_id").alias("lo"), F.max("person_id").alias("hi"))
     repeat = (g.where(F.col("dup_id") % 7 == 0).groupBy("dup_id").agg(F.max("person_id").alias("person_id"))
@@ -106,9 +106,8 @@ def review_rows(spark, sf_dir) -> DataFrame:
     sort = F.when(F.col("dup_id") % 3 == 0, -F.col("person_id")).otherwise(F.col("person_id"))
     rows = rows.withColumn("sort", sort)
     numbered = dense_number(rows, ["dup_id", "k", "sort"], "_n")
-    return (rows.join(numbered, ["dup_id", "k", "sort"])
-            .select("dup_id", "person_id", (F.col("_n") + 1).cast("long").alias("line"))
-            .checkpoint(eager=True))
+    return written(rows.join(numbered, ["dup_id", "k", "sort"])
+                   .select("dup_id", "person_id", (F.col("_n") + 1).cast("long").alias("line")))
 
 
 def review_primary(spark, sf_dir):

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package is written for. AQE re-plans joins at
 # runtime (skew splitting, partition coalescing); the session time zone is
@@ -59,3 +60,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "iterative jobs can cut their lineage")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="doppel-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The rows written once below the checkpoint folder and read from there.
+
+    As ``checkpoint()`` it cuts the lineage, but what follows reads only the columns that it
+    needs, in tasks of even size. Joins shuffle it unless told otherwise: files of few bytes
+    may hold many rows, too many for a broadcast.
+    """
+    spark = rows.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/doppel-rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).hint("merge")

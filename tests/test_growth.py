@@ -66,3 +66,31 @@ def test_review_is_read_once(spark, monkeypatch):
     lines = review.review_rows(spark, os.curdir)
     assert "Join" not in lines._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.line for r in lines.collect()) == list(range(2, lines.count() + 2))
+
+
+def test_records_are_dealt_out(spark):
+    """A file of one row group is normalised in many tasks; an id that comes twice stays twice."""
+    rows = [(i, 1, "Ute", f"Kern{i}", "", "Ring 1", "Ulm") for i in [*range(1, 200), 7, 0]]
+    one = spark.createDataFrame(rows, "person_id long, campus_id long, first_name string, last_name string, email string, street string, city string").coalesce(1)
+    made = pairs.written_features(one)
+    assert len(made.inputFiles()) > 2
+    assert sorted(r.person_id for r in made.collect()) == sorted([*range(1, 200), 7])
+
+
+def test_a_token_that_a_block_shares_meets_nobody(spark):
+    """Double names with a common second part make no square; true subsets are all found."""
+    schema, block = "rep long, place string, last_t array<string>", ["place"]
+    rows = [(i, "x", [f"kern{i}", "schmidt"]) for i in range(300)]
+    rows += [(500, "x", ["schmidt"]), (501, "x", ["kern3"]), (502, "x", ["schmidt", "kern4", "lang"]), (503, "y", ["kern4", "schmidt"])]
+    found = pairs._subset_candidates(spark.createDataFrame(rows, schema), block, "last_t", ["rep", "last_t"], rarest=True).collect()
+    assert len(found) < 310 and {(3, 501), (4, 502)} <= {tuple(sorted((r.l_rep, r.r_rep))) for r in found}
+    # ids that stand for two records, tokens that repeat
+    rng = random.Random(8)
+    rows = [(rng.randrange(60), rng.choice("xy"), [rng.choice("abcd") for _ in range(rng.randrange(4))]) for _ in range(120)]
+    rows = [list(r) for r in {(r[0], r[1], tuple(r[2])) for r in rows}]
+    made = spark.createDataFrame([(i, p, list(t)) for i, p, t in rows], schema)
+    got = {(r.l_rep, r.r_rep, tuple(r.l_last_t), tuple(r.r_last_t), r.place)
+           for r in pairs._subset_candidates(made, block, "last_t", ["rep", "last_t"], rarest=True).collect()}
+    want = {(a[0], b[0], tuple(a[2]), tuple(b[2]), a[1]) for a in rows for b in rows if a[1] == b[1] and a[0] != b[0]
+            and a[2] and set(a[2]) <= set(b[2]) and len(a[2]) <= len(b[2])}
+    assert want <= got
