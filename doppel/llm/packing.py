@@ -31,20 +31,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doppel.llm.common import Scratch, map_exact
-from doppel.llm.tokens import ID, library_ids, vocabulary
+from doppel.llm.tokens import ID, MAX_ENTRIES, library_ids, vocabulary
 
 CAPACITY = 1024
 WORK = 100_000
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 2, vocab: str | None = None,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, piece, start, length, ids_crc32`` of every document."""
+           id_col: str = "doc_id", text_col: str = "text", memo_entries: int = MAX_ENTRIES) -> DataFrame:
+    """``id, piece, start, length, ids_crc32`` of every document. ``memo_entries`` bounds the memory of a worker."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     end = np.array([end_id], ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = library_ids(vocab or vocabulary())
+        memo = library_ids(vocab or vocabulary(), memo_entries)
         for batch in batches:
             at = 0
             for ids, ends in memo.runs(batch["text"]):
@@ -232,11 +232,12 @@ def _migrate(tasks: DataFrame, islands: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 2, vocab: str | None = None, id_col: str = "doc_id",
-         text_col: str = "text", shard_pieces: int = 16_000, islands: int = 2, epochs: int = 2) -> DataFrame:
+         text_col: str = "text", shard_pieces: int = 16_000, islands: int = 2, epochs: int = 2,
+         memo_entries: int = MAX_ENTRIES) -> DataFrame:
     """``id, piece, start, length, ids_crc32, sequence_id, offset``, one row per piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    cut = scratch.write(pieces(docs, capacity, end_id, vocab, id_col, text_col).withColumn(
+    cut = scratch.write(pieces(docs, capacity, end_id, vocab, id_col, text_col, memo_entries).withColumn(
         "row", F.monotonically_increasing_id()), "pieces")
     open_ = F.col("length") < capacity
     shards = max(1, -(-cut.where(open_).count() // shard_pieces))

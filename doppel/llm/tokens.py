@@ -26,6 +26,8 @@ ID = np.dtype("<u4")
 _SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # bytes of text that are put together at a time
 GROUP = 4 << 20
+# chunks of a memo
+MAX_ENTRIES = 2_000_000
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -73,7 +75,7 @@ class IdMemo:
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: tuple[str, ...],
                  encode_chunks: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None,
-                 max_entries: int = 2_000_000, max_chunk: int = 48):
+                 max_entries: int = MAX_ENTRIES, max_chunk: int = 48):
         self.encode_many = encode_many
         self.encode_chunks = encode_chunks or (lambda chunks: joined(encode_many([" " + c for c in chunks])))
         self.max_entries, self.max_chunk = max_entries, max_chunk
@@ -205,12 +207,15 @@ class IdMemo:
             self.new.add([chunks[i] for i in some.tolist()], _gather(self.old.flat, self.old.starts[at[some]], sizes), sizes)
 
 
-_BY_PATH: dict[str, IdMemo] = {}
+_BY_PATH: dict[tuple[str, int], IdMemo] = {}
 
 
-def library_ids(path: str) -> IdMemo:
-    """A memo over the tokenizers library; one per worker process and vocabulary file."""
-    if path not in _BY_PATH:
+def library_ids(path: str, max_entries: int = MAX_ENTRIES) -> IdMemo:
+    """A memo over the tokenizers library; one per worker process, vocabulary file and size.
+
+    It stays with the worker, which outlives the task and stands beside the steps that follow.
+    """
+    if (path, max_entries) not in _BY_PATH:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
@@ -242,8 +247,8 @@ def library_ids(path: str) -> IdMemo:
                 sizes.append(n)
             return np.concatenate(made), np.concatenate(sizes)
 
-        _BY_PATH[path] = IdMemo(encode_many, tuple(special), encode_chunks)
-    return _BY_PATH[path]
+        _BY_PATH[path, max_entries] = IdMemo(encode_many, tuple(special), encode_chunks, max_entries)
+    return _BY_PATH[path, max_entries]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from doppel.llm import bpe_trie, token_output
-from doppel.llm.tokens import ID, IdMemo, library_ids, vocabulary
+from doppel.llm.packing import pieces
+from doppel.llm.tokens import ID, MAX_ENTRIES, IdMemo, library_ids, vocabulary
 
 PIECES = ["a", "b", " ", "  ", "\n", " \n", "\t", "é", "ß", "中", "1", "23", "'s", "'ll", "!!", "<|endoftext|>",
           " <|endoftext|>", "the", "ing", "\x1c", " ", "🙂", "​", "A", "'", "-", "\r\n"]
@@ -92,3 +94,14 @@ def test_token_files(spark, library, tmp_path):
         assert tuple(r) == (id_, start, len(ids), zlib.crc32(np.array(ids, ID).tobytes()))
         start += len(ids)
     assert token_output.token_files(docs(spark, [])).count() == 0
+
+
+def test_memo_of_a_stage(spark):
+    """The pipeline's workers hold a smaller memo; ids and pieces are those of the usual one."""
+    small, usual = library_ids(vocabulary(), 20), library_ids(vocabulary())
+    texts = [" ".join(f"w{i * j} und" for j in range(30)) for i in range(40)]
+    assert small is not usual and [small.encode(t) for t in texts] == [usual.encode(t) for t in texts]
+    assert len(small.new.number) + len(small.old.number) < 400 < len(usual.memo)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(pieces(docs, memo_entries=20).collect()) == sorted(pieces(docs).collect())
+    assert corpus_pipeline.MEMO_ENTRIES < MAX_ENTRIES
