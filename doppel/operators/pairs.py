@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from doppel.functions import normalize as N
 from doppel.functions import predicates as P
-from doppel.session import written
+from doppel.session import ensure_checkpoint_dir
 
 # rows that may be sent to every task
 BROADCAST_ROWS = 100_000
@@ -85,14 +85,19 @@ def written_features(persons: DataFrame) -> DataFrame:
     read += [c for c in ("emails",) if c in persons.columns]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = persons.where(F.col("person_id") > 0).select(*read).repartition(tasks, "person_id")
-    return written(person_features(dealt))
+    return _kept(person_features(dealt))
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint(eager=True)
 
 
 def _held(rows: DataFrame) -> tuple[DataFrame, int]:
     """Rows written once, marked for broadcast or for a shuffle by their true number, and that number."""
-    held = written(rows)
+    held = _kept(rows)
     n = held.count()
-    return (F.broadcast(held) if n <= BROADCAST_ROWS else held), n
+    return (F.broadcast(held) if n <= BROADCAST_ROWS else held.hint("merge")), n
 
 
 def block_keys(features: DataFrame, swap_keys: bool = False) -> DataFrame:
@@ -238,7 +243,7 @@ def email_edges(features: DataFrame) -> DataFrame:
     # Single-address mailboxes: campus, street and city main are shared, so a
     # pair is a couple iff the suffixes are compatible and first names differ.
     closed = groups.where((F.col("gsize") >= 2) & (F.col("n_classes") == 1) & (F.col("has_open") == 0)).select("email_n")
-    members = written(mail.join(closed, "email_n", "left_semi").select("person_id", "email_n", "city_by", "first_t"))
+    members = _kept(mail.join(closed, "email_n", "left_semi").select("person_id", "email_n", "city_by", "first_t"))
     # Incompatible suffixes link everyone of both suffix classes; a class with such a
     # counterpart is one component through its representative.
     classes = members.groupBy("email_n", "city_by").agg(F.min("person_id").alias("rep"))
@@ -282,7 +287,7 @@ def _swapped_edges(features: DataFrame, nodes: DataFrame, candidates: DataFrame,
     id order crosses classes, so does one of the ends: smallest id (or smallest of
     another class) on the left, largest on the right. Only members of such nodes are looked at.
     """
-    candidates = written(candidates)
+    candidates = _kept(candidates)
     reps = candidates.select(F.col("l_rep").alias("rep")).union(candidates.select(F.col("r_rep").alias("rep"))).distinct()
     met, n = _held(nodes.join(reps, "rep", "left_semi").select(*node_key))
     if n == 0:
@@ -336,14 +341,14 @@ def block_edges(features: DataFrame) -> DataFrame:
     people = features.where((F.size("first_t") > 0) & (F.col("city_main") != "") & (F.col("street_n") != ""))
     block = ["first0", "city_main", "street_n"]
     key = [*block, "city_by", "first_t"]
-    nodes = written(people.groupBy(*key).agg(F.min("person_id").alias("rep")))
+    nodes = _kept(people.groupBy(*key).agg(F.min("person_id").alias("rep")))
     out.append(_member_edges(people, nodes, key))
     compatible = P.suffix_compatible(F.col("l_city_by"), F.col("r_city_by"))
     out.append(_edge(_first_name_pairs(nodes, block, ["rep", "city_by", "first_t"]).where(compatible)))
     # R2 adds pairs whose suffixes are incompatible, R3 those with swapped names.
     key = [*key, "last_t"]
     attrs = ["rep", "city_by", "first_t", "last_t"]
-    nodes = written(people.where(F.size("last_t") > 0).groupBy(*key).agg(F.min("person_id").alias("rep")))
+    nodes = _kept(people.where(F.size("last_t") > 0).groupBy(*key).agg(F.min("person_id").alias("rep")))
     l = {"first_t": F.col("l_first_t"), "last_t": F.col("l_last_t")}
     r = {"first_t": F.col("r_first_t"), "last_t": F.col("r_last_t")}
     out.append(_edge(_subset_candidates(nodes, block, "last_t", attrs, rarest=True).where(~compatible & _r2(l, r))))
@@ -352,7 +357,7 @@ def block_edges(features: DataFrame) -> DataFrame:
     # fl blocks: same first token and last token; a node is one full name.
     people = features.where((F.size("first_t") > 0) & (F.size("last_t") > 0))
     key, attrs = ["first_t", "last_t"], ["rep", "first_t", "last_t"]
-    nodes = written(people.groupBy(*key).agg(F.min("person_id").alias("rep"))
+    nodes = _kept(people.groupBy(*key).agg(F.min("person_id").alias("rep"))
                     .withColumn("first0", F.col("first_t")[0]).withColumn("last0", F.col("last_t")[0]))
     out.append(_member_edges(people, nodes, key))
     same_last = nodes.withColumn("whole_last", F.col("last_t"))
