@@ -43,15 +43,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables of one operator run below the shared checkpoint folder."""
+    """Tables of one operator run below the shared checkpoint folder; ``conf`` holds while they are written."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, conf: dict[str, str] | None = None):
+        self.spark, self.conf = spark, conf or {}
         workers_find_package(spark)
         self.root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+        before = {key: self.spark.conf.get(key, None) for key in self.conf}
+        try:
+            for key, value in self.conf.items():
+                self.spark.conf.set(key, value)
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

@@ -5,7 +5,7 @@ equal line, or one within ``edits`` byte edits, occurs earlier in the corpus, in
 order of document id and line number. All lines are judged on the input, so the
 result doesn't depend on what else is dropped. Distances count bytes of UTF-8.
 
-* Equal lines collapse first; the join sees every distinct line once.
+* Equal lines collapse first, by two hashes; the join sees every distinct line once.
 * A line of length ``l`` is cut into ``edits + 1`` segments, so a line within
   ``edits`` edits holds one of them unchanged. The segments are the index, with
   their length class and number in the key; a line probes, for each length that a
@@ -34,6 +34,12 @@ EDITS = 2
 MIN_BYTES = 24
 WORD_BITS = 40
 LETTERS = "etaoinsrhldcumgbfpwyv"
+CONF = {
+    # a table that is written needs the shuffles it came from no more; else their files pile up until the driver collects garbage
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # the JVM only interprets methods above 8000 bytes, as fused stages with the keys' expressions are; Spark splits those it doesn't fuse
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -48,8 +54,8 @@ def _key(length: Column, i: int, data: Column, start: Column, size: Column) -> C
     return F.xxhash64(length, F.lit(i), F.substring(data, start + 1, size))
 
 
-def index_keys(data: Column, length: Column, edits: int) -> Column:
-    return F.array(*[_key(length, i, data, *_segment(length, i, edits)) for i in range(edits + 1)])
+def index_keys(data: Column, length: Column, edits: int) -> list[Column]:
+    return [_key(length, i, data, *_segment(length, i, edits)) for i in range(edits + 1)]
 
 
 def probe_places(edits: int) -> list[tuple[int, int, int]]:
@@ -62,7 +68,8 @@ def probe_places(edits: int) -> list[tuple[int, int, int]]:
             if abs(shift) <= i and abs(shift - less) <= edits - i]
 
 
-def probe_keys(data: Column, length: Column, edits: int) -> Column:
+def probe_keys(data: Column, length: Column, edits: int) -> list[Column]:
+    """One column a place, null where the line has no such substring."""
     keys = []
     for less, i, shift in probe_places(edits):
         other = length - less
@@ -70,21 +77,26 @@ def probe_keys(data: Column, length: Column, edits: int) -> Column:
         start = start + shift
         inside = (other > edits) & (start >= 0) & (start + size <= length)
         keys.append(F.when(inside, _key(other, i, data, start, size)))
-    return F.array_compact(F.array(*keys))
+    return keys
 
 
-def parity_bits(line: Column) -> Column:
-    """Bitmap in which every word flips one of 40 bits and every letter of ``LETTERS`` one of
-    21 more; the last two bits are the length modulo 4."""
-    def bit(at: Column | int) -> Column:
-        at = at if isinstance(at, Column) else F.lit(at)
-        return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+def _bit(at: Column) -> Column:
+    """Bit ``at`` modulo 64."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
-    bits = F.aggregate(F.split(line, " "), F.lit(0).cast("long"),
-                       lambda bits, w: bits.bitwiseXOR(bit(F.pmod(F.xxhash64(w), F.lit(WORD_BITS)))))
+
+def word_parity(line: Column) -> Column:
+    """Bitmap in which every word flips one of 64 bits."""
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(_bit(F.hash(w))))
+
+
+def parity_bits(line: Column, words: Column) -> Column:
+    """Bitmap of a line with the given ``word_parity``, which is folded to 40 bits; every letter of
+    ``LETTERS`` flips one of 21 more; the last two bits are the length modulo 4."""
+    bits = words.bitwiseXOR(F.shiftrightunsigned(words, WORD_BITS)).bitwiseAND(F.lit((1 << WORD_BITS) - 1).cast("long"))
     for i, letter in enumerate(LETTERS):
         without = F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        bits = bits + F.when((F.octet_length(line) - without) % 2 == 1, bit(WORD_BITS + i)).otherwise(0)
+        bits = bits + F.when((F.octet_length(line) - without) % 2 == 1, _bit(F.lit(WORD_BITS + i))).otherwise(0)
     bits = bits + F.call_function("shiftleft", F.octet_length(line).cast("long") % 4, F.lit(WORD_BITS + len(LETTERS)))
     # never null, or else a null test would compute it once more
     return F.coalesce(bits, F.lit(0).cast("long"))
@@ -196,12 +208,22 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataF
 
 def similar_lines(docs: DataFrame, scratch: Scratch, edits: int, min_bytes: int, id_col: str, text_col: str) -> DataFrame:
     """Links ``a, a2, b, b2`` between different lines within ``edits`` edits; a line is two hashes of its text."""
-    # the bits follow from the line; with them in the collapse they are computed once for both sides of the join
-    lines = _lines(docs, id_col, text_col, min_bytes).select("line", parity_bits(F.col("line")).alias("bits")).distinct()
     data, length = F.col("line").cast("binary"), F.octet_length("line")
-    each = lines.select(F.xxhash64("line").alias("h"), length.alias("length"), "bits", data.alias("data"))
-    index = each.select("h", "bits", F.explode(index_keys(F.col("data"), F.col("length"), edits)).alias("key"))
-    probe = each.select("h", "bits", F.explode(probe_keys(F.col("data"), F.col("length"), edits)).alias("key"))
+    keys = {"index": index_keys(data, length, edits), "probe": probe_keys(data, length, edits)}
+    named = {f"{side}{i}": c for side, columns in keys.items() for i, c in enumerate(columns)}
+    # bits and keys follow from the line: they are shuffled for the collapse in its place, being shorter
+    each = _lines(docs, id_col, text_col, min_bytes).withColumn("words", word_parity(F.col("line"))).select(
+        F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), parity_bits(F.col("line"), F.col("words")).alias("bits"),
+        *[c.alias(name) for name, c in named.items()])
+    lines = each.distinct()
+    # both sides take their keys from all of them, so that they read the same shuffle
+    lines = lines.select("h", "bits", F.array(*named).alias("keys"))
+
+    def postings(start: int, n: int) -> DataFrame:
+        return lines.select("h", "bits", F.explode(F.array_compact(F.slice("keys", start, n))).alias("key"))
+
+    index = postings(1, len(keys["index"]))
+    probe = postings(1 + len(keys["index"]), len(keys["probe"]))
     x, y = index.alias("x"), probe.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & _may_be_close("x.bits", "y.bits", edits))
     pairs = scratch.write(pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct(), "pairs")
@@ -225,7 +247,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, edits: int, min_bytes: in
     occurrences = scratch.write(_lines(docs, id_col, text_col, min_bytes).select(
         "id", "fp", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")), "occurrences")
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "at")
-    distinct = occurrences.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = scratch.write(occurrences.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b"), F.col("a2").alias("b2")))
     ends = sides.select(F.col("a").alias("h"), F.col("a2").alias("h2")).distinct()
     linked = scratch.write(distinct.join(ends, ["h", "h2"], "left_semi"), "linked")
@@ -247,7 +269,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES,
                keep: list[str] | None = None) -> DataFrame:
     """``id``, the columns ``keep``, ``text`` without the dropped lines, ``n_lines, n_dropped, n_links``, one row per input row."""
     keep = keep or []
-    scratch = Scratch(docs.sparkSession, "line-dedup")
+    scratch = Scratch(docs.sparkSession, "line-dedup", CONF)
     found = duplicate_lines(docs, scratch, edits, min_bytes, id_col, text_col).withColumnsRenamed({"id": "_id", "fp": "_fp"})
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("fp"),
                        *[F.col(c).alias(f"_keep_{c}") for c in keep])

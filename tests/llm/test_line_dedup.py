@@ -1,6 +1,8 @@
 """Line dedup: banded distance, candidate places and the whole operator against brute force."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,22 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == sorted(brute(rows, 2, 10), key=str)
     assert ld.line_dedup(df.limit(0)).count() == 0
     assert ld.line_dedup(df, keep=["at"]).columns == ["doc_id", "at", "text", "n_lines", "n_dropped", "n_links"]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffles():
+        return {f for d in dirs for f in Path(d).rglob("shuffle_*")}
+
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    docs = spark.createDataFrame([(i, f"a line that occurs in every text\nline number {i} of its own text") for i in range(40)], "doc_id long, text string")
+    before = shuffles()
+    left = ld.line_dedup(docs)
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
+    assert left.agg(F.sum("n_dropped")).first()[0] >= 39
