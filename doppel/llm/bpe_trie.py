@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doppel.llm.tokens import ID, IdMemo, vocabulary
+from doppel.llm.tokens import ID, IdMemo, led, vocabulary
 
 # Fixed value: the word pattern of byte-level BPE.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -188,8 +188,8 @@ class TrieEncoder:
                 for ws in split]
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks without special tokens, each after a space: ids one after the other, and their numbers."""
-        split = list(map(self.pattern.findall, [" " + c for c in chunks]))
+        """Chunks without special tokens, each as ``led``: ids one after the other, and their numbers."""
+        split = list(map(self.pattern.findall, map(led, chunks)))
         self._know([w for ws in split for w in ws])
         known = self.known
         ids = array("I")

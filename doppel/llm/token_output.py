@@ -40,95 +40,73 @@ from doppel.llm.tokens import ID, library_ids, vocabulary
 
 BLOCK = 2048
 SEGMENT = 1 << 17
-MAGIC = b"TIDS1"
+MAGIC = b"TIDS2"
 U = np.uint64
-TOP, BOT, WORD = U(1 << 48), U(1 << 32), U(48)
-SLOTS1, SLOTS2 = 1 << 10, 1 << 11
-# order 0: what an id adds to its class, and after how many ids the distribution is renewed
-GAIN, REFRESH = 24, 64
+BOT, HALF = U(1 << 32), U(32)
+SLOT_BITS1, SLOT_BITS2 = 10, 11
+SLOTS1, SLOTS2 = 1 << SLOT_BITS1, 1 << SLOT_BITS2
+# masses of guesses are in ONEths, order-0 classes in PARTS, each of 256 units
+ONE, PARTS, UNITS = np.uint32(1 << 16), 1 << 12, U(20)
+# order 0: what an id adds to its class, and the steps at which the distribution is renewed
+GAIN, REFRESH = 16, {0, 32, 128, 512, 1024, 1536}
 MAX_ID = 1 << 16
-# mass of a guess per unit of order-0 total, by how often the guess was right (in 4096ths)
-ODDS = np.maximum(1, 256 * np.arange(4096, dtype=np.int64) // (4160 - np.arange(4096, dtype=np.int64)))
 
 
 class _Models:
-    """The adaptive models of many blocks; the last axis counts blocks.
+    """The adaptive models of many blocks, coded in lockstep.
 
     The interval of a step is laid out as mass of the order-2 guess, mass of the
     order-1 guess, then the order-0 distribution (256 classes by high byte, even
     within a class). An id takes the first of the three that names it.
     """
 
-    def __init__(self, n: int):
-        self.rows = np.arange(n)
-        self.counts = np.ones((256, n), np.int32)
-        self.steps = 0
-        self.after1 = np.zeros(n * SLOTS1, np.uint16)
-        self.after2 = np.zeros(n * SLOTS2, np.uint16)
-        self.right1 = np.full(n, 512, np.int32)
-        self.right2 = np.full(n, 512, np.int32)
-        self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
-
-    def _refresh(self) -> None:
-        """Take the class counts of the ids so far as the order-0 distribution of the next ones."""
-        if self.steps and self.total[0] + REFRESH * GAIN > 1 << 13:
-            self.counts = (self.counts + 1) >> 1
-        self.freq = self.counts.copy()
-        self.below = np.zeros((257, len(self.rows)), np.int32)
-        for i in range(256):
-            np.add(self.below[i], self.freq[i], out=self.below[i + 1])
-        self.total = self.below[256].astype(np.int64)
-
-    def predict(self, k: int) -> np.ndarray:
-        """Guesses and masses of orders 1 and 2 for the first ``k`` blocks; returns the total mass."""
-        if self.steps % REFRESH == 0:
-            self._refresh()
-        self.steps += 1
-        rows, last = self.rows[:k], self.last[:k] * 40503
-        self.slot1 = rows * SLOTS1 + ((last >> 3) & (SLOTS1 - 1))
-        self.slot2 = rows * SLOTS2 + ((last + self.before[:k] * 30011 >> 2) & (SLOTS2 - 1))
+    def __init__(self, n: int, search: bool = False):
+        lanes = np.arange(n, dtype=np.uint32)
+        self.search = search
+        self.base0, self.base1, self.base2, self.parts = lanes << 8, lanes * SLOTS1, lanes * SLOTS2, lanes * PARTS
+        self.counts = np.ones((n, 256), np.int32)
+        self.after1, self.after2 = np.zeros(n * SLOTS1, np.uint16), np.zeros(n * SLOTS2, np.uint16)
+        self.right1, self.right2 = np.full(n, ONE >> 3, np.uint32), np.full(n, ONE >> 3, np.uint32)
+        self.last, self.before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.seen = 0
+
+    def refresh(self, ids: np.ndarray) -> None:
+        """Take the classes of the steps so far (rows of ``ids``) as the order-0 distribution of the next ones."""
+        for at in range(self.seen, len(ids), 256):
+            own = np.bincount((self.base0 + (ids[at:at + 256] >> 8)).ravel(), minlength=self.counts.size)
+            self.counts += (GAIN * own).astype(np.int32).reshape(self.counts.shape)
+        self.seen = len(ids)
+        # every class has one of the parts, the others are dealt out by the counts
+        ends = self.counts.cumsum(axis=1, dtype=np.int32)
+        ends *= PARTS - 256
+        ends //= ends[:, -1:] // (PARTS - 256)
+        ends += np.arange(1, 257, dtype=np.int32)
+        own = np.diff(ends, axis=1, prepend=np.int32(0))
+        # first unit (20 bits) and width (12 bits) of a class
+        self.classes = ((ends - own).astype(np.uint32) << 20 | own.astype(np.uint32)).ravel()
+        if self.search:
+            self.class_at = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(ends)), own.ravel())
+
+    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the first ``k`` blocks: mass of the order-2 guess, and of both guesses, in ``ONE``ths."""
+        last = self.last[:k]
+        self.slot1 = (self.base1[:k] + (last >> (32 - SLOT_BITS1))).astype(np.intp)
+        self.slot2 = (self.base2[:k] + (last + self.before[:k] >> (32 - SLOT_BITS2))).astype(np.intp)
         self.guess1, self.guess2 = self.after1[self.slot1], self.after2[self.slot2]
-        base = self.total[:k]
-        self.mass2 = base * ODDS[self.right2[:k]]
-        self.masses = self.mass2 + np.where(self.guess1 != self.guess2, base * ODDS[self.right1[:k]], 0)
-        return (base << 8) + self.masses
-
-    def interval(self, k: int, ids: np.ndarray):
-        """Start and width of the ids' intervals."""
-        rows, hi = self.rows[:k], ids >> 8
-        own = self.freq[hi, rows].astype(np.int64)
-        start = self.masses + (self.below[hi, rows].astype(np.int64) << 8) + own * (ids & 255)
-        return self._take(k, ids, start, own, self.guess1 == ids, self.guess2 == ids)[1:]
-
-    def find(self, k: int, value: np.ndarray):
-        """The ids whose interval holds ``value``, with start and width."""
-        rows = self.rows[:k]
-        rest = np.maximum(value - self.masses, 0)
-        v = rest >> 8
-        hi = np.zeros(k, np.int64)
-        for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-            hi += bit * (self.below[hi + bit, rows] <= v)
-        own = self.freq[hi, rows].astype(np.int64)
-        below = self.below[hi, rows].astype(np.int64) << 8
-        lo = (rest - below) // own
-        is2 = value < self.mass2
-        is1 = (value < self.masses) & ~is2
-        ids = np.where(is2, self.guess2, np.where(is1, self.guess1, (hi << 8) + lo))
-        return self._take(k, ids, self.masses + below + own * lo, own, self.guess1 == ids, self.guess2 == ids)
-
-    def _take(self, k: int, ids, start, own, is1, is2):
-        """The first interval that names the ids; then the models learn them."""
-        start, own = np.where(is1, self.mass2, start), np.where(is1, self.masses - self.mass2, own)
-        start, own = np.where(is2, 0, start), np.where(is2, self.mass2, own)
-        self.right1[:k] += (is1 * 4095 - self.right1[:k]) >> 4
-        self.right2[:k] += (is2 * 4095 - self.right2[:k]) >> 4
+        mass2 = self.right2[:k]
+        mass1 = (ONE - mass2) * self.right1[:k] >> 16
+        mass1 *= self.guess1 != self.guess2
+        return mass2.astype(U), (mass2 + mass1).astype(U)
+
+    def learn(self, k: int, ids: np.ndarray, is1: np.ndarray, is2: np.ndarray) -> None:
+        for right, hit in ((self.right1[:k], is1), (self.right2[:k], is2)):
+            # from 240 to 61215, so that no mass is nothing
+            right -= right >> 4
+            right += hit * np.uint32(3810) + np.uint32(15)
         self.after1[self.slot1] = ids
         self.after2[self.slot2] = ids
-        self.counts[ids >> 8, self.rows[:k]] += GAIN
-        self.before[:k] = self.last[:k]
-        self.last[:k] = ids
-        return ids, start, own
+        np.multiply(self.last[:k], np.uint32(0x85EBCA6B), out=self.before[:k])
+        np.multiply(ids, np.uint32(2654435761), out=self.last[:k], dtype=np.uint32)
 
 
 def _longest_first(sizes: np.ndarray):
@@ -138,30 +116,11 @@ def _longest_first(sizes: np.ndarray):
     return order, np.searchsorted(-sizes[order], -np.arange(steps), side="left")
 
 
-def _settle(lo: np.ndarray, wi: np.ndarray) -> np.ndarray:
-    """Which intervals can give off their top 16 bits; too narrow ones are cut at a boundary first."""
-    settled = (lo ^ (lo + wi)) < TOP
-    short = np.flatnonzero(~settled & (wi < BOT))
-    if len(short):
-        wi[short] = (~lo[short] + U(1)) & (BOT - U(1))
-        settled[short] = True
-    return settled
-
-
-def _narrow(lo, wi, total, start, own) -> np.ndarray:
-    """Narrow the intervals in place; the blocks that must give off bits."""
-    wi //= total.astype(U)
-    lo += start.astype(U) * wi
-    wi *= own.astype(U)
-    return np.flatnonzero(_settle(lo, wi))
-
-
-def _shift(lo, wi, go) -> np.ndarray:
-    """Shift out 16 bits of the blocks ``go``; those that must do so again."""
-    l, w = lo[go] << U(16), wi[go] << U(16)
-    again = _settle(l, w)
-    lo[go], wi[go] = l, w
-    return go[again]
+def _split(width: np.ndarray, mass2: np.ndarray, masses: np.ndarray):
+    """Widths for the order-2 guess and for both guesses, and of one order-0 unit."""
+    one = width >> U(16)
+    both = one * masses
+    return one * mass2, both, (one << U(16)) - both >> UNITS
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -169,59 +128,102 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(b) for b in blocks], np.int64)
     order, running = _longest_first(sizes)
     n = len(blocks)
-    ids = np.zeros((int(sizes.max(initial=0)), n), np.int64)
+    if any(len(b) and int(b.max()) >= MAX_ID for b in blocks):
+        raise ValueError(f"ids must be below {MAX_ID}")
+    ids = np.zeros((len(running), n), np.uint16)
     for lane, b in enumerate(order):
         ids[:sizes[b], lane] = blocks[b]
-    if ids.size and int(ids.max()) >= MAX_ID:
-        raise ValueError(f"ids must be below {MAX_ID}")
-    out = np.zeros((n, 2 * len(ids) + 8), ">u2")
+    out = np.zeros((n, len(ids) // 2 + 8), np.uint32)
     at = np.zeros(n, np.int64)
     low, width = np.zeros(n, U), np.full(n, ~U(0), U)
     models = _Models(n)
+
+    def carry(lanes):
+        """Add one to the words given off."""
+        place = at[lanes]
+        while len(lanes):
+            place = place - 1
+            out[lanes, place] += np.uint32(1)
+            over = out[lanes, place] == 0
+            lanes, place = lanes[over], place[over]
+
     for t in range(len(ids)):
+        if t in REFRESH:
+            models.refresh(ids[:t])
         k = int(running[t])
-        total = models.predict(k)
-        start, own = models.interval(k, ids[t, :k])
-        lo, wi = low[:k], width[:k]
-        go = _narrow(lo, wi, total, start, own)
-        while len(go):
-            if int(at[go].max()) >= out.shape[1]:
+        own_ids, lo, wi = ids[t, :k], low[:k], width[:k]
+        mass2, masses = models.predict(k)
+        two, both, unit = _split(wi, mass2, masses)
+        is1, is2 = models.guess1 == own_ids, models.guess2 == own_ids
+        of = models.classes[models.base0[:k] + (own_ids >> 8)]
+        own = of & 4095
+        start = both + unit * ((of >> 12) + own * (own_ids & 255))
+        start = np.where(is2, U(0), np.where(is1, two, start))
+        wi[:] = np.where(is2, two, np.where(is1, both - two, unit * own))
+        models.learn(k, own_ids, is1, is2)
+        lo += start
+        over = np.flatnonzero(lo < start)
+        if len(over):
+            carry(over)
+        go = np.flatnonzero(wi < BOT)
+        if len(go):
+            place = at[go]
+            if t + 2 >= out.shape[1] and int(place.max()) + 2 >= out.shape[1]:
                 out = np.pad(out, ((0, 0), (0, out.shape[1])))
-            out[go, at[go]] = (lo[go] >> WORD).astype(np.uint16)
-            at[go] += 1
-            go = _shift(lo, wi, go)
+            out[go, place] = lo[go] >> HALF
+            at[go] = place + 1
+            lo[go] <<= HALF
+            wi[go] <<= HALF
+    # one word more names a value of the interval; the words that the reader lacks are zeros
+    last = low + (BOT - U(1))
+    carry(np.flatnonzero(last < low))
     payload: list[bytes] = [b""] * n
     for lane, b in enumerate(order):
-        payload[b] = out[lane, :at[lane]].tobytes() + struct.pack(">Q", int(low[lane]))
+        out[lane, at[lane]] = last[lane] >> HALF
+        payload[b] = out[lane, :at[lane] + 1].astype(">u4").tobytes()
     return payload
 
 
 def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     order, running = _longest_first(sizes)
     n = len(payloads)
-    words = max((len(p) // 2 for p in payloads), default=0)
-    code_in = np.zeros((n, words + 2 * len(running) + 8), np.uint16)
+    words = max((len(p) // 4 for p in payloads), default=0) + 3
+    code = np.zeros((n, words), np.uint32)
     for lane, b in enumerate(order):
-        w = np.frombuffer(payloads[b], ">u2")
-        code_in[lane, :len(w)] = w
-    code = np.zeros(n, U)
-    for i in range(4):
-        code = (code << U(16)) | code_in[:, i]
-    at = np.full(n, 4, np.int64)
-    low, width = np.zeros(n, U), np.full(n, ~U(0), U)
-    models = _Models(n)
-    ids = np.zeros((len(running), n), np.int64)
+        w = np.frombuffer(payloads[b], ">u4")
+        code[lane, :len(w)] = w
+    # how far the code's value lies above the interval's begin
+    above = (code[:, 0].astype(U) << HALF) | code[:, 1]
+    code = code.ravel()
+    at = np.arange(n) * words + 2
+    end = at + (words - 3)
+    width = np.full(n, ~U(0), U)
+    models = _Models(n, search=True)
+    ids = np.zeros((len(running), n), np.uint16)
     for t in range(len(running)):
+        if t in REFRESH:
+            models.refresh(ids[:t])
         k = int(running[t])
-        total = models.predict(k)
-        lo, wi = low[:k], width[:k]
-        value = np.minimum((code[:k] - lo) // (wi // total.astype(U)), (total - 1).astype(U)).astype(np.int64)
-        ids[t, :k], start, own = models.find(k, value)
-        go = _narrow(lo, wi, total, start, own)
-        while len(go):
-            code[go] = (code[go] << U(16)) | code_in[go, np.minimum(at[go], code_in.shape[1] - 1)]
-            at[go] += 1
-            go = _shift(lo, wi, go)
+        ab, wi, found = above[:k], width[:k], ids[t, :k]
+        mass2, masses = models.predict(k)
+        two, both, unit = _split(wi, mass2, masses)
+        is2, guessed = ab < two, ab < both
+        rest = ab - both
+        value = np.minimum(rest // unit, U((PARTS << 8) - 1)).astype(np.uint32)
+        hi = models.class_at[models.parts[:k] + (value >> 8)]
+        of = models.classes[models.base0[:k] + hi]
+        own, begin = of & 4095, of >> 12
+        lo = (value - begin) // own
+        found[:] = np.where(is2, models.guess2, np.where(guessed, models.guess1, (hi.astype(np.uint32) << 8) + lo))
+        ab[:] = np.where(is2, ab, np.where(guessed, ab - two, rest - unit * (begin + own * lo)))
+        wi[:] = np.where(is2, two, np.where(guessed, both - two, unit * own))
+        models.learn(k, found, models.guess1 == found, models.guess2 == found)
+        go = np.flatnonzero(wi < BOT)
+        if len(go):
+            place = at[go]
+            ab[go] = (ab[go] << HALF) | code[place]
+            at[go] = np.minimum(place + 1, end[go])
+            wi[go] <<= HALF
     out: list[np.ndarray] = [np.zeros(0, ID)] * n
     for lane, b in enumerate(order):
         out[b] = ids[:sizes[b], lane].astype(ID)
@@ -296,8 +298,10 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
             return made
 
         for batch in batches:
-            for id_, ids in zip(batch["id"].to_pylist(), memo.encode_all(batch["text"])):
-                ids += end
+            encoded = memo.encode_all(batch["text"])[::-1]
+            for id_ in batch["id"].to_pylist():
+                # taken off the list, so that segments are not held twice
+                ids = encoded.pop() + end
                 doc_ids.append(id_)
                 sizes.append(len(ids) // 4)
                 open_ids.append(ids)

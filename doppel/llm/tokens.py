@@ -3,7 +3,9 @@
 The byte-level pre-tokenizer always starts a new word at a space that a
 character other than white space follows. A text without runs of white space
 that begin with a space therefore falls into chunks at its spaces, and the ids
-of the text are the ids of the chunks one after the other. Chunks of a group of texts are
+of the text are the ids of the chunks one after the other. A line break between two
+characters other than white space is a word of its own; there a chunk begins, too, with
+the break in place of the space. Chunks of a group of texts are
 numbered by Arrow, each distinct one is looked up once, and the ids of all texts are
 put together by one gather. A text to which this doesn't apply (a
 space before other white space, white space before a final space, a special
@@ -24,10 +26,15 @@ import pyarrow.compute as pc
 ID = np.dtype("<u4")
 # Python's notion of white space covers at least the Unicode property White_Space
 _SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-# bytes of text that are put together at a time
-GROUP = 4 << 20
+# bytes of text whose chunks are looked up at a time, and ids that are put together at a time
+GROUP, PIECE = 8 << 20, 1 << 20
 # chunks of a memo
-MAX_ENTRIES = 2_000_000
+MAX_ENTRIES = 1_500_000
+
+
+def led(chunk: str) -> str:
+    """A chunk with what it begins with in the text: its line break, or a space."""
+    return chunk if chunk[:1] == "\n" else " " + chunk
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -36,6 +43,11 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """The strings of a column without nulls; ``to_pylist`` takes many times as long."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Runs:
     """Ids of chunks: a chunk's number, and by it the run of ids in one array."""
 
@@ -77,11 +89,13 @@ class IdMemo:
                  encode_chunks: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None,
                  max_entries: int = MAX_ENTRIES, max_chunk: int = 48):
         self.encode_many = encode_many
-        self.encode_chunks = encode_chunks or (lambda chunks: joined(encode_many([" " + c for c in chunks])))
+        self.encode_chunks = encode_chunks or (lambda chunks: joined(encode_many(list(map(led, chunks)))))
         self.max_entries, self.max_chunk = max_entries, max_chunk
         self.stops = {c: np.frombuffer(x, ID) for c, x in zip(".,", encode_many([".", ","]))}
         self.new, self.old = _Runs(), _Runs()
         spaces = "[" + re.escape(_SPACES) + "]"
+        other = spaces.replace("[", "[^", 1)
+        self.breaks = f"({other})\n({other})"
         self.whole = "|".join([f" {spaces}", rf"{spaces} \z", *map(re.escape, specials)])
 
     @property
@@ -105,26 +119,28 @@ class IdMemo:
         at = 0
         while at < len(column):
             n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GROUP)) - at)
-            yield self._group(column.slice(at, n))
+            yield from self._group(column.slice(at, n))
             at += n
 
-    def _group(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    def _group(self, texts: pa.LargeStringArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         whole = pc.match_substring_regex(texts, self.whole)
-        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        # a space before each such line break: chunks that begin with one are met nowhere else
+        split = pc.split_pattern(pc.replace_substring_regex(pc.if_else(whole, "", texts), self.breaks, "\\1 \n\\2"), " ")
         ends = split.offsets.to_numpy()
         ends = ends - ends[0]
-        coded = split.flatten().dictionary_encode()
-        index = coded.indices.to_numpy().astype(np.int64)
         first = ends[:-1]
         # what has no space before it: first chunks, and texts that are encoded whole
         heads = pc.if_else(whole, texts, split.flatten().take(pa.array(first)))
+        coded = split.flatten().dictionary_encode()
+        del split
+        index = coded.indices.to_numpy()
         inner = np.ones(len(index), bool)
         inner[first] = False
         used = np.zeros(len(coded.dictionary), bool)
         used[index[inner]] = True
         number = np.full(len(used), -1, np.int64)
-        long, number[used] = self._learn(coded.dictionary.filter(pa.array(used)).to_pylist())
-        head_ids, head_sizes = joined(self.encode_many(heads.to_pylist()))
+        long, number[used] = self._learn(_strings(coded.dictionary.filter(pa.array(used))))
+        head_ids, head_sizes = joined(self.encode_many(_strings(heads)))
         runs = self.new
         # places of all chunks in the memo's ids, those of heads and long chunks behind them
         extra, extra_sizes = np.concatenate([head_ids, long[0]]), np.concatenate([head_sizes, long[1]])
@@ -133,12 +149,16 @@ class IdMemo:
         starts = np.concatenate([runs.starts[:n], runs.used + np.cumsum(extra_sizes) - extra_sizes])
         sizes = np.concatenate([runs.sizes[:n], extra_sizes])
         # _learn numbers long chunks from -2 down
-        at = number[index]
-        at = np.where(at < -1, n + len(head_sizes) - 2 - at, at)
+        number = np.where(number < -1, n + len(head_sizes) - 2 - number, number)
+        at = number.astype(np.int32)[index]
         at[first] = n + np.arange(len(first))
-        chunk_sizes = sizes[at]
-        total = np.concatenate([[0], np.cumsum(chunk_sizes)])
-        return _gather(flat, starts[at], chunk_sizes), total[ends[1:]]
+        total = np.concatenate([[0], np.cumsum(np.add.reduceat(sizes[at], first))])
+        lo = 0
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PIECE, "right")) - 1)
+            some = at[ends[lo]:ends[hi]]
+            yield _gather(flat, starts[some], sizes[some]), total[lo + 1:hi + 1] - total[lo]
+            lo = hi
 
     def _learn(self, chunks: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
         """Have the chunks in the memo: ids and sizes of those too long to stay (numbered -2, -3, ..), and the numbers of all."""
@@ -184,18 +204,18 @@ class IdMemo:
                     mine = [mine[i] for i in np.flatnonzero(known < 0).tolist()]
         names = list(fresh.number)
         short = np.fromiter(map(len, names), np.int64, len(names)) <= self.max_chunk
-        if short.all():
-            self.new.add(names, fresh.flat[:fresh.used], fresh.sizes[:len(names)])
-            number[places] = self.new.find(missing)
-            return (np.zeros(0, ID), np.zeros(0, np.int64)), number
+        # numbers go on from the memo's, those of long chunks from -2 down
+        placed = np.where(short, len(self.new.number) - 1 + np.cumsum(short), -1 - np.cumsum(~short))
         chosen, rest = np.flatnonzero(short), np.flatnonzero(~short)
-        sizes = fresh.sizes[chosen]
-        self.new.add([names[i] for i in chosen.tolist()], _gather(fresh.flat, fresh.starts[chosen], sizes), sizes)
-        number[places] = self.new.find(missing)
-        long = {names[k]: -2 - i for i, k in enumerate(rest.tolist())}
-        for i in places.tolist():
-            if number[i] < 0:
-                number[i] = long[chunks[i]]
+        if len(rest):
+            sizes = fresh.sizes[chosen]
+            self.new.add([names[i] for i in chosen.tolist()], _gather(fresh.flat, fresh.starts[chosen], sizes), sizes)
+        else:
+            self.new.add(names, fresh.flat[:fresh.used], fresh.sizes[:len(names)])
+        at = fresh.find(missing)
+        number[places[at >= 0]] = placed[at[at >= 0]]
+        taken = places[at < 0]
+        number[taken] = self.new.find([chunks[i] for i in taken.tolist()])
         return (_gather(fresh.flat, fresh.starts[rest], fresh.sizes[rest]), fresh.sizes[rest]), number
 
     def _take_over(self, chunks: list[str]) -> None:
@@ -231,19 +251,25 @@ def library_ids(path: str, max_entries: int = MAX_ENTRIES) -> IdMemo:
 
         def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Many chunks in one text; where the lengths don't meet a chunk's end, one by one."""
+            chunks = list(map(led, chunks))
             parts = [chunks[at:at + 100] for at in range(0, len(chunks), 100)]
-            length = pc.binary_length(pa.array(chunks, pa.large_string())).to_numpy() + 1
-            made, sizes, at = [], [], 0
-            for some, e in zip(parts, tok.encode_batch_fast([" " + " ".join(x) for x in parts], add_special_tokens=False)):
-                ids, ends = np.array(e.ids, ID), np.cumsum(length[at:at + len(some)])
+            length = pc.binary_length(pa.array(chunks, pa.large_string())).to_numpy()
+            made = [np.array(e.ids, ID) for e in tok.encode_batch_fast(list(map("".join, parts)), add_special_tokens=False)]
+            ids, ends = np.concatenate(made), np.cumsum(length)
+            reach = np.cumsum(size[ids])
+            cut = np.searchsorted(reach, ends)
+            if " " not in chunks and len(reach) == cut[-1] + 1 and (reach[cut] == ends).all():
+                return ids, np.diff(cut, prepend=-1)
+            sizes, at = [], 0
+            for i, some in enumerate(parts):
+                ends = np.cumsum(length[at:at + len(some)])
                 at += len(some)
-                reach = np.cumsum(size[ids])
+                reach = np.cumsum(size[made[i]])
                 cut = np.searchsorted(reach, ends)
-                if "" in some or len(reach) != cut[-1] + 1 or (reach[cut] != ends).any():
-                    ids, n = joined(encode_many([" " + c for c in some]))
+                if " " in some or len(reach) != cut[-1] + 1 or (reach[cut] != ends).any():
+                    made[i], n = joined(encode_many(some))
                 else:
                     n = np.diff(cut, prepend=-1)
-                made.append(ids)
                 sizes.append(n)
             return np.concatenate(made), np.concatenate(sizes)
 

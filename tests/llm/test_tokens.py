@@ -39,6 +39,24 @@ def test_memo_and_trie_give_the_librarys_ids(library):
         assert trie.encode(t) == want, t
 
 
+def test_words_at_line_breaks_are_encoded_once(library):
+    """n * n pairs of lines' ends and beginnings need the ids of 2 * n chunks, not of each pair."""
+    lib, encoded = library_ids(vocabulary(), 50_000), []
+
+    def encode_many(texts):
+        encoded.extend(texts)
+        return lib.encode_many(texts)
+
+    memo, n = IdMemo(encode_many, ()), 30
+    texts = [f"Start end{'x' * i}.\nBegin{'y' * j} z" for i in range(n) for j in range(n)]
+    texts += ["a\n\nb c\n d e\nf\ng\u00a0\nh i\r\nj 's\n's", "\nx y\n", "é\n中\n\t!!\n23 \nq", "a\n", "a \n b"]
+    for memo_ in (memo, lib):
+        for t, got in zip(texts, memo_.encode_all(texts), strict=True):
+            assert got == ids_of(library, t).tobytes(), t
+    assert len({x for x in encoded if "end" in x or "Begin" in x}) <= 2 * n + 2
+    assert not any("\n" in c[1:] for c in memo.memo if "Begin" in c)
+
+
 def test_memo_stays_bounded():
     enc = bpe_trie.TrieEncoder(vocabulary())
     memo = IdMemo(enc.encode_many, tuple(enc.specials), max_entries=10)
