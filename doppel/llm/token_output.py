@@ -170,9 +170,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             place = at[go]
             if t + 2 >= out.shape[1] and int(place.max()) + 2 >= out.shape[1]:
                 out = np.pad(out, ((0, 0), (0, out.shape[1])))
-            out[go, place] = lo[go] >> HALF
+            top = lo[go]
+            out[go, place] = top >> HALF
             at[go] = place + 1
-            lo[go] <<= HALF
+            lo[go] = top << HALF
             wi[go] <<= HALF
     # one word more names a value of the interval; the words that the reader lacks are zeros
     last = low + (BOT - U(1))

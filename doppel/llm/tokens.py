@@ -27,7 +27,7 @@ ID = np.dtype("<u4")
 # Python's notion of white space covers at least the Unicode property White_Space
 _SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # bytes of text whose chunks are looked up at a time, and ids that are put together at a time
-GROUP, PIECE = 8 << 20, 1 << 20
+GROUP, PIECE = 16 << 20, 1 << 20
 # chunks of a memo
 MAX_ENTRIES = 1_500_000
 
